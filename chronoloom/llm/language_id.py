@@ -5,9 +5,9 @@ by TF-IDF and normalised. Spherical k-means gives several centroids for each
 language; a text gets the language of the centroid with the highest cosine,
 and is rejected when it lies too far from every centroid.
 
-Training uses a bounded sample: at most ``per_lang`` texts of each language
-(the smallest hashes of their ids), fewer where there are many languages so
-that ``max_sample`` rows are never exceeded. Prediction reads whole texts and
+Training uses a bounded sample: about ``per_lang`` texts of each language
+(those with the smallest hashes of their ids), fewer where there are many
+languages so that about ``max_sample`` rows, and never twice as many, are used. Prediction reads whole texts and
 never looks at lang, source or id.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0 and
@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.llm.common import bound_batches
@@ -101,14 +101,14 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def training_ids(docs: DataFrame, eligible: Column, id_col: str, lang_col: str, per_lang: int, max_sample: int) -> list:
-    """(id, lang) of the bounded sample. The row limit per language is applied
-    before the shuffle, so a frequent language is no hot group."""
+    """(id, lang) of the bounded sample: ids whose hash lies below the share
+    of its language's rows that is wanted. No rows are gathered by language."""
     rows = docs.where(eligible & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    n_langs = max(1, rows.agg(F.approx_count_distinct("lang")).first()[0])
-    most = max(1, min(per_lang, max_sample // n_langs))
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    picked = rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most).drop("_rn")
-    return [tuple(r) for r in picked.limit(max_sample).collect()]
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    most = max(1, min(per_lang, max_sample // max(1, counts.count())))
+    share = F.pmod(F.xxhash64(F.lit("sample"), F.col("id")), F.lit(1 << 40)) / float(1 << 40)
+    picked = rows.join(counts, "lang").where(share < F.lit(float(most)) / F.col("n")).select("id", "lang")
+    return [tuple(r) for r in picked.limit(2 * max_sample).collect()]
 
 
 def fit(docs: DataFrame, eligible: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 600, max_sample: int = 4000, centroids_per_lang: int = 4, reject_margin: float = 0.6) -> CentroidModel:
