@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm import bitsliced, decontaminate, language_id, mixing, warc
+from chronoloom.llm import bitsliced, decontaminate, language_id, mixing, ngram_join, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_report(table(spark, sf_dir, "documents"))
+
+
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitsliced.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -48,6 +52,29 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
 FROM h
 """
 
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+  FROM w
+), g AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), r AS (
+  SELECT doc_id AS node, doc_id AS seen FROM documents
+  UNION
+  SELECT r.node, p.b FROM r JOIN p ON r.seen = p.a
+), c AS (
+  SELECT node, min(seen) AS component_id FROM r GROUP BY node
+)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM s LEFT JOIN c ON doc_id = node
+"""
+
 OP8_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
@@ -64,8 +91,8 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op3_mix_sources, op4_decontaminate, op8_top_k, op9_language_id)}
+    return {f.__name__: f for f in (op1_warc, op3_mix_sources, op4_decontaminate, op6_ngram_join, op8_top_k, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op8_top_k": OP8_SQL}
+    return {"op1_warc": OP1_SQL, "op6_ngram_join": OP6_SQL, "op8_top_k": OP8_SQL}
