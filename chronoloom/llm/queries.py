@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm import bitsliced, decontaminate, language_id, mixing, ngram_join, warc
+from chronoloom.llm import bitsliced, decontaminate, language_id, mixing, ngram_join, suffix_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_report(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_report(table(spark, sf_dir, "documents"))
+
+
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitsliced.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -91,7 +95,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op3_mix_sources, op4_decontaminate, op6_ngram_join, op8_top_k, op9_language_id)}
+    return {f.__name__: f for f in (op1_warc, op3_mix_sources, op4_decontaminate, op6_ngram_join, op7_suffix_dedup, op8_top_k, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
