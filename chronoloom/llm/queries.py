@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm import bitsliced, decontaminate, language_id, mixing, ngram_join, suffix_dedup, warc
+from chronoloom.llm import bitsliced, decontaminate, language_id, line_dedup, mixing, ngram_join, suffix_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "text", F.col("lines.total").alias("n_lines"), F.col("lines.removed").alias("n_removed"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_report(table(spark, sf_dir, "documents"))
 
@@ -95,7 +100,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op3_mix_sources, op4_decontaminate, op6_ngram_join, op7_suffix_dedup, op8_top_k, op9_language_id)}
+    return {f.__name__: f for f in (op1_warc, op3_mix_sources, op4_decontaminate, op5_line_dedup, op6_ngram_join, op7_suffix_dedup, op8_top_k, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
