@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm import bitsliced, decontaminate, language_id, line_dedup, mixing, ngram_join, suffix_dedup, warc
+from chronoloom.llm import bitsliced, decontaminate, language_id, line_dedup, mixing, ngram_join, suffix_dedup, surrogates, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict_languages(table(spark, sf_dir, "documents"))
 
 
+def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 OP1_SQL = """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS html FROM pages
@@ -100,7 +104,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op3_mix_sources, op4_decontaminate, op5_line_dedup, op6_ngram_join, op7_suffix_dedup, op8_top_k, op9_language_id)}
+    return {f.__name__: f for f in (op1_warc, op3_mix_sources, op4_decontaminate, op5_line_dedup, op6_ngram_join, op7_suffix_dedup, op8_top_k, op9_language_id, op10_surrogates)}
 
 
 def oracle_sql() -> dict[str, str]:
