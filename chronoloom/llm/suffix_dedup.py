@@ -41,7 +41,8 @@ from chronoloom.llm.common import bound_batches, written
 
 KGRAM = 96
 _BASE, _BASE2 = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
-_SLICE = 4 << 20
+#: Texts are worked on in slices of so many bytes, which bounds a task's memory.
+_SLICE = 1 << 20
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -208,7 +209,15 @@ def repeated_windows(parts: list[bytes], length: int) -> np.ndarray:
     begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     w = np.arange(counts.sum()) + np.repeat(begin - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
     word = _words_at(buf)
-    order, tied = multikey_order([word[w], Digests(buf).of(w, length)])
+    digest, at, a = np.empty(len(w), np.uint64), 0, 0
+    for b in [*(np.flatnonzero(np.diff(begin // _SLICE)) + 1).tolist(), len(parts)]:
+        if b > a:  # parts of one slice
+            piece = Digests(buf[begin[a] : begin[b - 1] + sizes[b - 1]])
+            n = int(counts[a:b].sum())
+            digest[at : at + n] = piece.of(w[at : at + n] - begin[a], length)
+            at, a = at + n, b
+    order, tied = multikey_order([word[w], digest])
+    del digest
     at = np.flatnonzero(tied)
     same = np.ones(len(at), bool)
     for off in [*range(8, length - 7, 8), length - 8]:  # byte by byte, eight at a time
@@ -286,7 +295,7 @@ def _cut(spark: SparkSession):
     return cut.asNondeterministic()
 
 
-def dedup(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", crowd: int = 50_000, bucket_bytes: int = 8 << 20) -> DataFrame:
+def dedup(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", crowd: int = 50_000, bucket_bytes: int = 3 << 20) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept (remaining bytes) for each row."""
     spark = docs.sparkSession
     bound_batches(spark)
