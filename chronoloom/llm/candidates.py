@@ -5,7 +5,8 @@ neighbours in a signature's order that are not known to be connected are
 verified, so a group of n similar rows costs about n verifications, and
 signatures whose rows are all connected drop out. The last round verifies
 every pair that still shares a signature without being connected, so that no
-link is lost.
+link is lost; a cheap necessary condition inside that join (sizes, sketches)
+keeps pairs that cannot link from being made at all.
 """
 
 from __future__ import annotations
@@ -20,35 +21,42 @@ from chronoloom.llm.components import components, relabelled
 
 
 def meeting(rows: DataFrame) -> DataFrame:
-    """Rows (sig, id, v) whose signature another id shares."""
-    w = Window.partitionBy("sig").orderBy("v", "id")
+    """Rows (sig, id) whose signature another id shares."""
+    w = Window.partitionBy("sig").orderBy("id")
     both = rows.withColumn("before", F.lag("id").over(w)).withColumn("after", F.lead("id").over(w))
-    return both.where("before is not null or after is not null").select("sig", "id", "v")
+    shared = ((F.col("before") != F.col("id")) | F.col("before").isNull()) & ((F.col("before") != F.col("id")) | (F.col("after") != F.col("id")))
+    return both.where(shared).select("sig", "id")
 
 
-def connect(shared: DataFrame, links: DataFrame | None, fits: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame], rounds: int = 3) -> DataFrame:
-    """Labels (node, comp) of the components of the given links and all those
-    found. shared: sig, id, v; fits(v, v) is a cheap necessary condition;
-    verify(pairs a, b) returns a, b, linked."""
-    spark = shared.sparkSession
-    if links is None:
-        links = spark.createDataFrame([], "a long, b long")
-    labels, checked = written(components(links), "labels"), None
-    for step in range(rounds + 1):
-        rows = relabelled(shared.withColumn("comp", F.col("id")), "comp", labels)
+def connect(shared: DataFrame, nodes: DataFrame, orders: list[list[str]], may_link: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Labels (node, comp) of the components of all links.
+
+    shared: sig, id; nodes: one row for each id, with the columns that orders
+    and may_link use; orders: by which columns a round sorts a signature's
+    rows; may_link(x, y) is a cheap condition that every link meets, x and y
+    giving the columns of either side; verify(pairs a, b): a, b, linked.
+    """
+    links, labels, checked = None, None, None
+    sides = lambda a, b: may_link(lambda c: F.col(f"{a}.{c}"), lambda c: F.col(f"{b}.{c}"))
+    brief = nodes.select("id", *dict.fromkeys(c for o in orders for c in o if c != "id"))
+    for step, order in enumerate([*orders, None]):
+        rows = shared.withColumn("comp", F.col("id")) if labels is None else relabelled(shared.withColumn("comp", F.col("id")), "comp", labels)
         rows = written(rows, "labelled")
-        open_sigs = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("sig")
-        rows = rows.join(open_sigs, "sig")
-        if step < rounds:
-            w = Window.partitionBy("sig").orderBy("v", "id")
-            pairs = rows.withColumn("a", F.lag("id").over(w)).withColumn("ac", F.lag("comp").over(w)).withColumn("av", F.lag("v").over(w)).where("a is not null and ac != comp")
-            pairs = pairs.where(fits(F.col("av"), F.col("v"))).groupBy(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).agg(F.count("*").alias("shared"))
+        if labels is not None:  # a signature whose rows are all connected is done
+            left = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("sig")
+            rows = written(rows.join(left, "sig"), "open")
+            shared = rows.select("sig", "id")
+        if order:
+            w = Window.partitionBy("sig").orderBy(*order, "id")
+            near = rows.join(brief, "id").withColumn("a", F.lag("id").over(w)).withColumn("ac", F.lag("comp").over(w)).where("a is not null and ac != comp")
+            pairs = near.groupBy(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).agg(F.count("*").alias("shared"))
+            pairs = pairs.alias("p").join(nodes.alias("x"), F.col("p.a") == F.col("x.id")).join(nodes.alias("y"), F.col("p.b") == F.col("y.id")).where(sides("x", "y")).select("p.*")
             if not step:  # of a row's neighbours the one that it shares most with
                 pairs = pairs.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
         else:
-            rows = written(rows, "open")
-            x, y = rows.alias("x"), rows.alias("y")
-            pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & fits(F.col("x.v"), F.col("y.v"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+            full = rows.join(nodes, "id")
+            pairs = full.alias("x").join(full.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & sides("x", "y"))
+            pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
         pairs = pairs.select("a", "b")
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
@@ -56,10 +64,9 @@ def connect(shared: DataFrame, links: DataFrame | None, fits: Callable[[Column,
         if pairs.isEmpty():
             continue
         done = written(verify(pairs), "verified")
-        seen = done.select("a", "b").distinct()
-        checked = seen if checked is None else checked.unionByName(seen)
+        checked = done.select("a", "b") if checked is None else checked.unionByName(done.select("a", "b"))
         found = done.where("linked").select("a", "b")
         if not found.isEmpty():
-            links = links.unionByName(found)
+            links = found if links is None else links.unionByName(found)
             labels = written(components(links), "labels")
-    return labels
+    return shared.sparkSession.createDataFrame([], "node long, comp long") if labels is None else labels

@@ -14,18 +14,17 @@ The estimates come from a bounded sample (``sample_docs`` texts); they affect
 cost, never the result.
 
 Only components of links are wanted, so a signature's sets are not paired with
-each other. Equal sets are one node. Then, in rounds, neighbours in a
-signature's order that are not known to be connected are verified and
-components updated; last, the pairs of sets that share a signature and are
-still unconnected are verified, all of them. No pair is lost and a large group
-of near copies costs a few verifications for each member.
+each other: equal sets are one node, and ``candidates.connect`` verifies
+neighbours round by round before it turns to the pairs that are left. A sketch
+of 1024 parity bits bounds the difference of two sets from below and rules out
+most of those without their texts.
 
-Shingles, signatures and equal sets are compared as 64- and 128-bit hashes.
+Shingles, signatures and sets are told apart by 64-bit hashes.
 
 Defined cases: null, empty and wordless texts have no shingles and link with
 nothing; rows without an id link with nothing and have no component; rows that
-share an id are one node, with the links of all their texts; an empty table
-gives an empty result.
+share an id are judged by their own texts; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -33,21 +32,26 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronoloom.llm.candidates import connect, meeting
 from chronoloom.llm.common import bound_batches, written
-from chronoloom.llm.components import components, relabelled
+from chronoloom.llm.components import relabelled
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Bits of the filter that tells which texts are candidates: 16 MB at any size.
 _FILTER_BITS = 27
+#: Parity bits of a set's sketch.
+SKETCH = 1024
 
 
 class _WordHash(dict):
@@ -66,22 +70,54 @@ def _mix(x: np.ndarray, k: np.uint64) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def shingle_sets(texts: list[bytes], size: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, bounds): the sorted distinct shingles of text i are
+    hashes[bounds[i]:bounds[i + 1]]."""
+    words = [t.translate(_LOWER).split() for t in texts]
+    length = np.array([len(w) for w in words], np.int64)
+    h = np.fromiter(map(_words.__getitem__, chain.from_iterable(words)), np.uint64, int(length.sum()))
+    count = np.where(length >= size, length - size + 1, np.minimum(length, 1))
+    out = np.empty(int(count.sum()), np.uint64)
+    place = np.concatenate([[0], np.cumsum(count)])
+    begin = np.concatenate([[0], np.cumsum(length)])
+    if len(h) >= size:
+        acc = np.full(len(h) - size + 1, size, np.uint64)
+        for i in range(size):
+            acc = _mix(acc + h[i : len(h) - size + 1 + i], _A)
+        inside = np.arange(len(acc)) + size <= np.repeat(begin[1:], length)[: len(acc)]
+        whole = np.repeat(length >= size, count)
+        out[whole] = acc[inside]
+    for i in np.flatnonzero((length > 0) & (length < size)):
+        acc = np.full(1, length[i], np.uint64)
+        for x in h[begin[i] : begin[i + 1]]:
+            acc = _mix(acc + x, _A)
+        out[place[i]] = acc[0]
+    for a, b in zip(place[:-1].tolist(), place[1:].tolist(), strict=True):
+        out[a:b].sort()
+    first = np.ones(len(out), bool)
+    first[1:] = out[1:] != out[:-1]
+    first[place[:-1][count > 0]] = True
+    return out[first], np.concatenate([[0], np.cumsum(first)])[place]
+
+
 def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
-    """Sorted hashes of the distinct shingles of a whole text."""
-    words = text.encode("utf-8", "replace").translate(_LOWER).split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    n = min(size, len(words))
-    acc = np.full(len(words) - n + 1, n, np.uint64)
-    for i in range(n):
-        acc = _mix(acc + h[i : len(h) - n + 1 + i], _A)
-    return np.unique(acc)
+    """Sorted hashes of the distinct shingles of one whole text."""
+    return shingle_sets([(text or "").encode("utf-8", "replace")], size)[0]
 
 
-def fingerprint(s: np.ndarray) -> tuple[int, int]:
-    a, b = _mix(s, _B).sum(dtype=np.uint64), _mix(s, _C).sum(dtype=np.uint64)
-    return int(a.astype(np.int64)), int((b + np.uint64(len(s))).astype(np.int64))
+def describe_sets(s: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each set: node (its hash), least mixed shingle, sketch of parity bits."""
+    n = np.diff(bounds)
+    node, least = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+    some = n > 0
+    mixed = _mix(s, _B)
+    if some.any():
+        node[some] = np.add.reduceat(mixed, bounds[:-1][some])
+        least[some] = np.minimum.reduceat(mixed, bounds[:-1][some])
+    bit = np.repeat(np.arange(len(n)) * SKETCH, n) + (_mix(s, _C) & np.uint64(SKETCH - 1)).astype(np.int64)
+    odd = (np.bincount(bit, minlength=len(n) * SKETCH) & 1).astype(np.uint8)
+    sketch = np.packbits(odd.reshape(len(n), SKETCH), axis=1).view(">i8").astype(np.int64) if len(n) else np.zeros((0, SKETCH // 64), np.int64)
+    return _mix(node + n.astype(np.uint64) * _A, _C).view(np.int64), least.view(np.int64), sketch
 
 
 @dataclass
@@ -114,14 +150,16 @@ class Plan:
         at = np.minimum(np.searchsorted(self.frequent, s), len(self.frequent) - 1)
         return np.where(self.frequent[at] == s, self.counts[at], np.uint64(0))
 
-    def signatures(self, s: np.ndarray, rare: np.ndarray, band: int, deletions: int | None = None) -> np.ndarray:
-        m, n = self.segments(band), len(s)
+    def signatures(self, where: np.ndarray, part: np.ndarray, rare: np.ndarray, band: int, deletions: int | None = None) -> np.ndarray:
+        """where (32 bits) deals a shingle to a segment, part adds up to the
+        segment subset's hash, rare is the shingle's count in the sample."""
+        m, n = self.segments(band), len(part)
         k = min(self.deletions.get(band, 0) if deletions is None else deletions, m - 1)
         largest = min(int(self.bands[band + 1]) - 1, 100 * n // self.per_cent)
         apart = self.most_apart(n + largest)
-        seg = ((_mix(s, _C) >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-        order = np.argsort(seg, kind="stable")
-        seg, part, rare = seg[order], _mix(s, _B)[order], rare[order]
+        seg = (where * np.uint64(m)) >> np.uint64(32)
+        order = np.argsort(seg)
+        seg, part, rare = seg[order], part[order], rare[order]
         first = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
         where, length = seg[first], np.diff(np.append(first, n))
         content, freq = np.add.reduceat(part, first), np.minimum.reduceat(rare, first)
@@ -172,59 +210,78 @@ def allocate(sample: list[np.ndarray], total: int, per_cent: int) -> Plan:
     for g, sets in by_band.items():
         costs = []
         for k in (0, 1, 2):
-            sig = np.concatenate([plan.signatures(s, plan.rarity(s), g, k) for s in sets])
+            sig = np.concatenate([plan.signatures(_mix(s, _C) >> np.uint64(32), _mix(s, _B), plan.rarity(s), g, k) for s in sets])
             _, n = np.unique(sig, return_counts=True)
             costs.append(len(sig) * scale + 5.0 * float((n * (n - 1)).sum()) * scale * scale)
         plan.deletions[g] = int(np.argmin(costs))
     return plan
 
 
+def _raw(column: pa.Array) -> list[bytes]:
+    return [v.as_buffer().to_pybytes() if v.is_valid else b"" for v in column]
+
+
+def _groups(texts: list[bytes], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    """Runs of texts of a few MB together."""
+    at = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > most:
+            yield at, i
+            at, size = i, 0
+        size += len(t)
+    yield at, len(texts)
+
+
+_FACTS = "id long, k long, n long, node long, least long, sketch array<long>, part binary"
+
+
 def describe(docs: DataFrame, size: int, sample_share: float) -> DataFrame:
-    """id, n, f1, f2 (fingerprint) of each row; part: the set, if sampled."""
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("part", pa.binary())])
+    """Of each row: id, k (text hash), n, node, order key and sketch of its
+    set; part: the set itself, if sampled."""
+    schema = pa.schema([("id", pa.int64()), ("k", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("least", pa.int64()), ("sketch", pa.list_(pa.int64())), ("part", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for i, t, keep in zip(b.column("id").to_pylist(), b.column("text"), b.column("sampled").to_pylist(), strict=True):
-                s = shingle_set(t.as_py(), size)
-                rows.append((i, len(s), *fingerprint(s), s.tobytes() if keep and len(s) else None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema) if rows else pa.RecordBatch.from_pylist([], schema)
+        for batch in batches:
+            texts, keep = _raw(batch.column("text")), batch.column("sampled").to_pylist()
+            for a, b in _groups(texts):
+                s, bounds = shingle_sets(texts[a:b], size)
+                node, least, sketch = describe_sets(s, bounds)
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * (SKETCH // 64), pa.int32()), pa.array(sketch.ravel()))
+                part = [s[x:y].tobytes() if keep[a + i] and y > x else None for i, (x, y) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))]
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), batch.column("k").slice(a, b - a), pa.array(np.diff(bounds)), pa.array(node), pa.array(least), flat, pa.array(part, pa.binary())], schema=schema)
 
-    share = F.pmod(F.xxhash64(F.lit("sets"), "id"), F.lit(1 << 30)) / float(1 << 30)
-    return docs.withColumn("sampled", share < sample_share).mapInArrow(run, "id long, n long, f1 long, f2 long, part binary")
+    share = F.pmod(F.xxhash64(F.lit("sets"), "k"), F.lit(1 << 30)) / float(1 << 30)
+    return docs.select("id", "k", F.col("text").cast("binary").alias("text"), (share < sample_share).alias("sampled")).mapInArrow(run, _FACTS)
 
 
 def index(docs: DataFrame, plan: Plan, size: int) -> DataFrame:
-    """sig, id, n: the signatures of each set; equal sets in one task once."""
+    """sig, id (node): the signatures of each set; equal sets in a task once."""
     shared = docs.sparkSession.sparkContext.broadcast(plan)  # bounded by the sample
-    schema = pa.schema([("sig", pa.int64()), ("id", pa.int64()), ("n", pa.int32())])
+    schema = pa.schema([("sig", pa.int64()), ("id", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, seen = shared.value, set()
-        for b in batches:
-            sigs, ids, ns, held = [], [], [], 0
-            for i, t in zip(b.column("id").to_pylist(), b.column("text"), strict=True):
-                s = shingle_set(t.as_py(), size)
-                if not len(s) or (f := fingerprint(s)) in seen:
-                    continue
-                if len(seen) > 200_000:
-                    seen.clear()  # a repeat is then indexed again, which is harmless
-                seen.add(f)
-                rare = p.rarity(s)
-                for g in p.homes(len(s)):
-                    x = p.signatures(s, rare, g)
-                    sigs.append(x.view(np.int64))
-                    ids.append(np.full(len(x), i, np.int64))
-                    ns.append(np.full(len(x), min(len(s), 2**31 - 1), np.int32))
-                    held += len(x)
-                if held > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (sigs, ids, ns)], schema=schema)
-                    sigs, ids, ns, held = [], [], [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (sigs, ids, ns)], schema=schema)
-
-    return docs.mapInArrow(run, "sig long, id long, n int")
+        for batch in batches:
+            texts = _raw(batch.column("text"))
+            for a, b in _groups(texts):
+                s, bounds = shingle_sets(texts[a:b], size)
+                node, _, _ = describe_sets(s, bounds)
+                rare, seg, part = p.rarity(s), _mix(s, _C) >> np.uint64(32), _mix(s, _B)
+                sigs, ids = [], []
+                for i, x, y in zip(node.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    if x == y or i in seen:
+                        continue
+                    if len(seen) > 200_000:
+                        seen.clear()  # a repeat is then indexed again, which is harmless
+                    seen.add(i)
+                    for g in p.homes(y - x):
+                        sigs.append(p.signatures(seg[x:y], part[x:y], rare[x:y], g))
+                        ids.append((i, len(sigs[-1])))
+                if sigs:
+                    names, counts = zip(*ids, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array(names, np.int64), counts))], schema=schema)
+
+    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "sig long, id long")
 
 
 def _filter_of(ids: DataFrame) -> bytes:
@@ -251,13 +308,16 @@ def _maybe(spark: SparkSession, bits: bytes):
     return maybe
 
 
-def verify(pairs: DataFrame, docs: DataFrame, per_cent: int, size: int) -> DataFrame:
-    """a, b, linked for each pair of ids (some text of a, some text of b)."""
+def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, per_cent: int, size: int) -> DataFrame:
+    """a, b, linked for each pair of nodes, from their whole texts."""
     spark = pairs.sparkSession
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    maybe = _maybe(spark, _filter_of(ids))
-    texts = docs.where(maybe(F.pmod(F.xxhash64("id"), F.lit(1 << _FILTER_BITS))))
-    rows = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    of = nodes.select(F.col("id").alias("a"), F.col("k").alias("ka")), nodes.select(F.col("id").alias("b"), F.col("k").alias("kb"))
+    named = written(pairs.join(of[0], "a").join(of[1], "b"), "named")
+    keys = named.select(F.explode(F.array("ka", "kb")).alias("id")).distinct()
+    maybe = _maybe(spark, _filter_of(keys))
+    texts = docs.where(maybe(F.pmod(F.xxhash64("k"), F.lit(1 << _FILTER_BITS)))).select("k", "text")
+    texts = written(texts.join(keys.withColumnRenamed("id", "k"), "k", "left_semi").dropDuplicates(["k"]), "texts")
+    rows = named.join(texts.select(F.col("k").alias("ka"), F.col("text").alias("ta")), "ka").join(texts.select(F.col("k").alias("kb"), F.col("text").alias("tb")), "kb")
 
     @F.pandas_udf("boolean")
     def similar(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -265,62 +325,38 @@ def verify(pairs: DataFrame, docs: DataFrame, per_cent: int, size: int) -> DataF
             out = []
             for x, y in zip(left, right, strict=True):
                 r, s = shingle_set(x, size), shingle_set(y, size)
-                both = len(r) + len(s) - len(np.union1d(r, s))
-                out.append(100 * both >= per_cent * (len(r) + len(s) - both) and both > 0)
+                both = len(np.intersect1d(r, s, assume_unique=True))
+                out.append(both > 0 and 100 * both >= per_cent * (len(r) + len(s) - both))
             yield pd.Series(out, dtype=bool)
 
     return rows.select("a", "b", similar("ta", "tb").alias("linked"))
 
 
-def _sizes_fit(a: Column, b: Column, per_cent: int) -> Column:
-    return F.least(a, b).cast("long") * 100 >= F.greatest(a, b).cast("long") * per_cent
-
-
-def join(docs: DataFrame, per_cent: int = 80, size: int = 5, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 2000, rounds: int = 3) -> DataFrame:
+def join(docs: DataFrame, per_cent: int = 80, size: int = 5, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 2000) -> DataFrame:
     """id, n_shingles, component_id for each row of docs."""
     spark = docs.sparkSession
     bound_batches(spark)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("k"), F.coalesce(text_col, F.lit("")).alias("text"))
     total = base.count()
     facts = written(describe(base, size, min(1.0, sample_docs / max(1, total))), "sets")
     sample = [np.frombuffer(bytes(r[0]), np.uint64) for r in facts.where("part is not null").select("part").limit(2 * sample_docs).collect()]
     plan = allocate(sample, total, per_cent)
-    known = facts.where("id is not null and n > 0").select("id", "n", "f1", "f2")
-    first = known.groupBy("f1", "f2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first != last").drop("last")
-    links = written(known.join(written(first, "equal"), ["f1", "f2"]).where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "equal-links")
-    usable = base.where(F.col("id").isNotNull() & F.col("text").isNotNull())
-    w = Window.partitionBy("sig").orderBy("n", "id")
-    shared = index(usable, plan, size).withColumn("before", F.lag("id").over(w)).withColumn("after", F.lead("id").over(w))
-    shared = written(shared.where("before is not null or after is not null").select("sig", "id", "n"), "shared")
-    labels = written(components(links), "labels")
-    checked = None
-    for step in range(rounds + 1):
-        rows = written(relabelled(shared.withColumn("comp", F.col("id")), "comp", labels), "labelled")
-        open_sigs = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("sig")
-        rows = written(rows.join(open_sigs, "sig"), "open")
-        if step < rounds:
-            v = Window.partitionBy("sig").orderBy("n", "id")
-            pairs = rows.withColumn("a", F.lag("id").over(v)).withColumn("ac", F.lag("comp").over(v)).withColumn("an", F.lag("n").over(v)).where("a is not null and ac != comp")
-            pairs = pairs.where(_sizes_fit(F.col("an"), F.col("n"), per_cent)).groupBy(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).agg(F.count("*").alias("shared"))
-            if not step:  # of a set's neighbours the one that it shares most with
-                pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
-        else:
-            x, y = rows.alias("x"), rows.alias("y")
-            pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & _sizes_fit(F.col("x.n"), F.col("y.n"), per_cent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-        pairs = pairs.select("a", "b")
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
-        done = written(verify(pairs, usable, per_cent, size), "verified")
-        found = done.where("linked").select("a", "b")
-        checked = done.select("a", "b").distinct() if checked is None else checked.unionByName(done.select("a", "b").distinct())
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            labels = written(components(links), "labels")
-    out = facts.select("id", F.col("n").alias("n_shingles")).withColumn("component_id", F.col("id"))
-    return relabelled(out, "component_id", labels).select("id", "n_shingles", "component_id")
+    usable = base.where("id is not null and text != ''")
+    known = facts.where("id is not null and n > 0")
+    nodes = written(known.groupBy(F.col("node").alias("id")).agg(F.min("k").alias("k"), F.min("n").alias("n"), F.min("least").alias("least"), F.min("sketch").alias("sketch")), "nodes")
+    shared = written(meeting(index(usable, plan, size)), "shared")
+
+    def may_link(x, y) -> Column:
+        apart = reduce(lambda a, b: a + b, [F.bit_count(F.get(x("sketch"), F.lit(i)).bitwiseXOR(F.get(y("sketch"), F.lit(i)))) for i in range(SKETCH // 64)])
+        fits = F.least(x("n"), y("n")) * 100 >= F.greatest(x("n"), y("n")) * per_cent
+        return fits & (apart * (100 + per_cent) <= (x("n") + y("n")) * (100 - per_cent))
+
+    labels = connect(shared, nodes, [["least"], ["n"], []], may_link, lambda pairs: verify(pairs, nodes, usable, per_cent, size))
+    # the smallest id of each component; only nodes with links or copies move
+    own = relabelled(known.select("id", "node"), "node", labels)
+    smallest = written(own.groupBy("node").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first != last").select("node", "first"), "smallest")
+    out = relabelled(facts.select("id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("node")).alias("node")), "node", labels)
+    return out.join(smallest, "node", "left").select("id", "n_shingles", F.coalesce("first", "id").alias("component_id"))
 
 
 def join_report(docs: DataFrame) -> DataFrame:
