@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm import bitsliced, decontaminate, language_id, line_dedup, mixing, ngram_join, suffix_dedup, surrogates, warc
+from chronoloom.llm import bitsliced, decontaminate, gated_lm, language_id, line_dedup, mixing, ngram_join, suffix_dedup, surrogates, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op2_gated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gated_lm.score_report(table(spark, sf_dir, "documents"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -104,7 +108,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op3_mix_sources, op4_decontaminate, op5_line_dedup, op6_ngram_join, op7_suffix_dedup, op8_top_k, op9_language_id, op10_surrogates)}
+    return {f.__name__: f for f in (op1_warc, op2_gated_lm, op3_mix_sources, op4_decontaminate, op5_line_dedup, op6_ngram_join, op7_suffix_dedup, op8_top_k, op9_language_id, op10_surrogates)}
 
 
 def oracle_sql() -> dict[str, str]:
