@@ -6,21 +6,37 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["edge_years"](spark, sf_dir)
 
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with its SQL if it has one."""
+
+    def add(fn: Query) -> Query:
+        _QUERIES[fn.__name__] = fn
+        if sql:
+            _SQL[fn.__name__] = sql
+        return fn
+
+    return add
 
-def edge_years(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
 
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return orders.groupBy(F.year("o_orderdate").alias("year")).agg(F.count("*").alias("n_edges"))
+def _load() -> None:
+    from chronoloom.plans import edge_queries, graph_queries, imputation_queries, metric_queries, run_queries, sampling_queries  # noqa: F401
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"edge_years": edge_years}
+def queries() -> dict[str, Query]:
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"edge_years": "SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS n_edges FROM orders GROUP BY 1"}
+    _load()
+    return dict(_SQL)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imputed links by year: candidates, scores, filter, aggregate."""
+    return queries()["imputation_by_year"](spark, sf_dir)
