@@ -10,8 +10,8 @@ names keep the gender of their title and their script.
 
 Collision checks run over the distinct entities of the whole table: no two
 entities of a type may share a replacement and no replacement may be a real
-entity. Entities that fail draw again; the few that did are joined back to
-their documents. Texts without such entities are never shuffled.
+entity. Entities that fail draw again. Replacements are made once for each
+distinct entity and joined to the documents that hold it.
 
 Defined cases: a null text stays null and has no entities; texts without
 entities are returned as they are; repeated rows get equal replacements; rows
@@ -54,6 +54,8 @@ _SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
 _IP = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d])"
 _NAME = rf"(?<!\p{{L}})(?:{MALE}|{FEMALE})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?"
 PATTERN = "|".join([_SECRET, _EMAIL, _KEY, _PHONE, _CARD, _SSN, _IP, _NAME])
+#: Every entity holds one of these; a text without any is not searched.
+QUICK = rf"[@0-9]|[=:]\s{{0,2}}[\"']?[A-Za-z0-9_\-+/.!@#$%^&*]|(?:{MALE}|{FEMALE})\.? \p{{Lu}}"
 _DIGITS = ["phone", "card", "ssn"]
 
 
@@ -141,18 +143,16 @@ def _laid_out(e: Column, digits: Column) -> Column:
     return F.array_join(F.transform(_chars(e), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(digits, place(i), F.lit(1))).otherwise(c)), "")
 
 
-def replaced(key: str, e: Column, extra: Column) -> Column:
-    """The replacement of an entity as it stands in the text."""
-    kind = kind_of(e)
-    attempt = lambda u: F.coalesce(F.try_element_at(extra, F.concat(u["kind"], F.lit("|"), u["canon"])), F.lit(0))
-    got = F.transform(parts(e), lambda u: surrogate(key, u["kind"], u["canon"], attempt(u)))
+def rendered(e: Column, kind: Column, got: Column) -> Column:
+    """An entity's replacement as it stands in the text, from the surrogates
+    of its units."""
     first = F.get(got, F.lit(0))
     name = F.concat(F.substring_index(e, " ", 1), F.lit(" "), F.array_join(F.transform(got, F.initcap), " "))
     return F.when(kind == "secret", F.concat(_prefix(e), first)).when(kind.isin(_DIGITS), _laid_out(e, first)).when((kind == "email") & (e == F.upper(e)), F.upper(first)).when(kind == "name", name).otherwise(first)
 
 
 def _settle(units: DataFrame, key: str, most: int) -> DataFrame:
-    """kind, canon, attempt of the entities whose first draw collided."""
+    """kind, canon, s: a replacement for every entity, no two alike."""
     draw = surrogate(key, F.col("kind"), F.col("canon"), F.col("attempt"))
     rows = written(units.withColumn("attempt", F.lit(0)).withColumn("s", draw), "surrogates")
     real = units.select("kind", F.col("canon").alias("s")).withColumn("real", F.lit(True))
@@ -161,28 +161,37 @@ def _settle(units: DataFrame, key: str, most: int) -> DataFrame:
         shared = rows.groupBy("kind", "s").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "canon")).alias("owner")).join(real, ["kind", "s"], "left").where("n > 1 or real")
         shared = written(shared.select("kind", "s", "owner", F.coalesce("real", F.lit(False)).alias("real")), "contested")
         if shared.isEmpty():
-            return rows.where("attempt > 0").select("kind", "canon", "attempt")
+            return rows.select("kind", "canon", "s")
         moved = rows.join(shared, ["kind", "s"], "left")
         again = F.col("owner").isNotNull() & (F.col("real") | (F.col("canon") != F.col("owner.canon")))
         rows = written(moved.withColumn("attempt", F.col("attempt") + F.when(again, 1).otherwise(0)).select("kind", "canon", "attempt").withColumn("s", draw), "surrogates")
     raise ValueError("surrogates still collide; the key space of an entity type is exhausted")
 
 
+def replacements(found: DataFrame, key: str, most_attempts: int) -> DataFrame:
+    """e, r: a replacement for each distinct entity string of found (e)."""
+    rows = found.select("e").distinct().withColumn("kind", kind_of(F.col("e"))).withColumn("units", parts(F.col("e")))
+    rows = written(rows, "entities")
+    flat = rows.select("e", "kind", F.posexplode("units").alias("pos", "u")).select("e", "kind", "pos", F.col("u.kind").alias("unit"), "u.canon")
+    settled = _settle(flat.select(F.col("unit").alias("kind"), "canon").distinct(), key, most_attempts)
+    got = flat.join(settled.withColumnRenamed("kind", "unit"), ["unit", "canon"]).groupBy("e", "kind").agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("got"))
+    return written(got.select("e", rendered(F.col("e"), F.col("kind"), F.transform("got", lambda g: g["s"])).alias("r")), "replacements")
+
+
 def replace_entities(docs: DataFrame, key: str = "chronoloom", id_col: str = "doc_id", text_col: str = "text", most_attempts: int = 64) -> DataFrame:
-    """docs with text_col rewritten and a column ``n_entities``."""
-    base = docs.withColumn("_found", F.coalesce(F.when(F.col(text_col).rlike(PATTERN), F.regexp_extract_all(F.col(text_col), F.lit(PATTERN), F.lit(0))), F.array().cast("array<string>")))
-    here = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text")).where(F.col("text").rlike(PATTERN))
-    here = here.select("key", F.explode(F.array_distinct(F.flatten(F.transform(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)), parts)))).alias("u"))
-    here = written(here.select("key", "u.kind", "u.canon"), "entities")
-    units = here.select("kind", "canon").distinct()
-    again = written(_settle(units, key, most_attempts), "redrawn")
-    if again.isEmpty():
-        base = base.withColumn("_extra", F.lit(None).cast("map<string,int>"))
-    else:
-        name = F.concat("kind", F.lit("|"), "canon")
-        extra = here.distinct().join(again, ["kind", "canon"]).groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct(name, F.col("attempt")))).alias("_extra"))
-        base = base.withColumn("_key", F.xxhash64(F.col(id_col), F.col(text_col))).join(extra.withColumnRenamed("key", "_key"), "_key", "left").drop("_key")
-    between = F.split(F.col(text_col), PATTERN, -1)
-    new = F.transform("_found", lambda e: replaced(key, e, F.col("_extra")))
-    text = F.array_join(F.flatten(F.zip_with(between, new, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    return base.withColumn("n_entities", F.size("_found").cast("long")).withColumn(text_col, F.when(F.size("_found") > 0, text).otherwise(F.col(text_col))).drop("_found", "_extra")
+    """docs with text_col rewritten and a column ``n_entities``. Only texts that
+    hold entities meet the replacements; the others pass."""
+    text = F.col(text_col)
+    listed = F.when(text.rlike(QUICK), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
+    place = F.xxhash64(F.col(id_col), text)
+    found = docs.select(place.alias("key"), F.explode(F.array_distinct(listed)).alias("e"))
+    found = written(found, "found")
+    pairs = found.distinct().join(replacements(found, key, most_attempts), "e")
+    maps = written(pairs.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("e", "r"))).alias("_map")), "maps")
+    rows = docs.withColumn("_key", place).join(maps.withColumnRenamed("key", "_key"), "_key", "left")
+    some = F.col("_map").isNotNull()
+    here = F.when(some, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
+    between = F.when(some, F.split(text, PATTERN, -1))
+    new = F.array_join(F.flatten(F.zip_with(between, here, lambda a, b: F.array(a, F.coalesce(F.try_element_at("_map", b), F.lit(""))))), "")
+    rows = rows.withColumn("n_entities", F.when(some, F.size(here)).otherwise(F.lit(0)).cast("long")).withColumn(text_col, F.when(some, new).otherwise(text))
+    return rows.drop("_key", "_map")
