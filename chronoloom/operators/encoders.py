@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoloom.functions.lineage import cut
 from chronoloom.operators.graph import propagate
 
 Weights = dict[str, np.ndarray]
@@ -92,17 +93,18 @@ def _by_year(adj: DataFrame, features: DataFrame) -> DataFrame:
 def gat_layer(edges: DataFrame, features: DataFrame, weights: Weights, heads: int, slope: float = 0.2) -> DataFrame:
     """year, node, x: multi-head attention from source to target with self
     loops; heads side by side. features: year, node, x."""
+    features = cut(features)  # read once for each head
     every = features.select("year", "node").distinct()
     loops = every.select("year", F.col("node").alias("src"), F.col("node").alias("tgt"))
-    pairs = edges.select("year", "src", "tgt").where("src != tgt").unionByName(loops)
+    pairs = cut(edges.select("year", "src", "tgt").where("src != tgt").unionByName(loops))
     out = None
     for k in range(heads):
         h = dense(features, lambda v, p: np.concatenate([v @ p["w"], (v @ p["w"] @ p["a"])[:, None], (v @ p["w"] @ p["d"])[:, None]], 1), {"w": weights[f"w{k}"], "a": weights[f"a{k}"], "d": weights[f"d{k}"]}, keys=("year", "node"))
         n = weights[f"w{k}"].shape[1]
-        h = h.select("year", "node", F.slice("x", 1, n).alias("h"), F.get("x", F.lit(n)).alias("es"), F.get("x", F.lit(n + 1)).alias("ed"))
+        h = cut(h).select("year", "node", F.slice("x", 1, n).alias("h"), F.get("x", F.lit(n)).alias("es"), F.get("x", F.lit(n + 1)).alias("ed"))
         e = pairs.join(h.select("year", F.col("node").alias("src"), "h", "es"), ["year", "src"]).join(h.select("year", F.col("node").alias("tgt"), "ed"), ["year", "tgt"])
         s = F.col("es") + F.col("ed")
-        e = e.withColumn("l", F.when(s > 0, s).otherwise(s * slope))
+        e = cut(e.select("year", "tgt", "h", F.when(s > 0, s).otherwise(s * slope).alias("l")))
         top = e.groupBy("year", "tgt").agg(F.max("l").alias("m"))
         e = e.join(top, ["year", "tgt"]).withColumn("u", F.exp(F.col("l") - F.col("m")))
         whole = e.groupBy("year", "tgt").agg(F.sum("u").alias("z"))
@@ -241,8 +243,8 @@ def subgraph_scores(pairs: DataFrame, sub: DataFrame, labels: DataFrame, feature
     subgraph; sub carries a time weight."""
     shared = sub.sparkSession.sparkContext.broadcast(weights)
     nodes = labels.join(features, "node", "left").select("pair_id", "node", "label", "x")
-    edges = sub.select("pair_id", "src", "tgt", "weight")
-    whole = nodes.join(pairs, "pair_id")
+    edges = sub.select(*[F.col(c).alias(c) for c in ("pair_id", "src", "tgt", "weight")])
+    whole = nodes.join(pairs, "pair_id").select(*[F.col(c).alias(c) for c in ("pair_id", "node", "label", "x", "a", "b")])
 
     def run(key: tuple, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         p = shared.value

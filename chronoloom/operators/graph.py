@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoloom.functions.lineage import cut
 from chronoloom.functions.scalars import dot, inverse_sqrt, norm, temporal_weight
 from chronoloom.operators.edges import degrees
 
@@ -48,11 +49,11 @@ def k_hop(pairs: DataFrame, edges: DataFrame, k: int = 2, undirected: bool = Tru
     one = edges.select(F.col("tgt").alias("node"), F.col("src").alias("next"))
     if undirected:
         one = one.unionByName(edges.select(F.col("src").alias("node"), F.col("tgt").alias("next")))
-    step = one.distinct()
-    seen = pairs.select("pair_id", F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("hop", F.lit(0))
+    step = cut(one.distinct())
+    seen = cut(pairs.select("pair_id", F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("hop", F.lit(0)))
     front = seen.select("pair_id", "node")
     for hop in range(1, k + 1):
-        front = front.join(step, "node").select("pair_id", F.col("next").alias("node")).distinct().join(seen, ["pair_id", "node"], "left_anti")
+        front = cut(front.join(step, "node").select("pair_id", F.col("next").alias("node")).distinct().join(seen, ["pair_id", "node"], "left_anti"))
         seen = seen.unionByName(front.withColumn("hop", F.lit(hop)))
     return seen
 
@@ -73,10 +74,11 @@ def distances(pairs: DataFrame, sub: DataFrame, cutoff: int) -> DataFrame:
     """pair_id, node, end (a or b), d: breadth-first distances in each pair's
     own subgraph, direction ignored, up to the cutoff."""
     step = sub.select("pair_id", F.col("src").alias("node"), F.col("tgt").alias("next")).unionByName(sub.select("pair_id", F.col("tgt").alias("node"), F.col("src").alias("next"))).distinct()
+    step = cut(step)
     seen = pairs.select("pair_id", F.explode(F.array(F.struct(F.lit("a").alias("end"), F.col("a").alias("node")), F.struct(F.lit("b").alias("end"), F.col("b").alias("node")))).alias("s")).select("pair_id", "s.end", "s.node").withColumn("d", F.lit(0))
     front = seen.select("pair_id", "end", "node")
     for d in range(1, cutoff + 1):
-        front = front.join(step, ["pair_id", "node"]).select("pair_id", "end", F.col("next").alias("node")).distinct().join(seen, ["pair_id", "end", "node"], "left_anti")
+        front = cut(front.join(step, ["pair_id", "node"]).select("pair_id", "end", F.col("next").alias("node")).distinct().join(seen, ["pair_id", "end", "node"], "left_anti"))
         seen = seen.unionByName(front.withColumn("d", F.lit(d)))
     return seen
 

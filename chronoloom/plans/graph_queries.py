@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from chronoloom.catalog import query
+from chronoloom.functions.lineage import cut
 from chronoloom.operators import edges as E
 from chronoloom.operators import encoders as N
 from chronoloom.operators import graph as G
@@ -99,8 +100,8 @@ def _bfs() -> str:
 @query(sql("""SELECT h.pair_id, h.node, CAST(CASE WHEN x.d IS NULL OR y.d IS NULL THEN 0 ELSE least(1 + least(x.d, y.d) + greatest(x.d, y.d) * (greatest(x.d, y.d) + 1) // 2, 5) END AS INTEGER) AS label
   FROM hops h JOIN pair p ON p.pair_id = h.pair_id LEFT JOIN dist x ON x.pair_id = h.pair_id AND x.node = h.node AND x.start = p.a LEFT JOIN dist y ON y.pair_id = h.pair_id AND y.node = h.node AND y.start = p.b""", "pos", thin=THIN, pair=PAIR, hops=HOPS, sub=_SUB, step=_STEP, dist=_bfs()))
 def drnl_labels(spark, d):
-    t = _thin(spark, d)
-    pairs = _pairs(spark, d)
+    t = cut(_thin(spark, d))
+    pairs = cut(_pairs(spark, d))
     members = G.k_hop(pairs, t)
     return G.role_labels(pairs, members, G.induced(members, t))
 
@@ -174,7 +175,7 @@ def egcn_encode(spark, d):
 def _samples(spark, d):
     """Labelled pairs with the positions of their years and encoded features."""
     rows = S.labelled_dataset(spark, d).withColumn("pos", (F.col("year") - YEARS[0]).cast("int")).select("src", "tgt", "pos", "label").distinct()
-    return N.gather(rows, _z(spark, d), len(YEARS)).join(rows, ["src", "tgt", "pos"])
+    return cut(N.gather(rows, _z(spark, d), len(YEARS)).join(rows, ["src", "tgt", "pos"]))
 
 
 @query()
@@ -191,7 +192,7 @@ def multi_model_inference(spark, d):
 
 @query()
 def seal_score(spark, d):
-    t, pairs = _thin(spark, d), _pairs(spark, d)
+    t, pairs = cut(_thin(spark, d)), cut(_pairs(spark, d))
     members = G.k_hop(pairs, t)
     sub = G.weighted_by_time(G.induced(members, t), 1998)
     w = N.init(6, {"embed": (6, 4), "w0": (4 + DIMS, 8), "w1": (8, 4), "head": (8,)})

@@ -10,8 +10,9 @@ from pyspark.sql import types as T
 WINDOW = (1996, 2000)
 OBSERVED, EXTERNAL, IMPUTED = "observed", "external", "imputation"
 
-NODES = T.StructType.fromDDL("company_id long, name string, country string, industry_1st string, industry_2nd string, embedding array<double>")
-EDGES = T.StructType.fromDDL("src long, tgt long, year int, source string, probability double, model string")
+_TEXT, _ID, _REAL = T.StringType(), T.LongType(), T.DoubleType()
+NODES = T.StructType().add("company_id", _ID).add("name", _TEXT).add("country", _TEXT).add("industry_1st", _TEXT).add("industry_2nd", _TEXT).add("embedding", T.ArrayType(_REAL))
+EDGES = T.StructType().add("src", _ID).add("tgt", _ID).add("year", T.IntegerType()).add("source", _TEXT).add("probability", _REAL).add("model", _TEXT)
 TRIPLE = ["src", "tgt", "year"]
 
 
