@@ -69,6 +69,32 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
 FROM h
 """
 
+OP4_SQL = r"""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), bw AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+), win AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS m, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS t
+  FROM bw, unnest(range(1, greatest(len(w) - 12, 1) + 1)) r(i) WHERE len(w) > 0
+), pos AS (
+  SELECT doc_id, i, m, array_to_string(w[i:i + m - 1], ' ') AS t
+  FROM dw, (SELECT DISTINCT m FROM win), unnest(range(1, len(w) - m + 2)) r(i)
+), hit AS (
+  SELECT DISTINCT pos.doc_id, pos.i, pos.m, win.item_id FROM pos JOIN win ON pos.m = win.m AND pos.t = win.t
+), word AS (
+  SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS x FROM hit) GROUP BY doc_id
+), item AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM dw LEFT JOIN word USING (doc_id) LEFT JOIN item USING (doc_id)
+"""
+
 OP6_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
@@ -112,4 +138,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op6_ngram_join": OP6_SQL, "op8_top_k": OP8_SQL}
+    return {"op1_warc": OP1_SQL, "op4_decontaminate": OP4_SQL, "op6_ngram_join": OP6_SQL, "op8_top_k": OP8_SQL}
