@@ -188,10 +188,10 @@ def replace_entities(docs: DataFrame, key: str = "chronoloom", id_col: str = "do
     found = written(found, "found")
     pairs = found.distinct().join(replacements(found, key, most_attempts), "e")
     maps = written(pairs.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("e", "r"))).alias("_map")), "maps")
-    rows = docs.withColumn("_key", place).join(maps.withColumnRenamed("key", "_key"), "_key", "left")
-    some = F.col("_map").isNotNull()
-    here = F.when(some, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
-    between = F.when(some, F.split(text, PATTERN, -1))
+    holds = F.coalesce(text.rlike(QUICK) & text.rlike(PATTERN), F.lit(False))
+    rows = docs.where(holds).withColumn("_key", place).join(maps.withColumnRenamed("key", "_key"), "_key")
+    here = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+    between = F.split(text, PATTERN, -1)
     new = F.array_join(F.flatten(F.zip_with(between, here, lambda a, b: F.array(a, F.coalesce(F.try_element_at("_map", b), F.lit(""))))), "")
-    rows = rows.withColumn("n_entities", F.when(some, F.size(here)).otherwise(F.lit(0)).cast("long")).withColumn(text_col, F.when(some, new).otherwise(text))
-    return rows.drop("_key", "_map")
+    rows = rows.withColumn("n_entities", F.size(here).cast("long")).withColumn(text_col, new).select(*docs.columns, "n_entities")
+    return rows.unionByName(docs.where(~holds).withColumn("n_entities", F.lit(0).cast("long")))
