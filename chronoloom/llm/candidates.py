@@ -28,15 +28,18 @@ def meeting(rows: DataFrame) -> DataFrame:
     return both.where(shared).select("sig", "id")
 
 
-def connect(shared: DataFrame, nodes: DataFrame, orders: list[list[str]], may_link: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def connect(shared: DataFrame, nodes: DataFrame, orders: list[list[str]], may_link: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], verify: Callable[[DataFrame], DataFrame], inline: bool = False) -> DataFrame:
     """Labels (node, comp) of the components of all links.
 
     shared: sig, id; nodes: one row for each id, with the columns that orders
     and may_link use; orders: by which columns a round sorts a signature's
     rows; may_link(x, y) is a cheap condition that every link meets, x and y
-    giving the columns of either side; verify(pairs a, b): a, b, linked.
+    giving the columns of either side; verify(pairs a, b): a, b, linked;
+    inline: the nodes' columns are few enough to travel with every row, so that
+    neighbours are tested before they become pairs.
     """
     links, labels, checked = None, None, None
+    nodes = written(nodes.join(shared.select("id").distinct(), "id", "left_semi"), "shared-nodes")
     sides = lambda a, b: may_link(lambda c: F.col(f"{a}.{c}"), lambda c: F.col(f"{b}.{c}"))
     brief = nodes.select("id", *dict.fromkeys(c for o in orders for c in o if c != "id"))
     for step, order in enumerate([*orders, None]):
@@ -48,9 +51,15 @@ def connect(shared: DataFrame, nodes: DataFrame, orders: list[list[str]], may_li
             shared = rows.select("sig", "id")
         if order:
             w = Window.partitionBy("sig").orderBy(*order, "id")
-            near = rows.join(brief, "id").withColumn("a", F.lag("id").over(w)).withColumn("ac", F.lag("comp").over(w)).where("a is not null and ac != comp")
-            pairs = near.groupBy(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).agg(F.count("*").alias("shared"))
-            pairs = pairs.alias("p").join(nodes.alias("x"), F.col("p.a") == F.col("x.id")).join(nodes.alias("y"), F.col("p.b") == F.col("y.id")).where(sides("x", "y")).select("p.*")
+            if inline:
+                both = rows.join(nodes.select("id", F.struct(*nodes.columns).alias("y")), "id").select("*", *[F.col(f"y.{c}").alias(f"_{c}") for c in brief.columns if c != "id"])
+                w = Window.partitionBy("sig").orderBy(*[f"_{c}" for c in order], "id")
+                both = both.withColumn("x", F.lag("y").over(w)).withColumn("ac", F.lag("comp").over(w)).where(F.col("ac") != F.col("comp")).where(sides("x", "y"))
+                pairs = both.groupBy(F.least("x.id", "id").alias("a"), F.greatest("x.id", "id").alias("b")).agg(F.count("*").alias("shared"))
+            else:
+                near = rows.join(brief, "id").withColumn("a", F.lag("id").over(w)).withColumn("ac", F.lag("comp").over(w)).where("a is not null and ac != comp")
+                pairs = near.groupBy(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).agg(F.count("*").alias("shared"))
+                pairs = pairs.alias("p").join(nodes.alias("x"), F.col("p.a") == F.col("x.id")).join(nodes.alias("y"), F.col("p.b") == F.col("y.id")).where(sides("x", "y")).select("p.*")
             if not step:  # of a row's neighbours the one that it shares most with
                 pairs = pairs.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
         else:
