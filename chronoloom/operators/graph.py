@@ -29,6 +29,18 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return rows.select("year", "src", "tgt", w.alias("weight"))
 
 
+def looped_adjacency(edges: DataFrame) -> DataFrame:
+    """year, src, tgt, weight of the standard normalisation: a self loop for
+    each node of the year, degrees counted at the target."""
+    n = edges.groupBy("year", "src", "tgt").agg(F.count("*").alias("n"))
+    ends = edges.select("year", F.explode(F.array("src", "tgt")).alias("node")).distinct()
+    rows = n.unionByName(ends.select("year", F.col("node").alias("src"), F.col("node").alias("tgt"), F.lit(1).cast("long").alias("n")))
+    rows = rows.groupBy("year", "src", "tgt").agg(F.sum("n").alias("n"))
+    d = rows.groupBy("year", F.col("tgt").alias("node")).agg(F.sum("n").alias("d"))
+    rows = rows.join(d.select("year", F.col("node").alias("src"), F.col("d").alias("ds")), ["year", "src"]).join(d.select("year", F.col("node").alias("tgt"), F.col("d").alias("dt")), ["year", "tgt"])
+    return rows.select("year", "src", "tgt", (F.col("n") * inverse_sqrt(F.col("ds")) * inverse_sqrt(F.col("dt"))).alias("weight"))
+
+
 def propagate(adj: DataFrame, features: DataFrame, to_src: bool = True) -> DataFrame:
     """year, node, x: weighted sums of neighbours' vectors. to_src: a source
     receives from its targets; else the other way.

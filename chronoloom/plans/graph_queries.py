@@ -35,6 +35,15 @@ def degree_stats(spark, d):
     return rounded(G.degree_summary(_pos(spark, d)), "mean")
 
 
+LOOPED = """SELECT year, src, tgt, sum(n) AS n FROM (SELECT year, src, tgt, count(*) AS n FROM pos GROUP BY ALL
+  UNION ALL SELECT DISTINCT year, node, node, 1 FROM (SELECT year, src AS node FROM pos UNION ALL SELECT year, tgt FROM pos)) GROUP BY ALL"""
+
+
+@query(sql("SELECT e.year, e.src, e.tgt, round(e.n::DOUBLE / sqrt(a.d::DOUBLE) / sqrt(b.d::DOUBLE), 6) AS weight FROM e JOIN d a ON a.year = e.year AND a.node = e.src JOIN d b ON b.year = e.year AND b.node = e.tgt", "pos", e=LOOPED, d="SELECT year, tgt AS node, sum(n) AS d FROM e GROUP BY ALL"))
+def looped_adjacency(spark, d):
+    return rounded(G.looped_adjacency(_pos(spark, d)), "weight")
+
+
 # customers have no out-edges, so some edges are mirrored to give weights
 BOTH = "SELECT src, tgt, year FROM pos UNION ALL SELECT tgt, src, year FROM pos WHERE src % 2 = 0"
 ADJ = "SELECT e.year, e.src, e.tgt, e.n / sqrt(a.d) * coalesce(1 / sqrt(b.d), 0) AS weight FROM (SELECT year, src, tgt, count(*) AS n FROM both_ways GROUP BY ALL) e JOIN deg a ON a.year = e.year AND a.src = e.src LEFT JOIN deg b ON b.year = e.year AND b.src = e.tgt"

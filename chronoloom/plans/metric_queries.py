@@ -255,6 +255,12 @@ def highvar_by_prob(spark, d):
     return rounded(V.by_probability(_flagged(spark, d)), "mean_std", "positive_share")
 
 
+@query(sql("""SELECT CAST(b AS INTEGER) AS bin, (b + 0.5::DOUBLE) / 20 AS mid, count(f.sample_id) AS n, count(*) FILTER (WHERE high_var) AS n_high, round(avg(std_prob), 6) AS mean_std, round(avg(label), 6) AS positive_share
+  FROM range(0, 20) r(b) LEFT JOIN f ON mean_prob > b / 20.0::DOUBLE AND mean_prob <= (b + 1) / 20.0::DOUBLE GROUP BY b""", "scores", "samples", mat=MAT, f=FLAG))
+def highvar_by_confidence(spark, d):
+    return rounded(V.by_probability(_flagged(spark, d), 20), "mean_std", "positive_share")
+
+
 _HEAT = "CASE " + " ".join(f"WHEN {{0}} > {a} AND {{0}} <= {b} THEN {i}" for i, (a, b) in enumerate(zip(V.HEAT_EDGES[:-1], V.HEAT_EDGES[1:], strict=True))) + " END"
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from chronoloom.catalog import query
+from chronoloom.functions.scalars import duration_text as duration_text_of
 from chronoloom.operators import runs as R
 from chronoloom.oracle import sql
 from chronoloom.plans.metric_queries import rounded
@@ -107,3 +108,10 @@ def hist_wasserstein(spark, d):
 def composite_score(spark, d):
     s = R.summary_table(T.metric_log(spark, d), TAGS)
     return rounded(R.composite(s, "Train_Epoch_Loss", "Test_Epoch_AUC", "Test_Epoch_F1").select("model", "flag", "score"), "score")
+
+
+@query("""SELECT x AS seconds, CASE WHEN x < 60 THEN printf('%.1fs', x) WHEN x < 3600 THEN printf('%dm%02ds', CAST(x AS BIGINT) // 60, CAST(x AS BIGINT) % 60)
+  ELSE printf('%dh%02dm', CAST(x AS BIGINT) // 3600, CAST(x AS BIGINT) % 3600 // 60) END AS shown FROM (SELECT CAST(i AS DOUBLE) AS x FROM range(0, 20000, 37) r(i))""")
+def duration_text(spark, d):
+    rows = spark.range(0, 20000, 37).select(F.col("id").cast("double").alias("seconds"))
+    return rows.withColumn("shown", duration_text_of(F.col("seconds")))

@@ -120,7 +120,15 @@ def industry_negatives(spark, d):
     return S.industry_negatives(_pos(spark, d).distinct(), E.industry_members(n), _ids(spark, d), _known(spark, d), 5000, SEED)
 
 
-@query()
+W_SQL = "SELECT year, inv / sum(inv) OVER () AS weight FROM (SELECT year, sum(count(*)) OVER () / CAST(count(*) AS DOUBLE) AS inv FROM pos GROUP BY year)"
+SWAP = f"""SELECT DISTINCT src, tgt, coalesce(y, z) AS year FROM (
+  SELECT src, tgt, year, min(o) FILTER (WHERE c > target) AS y, max(o) AS z FROM (
+    SELECT p.src, p.tgt, p.year, w.year AS o, sum(w.weight) OVER (PARTITION BY p.src, p.tgt, p.year ORDER BY w.year) AS c,
+      {unit("42", "p.src", "p.tgt", "p.year")} * sum(w.weight) OVER (PARTITION BY p.src, p.tgt, p.year) AS target
+    FROM dp p JOIN w ON w.year <> p.year) GROUP BY src, tgt, year)"""
+
+
+@query(sql("SELECT src, tgt, year FROM swapped WHERE (src, tgt, year) NOT IN (SELECT src, tgt, year FROM known)", "pos", "ext", dp=DP, known=KNOWN, w=W_SQL, swapped=SWAP))
 def time_swap_negatives(spark, d):
     pos = _pos(spark, d)
     return S.time_swaps(pos, S.year_weights(pos), _known(spark, d), SEED)

@@ -123,6 +123,13 @@ def test_matching_weights():
     assert list(fit) == ["a"] and skipped == 2
 
 
+def test_restart_keeps_the_backbone():
+    p = {"static_w": np.ones((2, 2)), **{f"f_{k}": np.ones(s) for k, s in {"wi": (2, 6), "wh": (2, 6), "bi": (6,)}.items()}}
+    q = L.restarted(p, 1)
+    assert (q["static_w"] == 1).all() and q["f_bi"].tolist() == [0, 0, 1, 1, 0, 0]
+    assert np.allclose(q["f_wh"] @ q["f_wh"].T, np.eye(2))
+
+
 def test_negatives_are_unknown_and_repeatable(spark):
     ids = spark.createDataFrame([(i,) for i in range(30)], "company_id long")
     known = spark.createDataFrame([(i, j, 2000) for i in range(30) for j in range(0, 30, 2)], "src long, tgt long, year int")
