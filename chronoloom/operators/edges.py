@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoloom.functions.lineage import cut
 from chronoloom.functions.scalars import replace_zeros
 from chronoloom.schema import EXTERNAL, OBSERVED, TRIPLE, WINDOW, in_window
 
@@ -89,7 +90,8 @@ def dense_index(rows: DataFrame, col: str, out: str = "idx") -> DataFrame:
     """
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(parts, col).withColumn("_part", F.spark_partition_id())
+    # read once: a second evaluation could draw other range bounds
+    dealt = cut(rows.repartitionByRange(parts, col).withColumn("_part", F.spark_partition_id()))
     local = dealt.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(col)))
     sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")

@@ -53,7 +53,7 @@ def impute(nodes: DataFrame, network: DataFrame, observed: DataFrame, years: lis
 def upsert(current: DataFrame, new: DataFrame, model: str, source: str = IMPUTED, threshold: float = 0.5) -> DataFrame:
     """The edge table after merging scored links: one row for each (src, tgt,
     year, source, model), new probabilities (4 places) replacing old ones."""
-    rows = new.select(*TRIPLE, F.lit(source).alias("source"), F.lit(model).alias("model"), F.round("prob", 4).alias("probability"), (F.col("prob") > threshold).alias("selected"), F.lit(1).alias("age"))
+    rows = new.select(*TRIPLE, F.lit(source).alias("source"), F.lit(model).alias("model"), (F.floor(F.col("prob") * 10000 + 0.5) / 10000).alias("probability"), (F.col("prob") > threshold).alias("selected"), F.lit(1).alias("age"))
     old = current.select(*TRIPLE, "source", "model", "probability", (F.col("probability") > threshold).alias("selected"), F.lit(0).alias("age"))
     best = F.max_by(F.struct("probability", "selected"), F.struct("age", "probability"))
     return old.unionByName(rows).groupBy(*TRIPLE, "source", "model").agg(best.alias("b")).select(*TRIPLE, "source", "model", "b.probability", "b.selected")
