@@ -22,7 +22,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated and nearly repeated lines go; so do documents left with none."""
-    rows = line_dedup.dedup_lines(docs)
+    rows = line_dedup.dedup_lines(docs, bits=None)
     left = (F.col("lines.removed") == 0) | (line_dedup.normalised(F.col("text")) != "")
     return rows.where(left).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 

@@ -234,6 +234,23 @@ def test_lines_against_brute_force(spark):
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_lines_link_by_edit_similarity_alone(spark):
+    """Lines with changed words, most of them beyond 3 SimHash bits, and short
+    lines."""
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), int(k))) for k in rng.integers(2, 9, 300)]
+    rows = []
+    for i, n in enumerate([9, 12, 16, 20, 25, 30]):
+        line = list(rng.choice(words, n))
+        near = [w if k != n // 2 else "changed" for k, w in enumerate(line)]
+        rows += [(10 * i, " ".join(line)), (10 * i + 1, "start\n" + " ".join(near)), (10 * i + 2, " ".join(reversed(line)))]
+    rows += [(1001, "colour"), (1002, "colours"), (1003, "hello there world"), (1004, "hello there wurld"), (1005, "ten small cats"), (1006, "unlike")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(spark, rows), bits=None).collect()}
+    assert got == brute_lines(rows, bits=63)
+    assert got != brute_lines(rows)
+    assert line_dedup.dedup_lines(docs(spark, []), bits=None).count() == 0
+
+
 def test_simhash_of_many_words(spark):
     words = [f"term{i}" for i in range(700)]
     want = sum(1 << b for b in range(63) if 2 * sum(xxhash.xxh64_intdigest(w.encode(), seed=42) >> b & 1 for w in words) > len(words))
