@@ -20,9 +20,14 @@ def _pos(spark, d):
     return E.scan_edges(T.nodes(spark, d), T.edges(spark, d))
 
 
-def _features(spark, d, dims: int = 64):
+def _features(spark, d, dims: int | None = None):
+    """Embeddings, or their first components where the SQL names only those."""
     n = E.embedded(T.nodes(spark, d))
-    return n.select(F.col("company_id").alias("node"), F.slice("embedding", 1, dims).alias("x"))
+    return n.select(F.col("company_id").alias("node"), (F.slice("embedding", 1, dims) if dims else F.col("embedding")).alias("x"))
+
+
+def _width(features) -> int:
+    return features.agg(F.max(F.size("x"))).first()[0] or 1
 
 
 @query(sql("SELECT year, src, count(*) AS degree FROM pos GROUP BY year, src", "pos"))
@@ -132,12 +137,14 @@ def topk_nodes(spark, d):
     return G.top_nodes(_features(spark, d, 2), [1.0, 2.0], 20)
 
 
-DIMS, HIDDEN = 8, 6
+HIDDEN = 6
 
 
 def _encoded(spark, d):
-    w = N.init(1, {"w0": (DIMS, DIMS), "b0": (DIMS,), "w1": (DIMS, HIDDEN), "b1": (HIDDEN,)})
-    return N.gcn(G.adjacency(_both(spark, d)), _features(spark, d, DIMS), YEARS, w)
+    x = _features(spark, d)
+    n = _width(x)
+    w = N.init(1, {"w0": (n, n), "b0": (n,), "w1": (n, HIDDEN), "b1": (HIDDEN,)})
+    return N.gcn(G.adjacency(_both(spark, d)), x, YEARS, w)
 
 
 def _z(spark, d):
@@ -155,8 +162,9 @@ def gcn_encode(spark, d):
 
 @query()
 def gat_encode(spark, d):
-    shapes = {f"1_{k}{h}": s for h in range(2) for k, s in {"w": (DIMS, 4), "a": (4,), "d": (4,)}.items()} | {"2_w0": (8, HIDDEN), "2_a0": (HIDDEN,), "2_d0": (HIDDEN,)}
-    return _flat(N.gat(_both(spark, d), _features(spark, d, DIMS), YEARS, N.init(3, shapes), heads=2), "x")
+    x = _features(spark, d)
+    shapes = {f"1_{k}{h}": s for h in range(2) for k, s in {"w": (_width(x), 4), "a": (4,), "d": (4,)}.items()} | {"2_w0": (8, HIDDEN), "2_a0": (HIDDEN,), "2_d0": (HIDDEN,)}
+    return _flat(N.gat(_both(spark, d), x, YEARS, N.init(3, shapes), heads=2), "x")
 
 
 @query()
@@ -171,14 +179,17 @@ def unigru_encode(spark, d):
 
 @query()
 def tna_encode(spark, d):
-    w = N.init(4, {"w0": (DIMS, HIDDEN), "b0": (HIDDEN,), **N.gru_shapes(HIDDEN, 4)})
-    return _flat(N.tna(G.adjacency(_both(spark, d)), _features(spark, d, DIMS), YEARS, w), "z")
+    x = _features(spark, d)
+    w = N.init(4, {"w0": (_width(x), HIDDEN), "b0": (HIDDEN,), **N.gru_shapes(HIDDEN, 4)})
+    return _flat(N.tna(G.adjacency(_both(spark, d)), x, YEARS, w), "z")
 
 
 @query()
 def egcn_encode(spark, d):
-    square = {k: (DIMS, DIMS) for k in ("wu", "uu", "wr", "ur", "wc", "uc")} | {k: (DIMS, HIDDEN) for k in ("bu", "br", "bc", "w")}
-    return _flat(N.egcn(G.adjacency(_both(spark, d)), _features(spark, d, DIMS), YEARS, N.init(5, square)), "x")
+    x = _features(spark, d)
+    n = _width(x)
+    square = {k: (n, n) for k in ("wu", "uu", "wr", "ur", "wc", "uc")} | {k: (n, HIDDEN) for k in ("bu", "br", "bc", "w")}
+    return _flat(N.egcn(G.adjacency(_both(spark, d)), x, YEARS, N.init(5, square)), "x")
 
 
 def _samples(spark, d):
@@ -204,8 +215,9 @@ def seal_score(spark, d):
     t, pairs = cut(_thin(spark, d)), cut(_pairs(spark, d))
     members = G.k_hop(pairs, t)
     sub = G.weighted_by_time(G.induced(members, t), 1998)
-    w = N.init(6, {"embed": (6, 4), "w0": (4 + DIMS, 8), "w1": (8, 4), "head": (8,)})
-    return rounded(N.subgraph_scores(pairs, sub, G.role_labels(pairs, members, sub), _features(spark, d, DIMS), w), "prob")
+    x = _features(spark, d)
+    w = N.init(6, {"embed": (6, 4), "w0": (4 + _width(x), 8), "w1": (8, 4), "head": (8,)})
+    return rounded(N.subgraph_scores(pairs, sub, G.role_labels(pairs, members, sub), x, w), "prob")
 
 
 @query()

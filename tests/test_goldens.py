@@ -101,6 +101,18 @@ def test_gcn_against_numpy(spark):
         assert got[i + 1] == pytest.approx(want[i].tolist())
 
 
+@pytest.mark.parametrize("name", ["gcn_encode", "gat_encode", "tna_encode", "egcn_encode"])
+def test_encoders_read_the_last_component(spark, monkeypatch, name):
+    from chronoloom.plans import graph_queries as Q
+
+    codes = lambda: {(r["node"], r["year"] if "year" in r else r["pos"]): r["x" if "x" in r else "z"] for r in Q.__dict__[name](spark, "/root/testdata/sf0.001").collect()}
+    before, nodes = codes(), Q.T.nodes
+    last = F.transform("embedding", lambda v, i: F.when(i == F.size("embedding") - 1, v + 5).otherwise(v))
+    monkeypatch.setattr(Q.T, "nodes", lambda s, d: nodes(s, d).withColumn("embedding", last))
+    after = codes()
+    assert before.keys() == after.keys() and before != after
+
+
 def test_gru_runs_both_ways():
     p = N.init(1, N.gru_shapes(2, 3))
     x = np.random.default_rng(0).normal(size=(4, 5, 2))
