@@ -48,14 +48,18 @@ ENDINGS = {
 _EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9](?:[A-Za-z0-9\-]*+\.)+[A-Za-z]{2,}"
 _SECRET = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9_\-+/.!@#$%^&*]{6,}"
 _KEY = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
-_PHONE = r"\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}(?!\d)"
+_ABROAD = r"\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}(?!\d)"
+#: National layouts: an area code in parentheses, three-three-four digits, and
+#: a leading 0 with two or three further groups.
+_HOME = r"(?<![\p{L}\d.+\-(])(?:\(0?\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}|(?:1[ .\-])?\d{3}[ .\-]\d{3}[ .\-]\d{4}|0\d{1,4}(?:[ .\-]\d{3,4}){2}|0\d{2,4}[ .\-/]\d{5,8}|0\d(?:[ .\-]\d{2}){4})(?![\d]|[.\-]\d)"
+_PHONE = rf"(?:{_ABROAD}|{_HOME})"
 _CARD = r"(?<![\d.])\d{4}(?:[ \-]?\d{4}){3}(?!\d)"
 _SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
 _IP = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d])"
 _NAME = rf"(?<!\p{{L}})(?:{MALE}|{FEMALE})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?"
 PATTERN = "|".join([_SECRET, _EMAIL, _KEY, _PHONE, _CARD, _SSN, _IP, _NAME])
 #: Every entity holds one of these; a text without any is not searched.
-QUICK = rf"[@0-9]|[=:]\s{{0,2}}[\"']?[A-Za-z0-9_\-+/.!@#$%^&*]|(?:{MALE}|{FEMALE})\.? \p{{Lu}}"
+QUICK = rf"[@0-9]|AKIA|[=:]\s{{0,2}}[\"']?[A-Za-z0-9_\-+/.!@#$%^&*]|(?:{MALE}|{FEMALE})\.? \p{{Lu}}"
 _DIGITS = ["phone", "card", "ssn"]
 
 
