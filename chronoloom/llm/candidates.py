@@ -20,12 +20,33 @@ from chronoloom.llm.common import written
 from chronoloom.llm.components import components, relabelled
 
 
-def meeting(rows: DataFrame) -> DataFrame:
-    """Rows (sig, id) whose signature another id shares."""
-    w = Window.partitionBy("sig").orderBy("id")
-    both = rows.withColumn("before", F.lag("id").over(w)).withColumn("after", F.lead("id").over(w))
-    shared = ((F.col("before") != F.col("id")) | F.col("before").isNull()) & ((F.col("before") != F.col("id")) | (F.col("after") != F.col("id")))
-    return both.where(shared).select("sig", "id")
+#: Rows of one signature that are put in order together.
+SPAN = 20_000
+
+
+def shared_by_two(rows: DataFrame) -> DataFrame:
+    """Distinct rows (sig, id) whose signature another id shares. Signatures
+    are found by an aggregation with a map-side step, so none is a hot group."""
+    met = rows.groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("sig")
+    return rows.join(written(met, "met"), "sig").distinct()
+
+
+def neighbours(rows: DataFrame, order: list[str], keep: list[str], crowded: bool) -> DataFrame:
+    """Each row beside the row before it in its signature's order: keep, and
+    the same columns with the prefix p_. rows: sig, rows_of_sig and id. Where a
+    signature is crowded, with more than SPAN rows, it is dealt into runs, and
+    the first rows of its runs are put in order among themselves."""
+    order = [c for c in order if c not in keep]
+
+    def beside(part: DataFrame, *by: str) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(*order, "id")
+        return part.select("sig", *order, *keep, *[F.lag(c).over(w).alias(f"p_{c}") for c in keep])
+
+    if not crowded:
+        return beside(rows, "sig").where("p_id is not null")
+    near = written(beside(rows.withColumn("_run", F.pmod(F.xxhash64("id"), F.ceil(F.col("rows_of_sig") / SPAN))), "sig", "_run"), "neighbours")
+    heads = beside(near.where("p_id is null").select("sig", *order, *keep), "sig")
+    return near.unionByName(heads).where("p_id is not null")
 
 
 def connect(shared: DataFrame, nodes: DataFrame, orders: list[list[str]], may_link: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], verify: Callable[[DataFrame], DataFrame], inline: bool = False) -> DataFrame:
@@ -41,25 +62,24 @@ def connect(shared: DataFrame, nodes: DataFrame, orders: list[list[str]], may_li
     links, labels, checked = None, None, None
     nodes = written(nodes.join(shared.select("id").distinct(), "id", "left_semi"), "shared-nodes")
     sides = lambda a, b: may_link(lambda c: F.col(f"{a}.{c}"), lambda c: F.col(f"{b}.{c}"))
-    brief = nodes.select("id", *dict.fromkeys(c for o in orders for c in o if c != "id"))
     for step, order in enumerate([*orders, None]):
-        rows = shared.withColumn("comp", F.col("id")) if labels is None else relabelled(shared.withColumn("comp", F.col("id")), "comp", labels)
-        rows = written(rows, "labelled")
-        if labels is not None:  # a signature whose rows are all connected is done
-            left = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("sig")
-            rows = written(rows.join(left, "sig"), "open")
-            shared = rows.select("sig", "id")
-        if order:
-            w = Window.partitionBy("sig").orderBy(*order, "id")
-            if inline:
-                both = rows.join(nodes.select("id", F.struct(*nodes.columns).alias("y")), "id").select("*", *[F.col(f"y.{c}").alias(f"_{c}") for c in brief.columns if c != "id"])
-                w = Window.partitionBy("sig").orderBy(*[f"_{c}" for c in order], "id")
-                both = both.withColumn("x", F.lag("y").over(w)).withColumn("ac", F.lag("comp").over(w)).where(F.col("ac") != F.col("comp")).where(sides("x", "y"))
-                pairs = both.groupBy(F.least("x.id", "id").alias("a"), F.greatest("x.id", "id").alias("b")).agg(F.count("*").alias("shared"))
-            else:
-                near = rows.join(brief, "id").withColumn("a", F.lag("id").over(w)).withColumn("ac", F.lag("comp").over(w)).where("a is not null and ac != comp")
-                pairs = near.groupBy(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).agg(F.count("*").alias("shared"))
-                pairs = pairs.alias("p").join(nodes.alias("x"), F.col("p.a") == F.col("x.id")).join(nodes.alias("y"), F.col("p.b") == F.col("y.id")).where(sides("x", "y")).select("p.*")
+        rows = shared.withColumn("comp", F.col("id"))
+        rows = rows if labels is None else written(relabelled(rows, "comp", labels), "labelled")
+        # a signature whose rows are all connected is done
+        left = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows_of_sig"))
+        left = written(left.where("lo != hi").select("sig", "rows_of_sig"), "open-signatures")
+        crowded = not left.where(F.col("rows_of_sig") > SPAN).isEmpty()
+        rows = written(rows.join(left, "sig"), "open")
+        shared = rows.select("sig", "id")
+        if order and inline:
+            both = rows.join(nodes.select("id", F.struct(*nodes.columns).alias("y")), "id").select("*", *[F.col(f"y.{c}").alias(f"o_{c}") for c in order])
+            both = neighbours(both, [f"o_{c}" for c in order], ["id", "comp", "y"], crowded).where("p_comp != comp").where(sides("p_y", "y"))
+            pairs = both.groupBy(F.least("p_id", "id").alias("a"), F.greatest("p_id", "id").alias("b")).agg(F.count("*").alias("shared"))
+        elif order is not None:
+            near = neighbours(rows.join(nodes.select("id", *order), "id"), order, ["id", "comp"], crowded).where("p_comp != comp")
+            pairs = near.groupBy(F.least("p_id", "id").alias("a"), F.greatest("p_id", "id").alias("b")).agg(F.count("*").alias("shared"))
+            pairs = pairs.alias("p").join(nodes.alias("x"), F.col("p.a") == F.col("x.id")).join(nodes.alias("y"), F.col("p.b") == F.col("y.id")).where(sides("x", "y")).select("p.*")
+        if order is not None:
             if not step:  # of a row's neighbours the one that it shares most with
                 pairs = pairs.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
         else:

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm.candidates import connect, meeting
+from chronoloom.llm.candidates import connect, shared_by_two
 from chronoloom.llm.common import bound_batches, written
 from chronoloom.llm.components import relabelled
 
@@ -344,7 +344,7 @@ def join(docs: DataFrame, per_cent: int = 80, size: int = 5, id_col: str = "doc_
     usable = base.where("id is not null and text != ''")
     known = facts.where("id is not null and n > 0")
     nodes = written(known.groupBy(F.col("node").alias("id")).agg(F.min("k").alias("k"), F.min("n").alias("n"), F.min("least").alias("least"), F.min("sketch").alias("sketch")), "nodes")
-    shared = written(meeting(index(usable, plan, size)), "shared")
+    shared = written(shared_by_two(written(index(usable, plan, size), "signatures")), "shared")
 
     def may_link(x, y) -> Column:
         apart = reduce(lambda a, b: a + b, [F.bit_count(F.get(x("sketch"), F.lit(i)).bitwiseXOR(F.get(y("sketch"), F.lit(i)))) for i in range(SKETCH // 64)])

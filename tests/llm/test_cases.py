@@ -229,9 +229,9 @@ def test_lines_against_brute_force(spark):
     base = " ".join(f"w{i}" for i in range(60))
     rows = [(1, f"{base}\n\nalone\n..."), (2, f"Alone!\n{base} more\nnew"), (3, None), (4, ""), (5, base.replace("w7 ", "w7x ")), (6, "alone\nalone"), (7, base.upper()), (None, "NEW\nlast")]
     rows += [(r["doc_id"] + 100, r["text"]) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").where("doc_id < 60").collect()]
-    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(spark, rows)).collect()}
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(spark, rows), bits=3).collect()}
     assert got == brute_lines(rows)
-    assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
+    assert line_dedup.dedup_lines(docs(spark, []), bits=3).count() == 0
 
 
 def test_lines_link_by_edit_similarity_alone(spark):
@@ -245,10 +245,27 @@ def test_lines_link_by_edit_similarity_alone(spark):
         near = [w if k != n // 2 else "changed" for k, w in enumerate(line)]
         rows += [(10 * i, " ".join(line)), (10 * i + 1, "start\n" + " ".join(near)), (10 * i + 2, " ".join(reversed(line)))]
     rows += [(1001, "colour"), (1002, "colours"), (1003, "hello there world"), (1004, "hello there wurld"), (1005, "ten small cats"), (1006, "unlike")]
-    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(spark, rows), bits=None).collect()}
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(spark, rows)).collect()}
     assert got == brute_lines(rows, bits=63)
     assert got != brute_lines(rows)
-    assert line_dedup.dedup_lines(docs(spark, []), bits=None).count() == 0
+    assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
+
+
+def test_lines_of_repeated_rows_ties_and_long_texts(spark):
+    """Equal rows hold one group's line once; a tie goes to the smaller id; a
+    long text is read whole; columns called as the operator's own stay."""
+    long_text = "\n".join(f"line number{i} of a{i % 7} very{i} long{i // 3} text it{i} is" for i in range(4000))
+    rows = [(3, "same line\n\n..."), (3, "same line\n\n..."), (3, "same line\n\n..."), (2, "same line\nother thing"), (None, "same line"), (4, None), (4, None), (9, long_text)]
+    d = docs(spark, rows).withColumn("lines", F.lit(7)).withColumn("_key", F.lit("k")).withColumn("_dead", F.lit("d"))
+    out = line_dedup.dedup_lines(d, out="found")
+    assert out.columns == [*d.columns, "found"] and out.where("lines != 7 or _key != 'k' or _dead != 'd'").isEmpty()
+    got = sorted(((r["doc_id"], r["text"], r["found"]["total"], r["found"]["removed"]) for r in out.where("doc_id is null or doc_id != 9").collect()), key=str)
+    want = [(3, "\n...", 3, 1)] * 3 + [(2, "same line\nother thing", 2, 0), (None, "", 1, 1), (4, None, 0, 0), (4, None, 0, 0)]
+    assert got == sorted(want, key=str)
+    assert out.where("doc_id = 9").first()["found"]["total"] == 4000
+    twice = rows_of(line_dedup.dedup_lines(docs(spark, [(1, "only\n-")] * 3)).select("text"))
+    assert twice == [("-",), ("-",), ("only\n-",)]
+    assert rows_of(line_dedup.dedup_lines(d).select("lines.total").where("total = 4000")) == [(4000,)]
 
 
 def test_simhash_of_many_words(spark):
@@ -334,9 +351,17 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).isEmpty()
 
 
-def test_meeting_ignores_repeats(spark):
-    rows = spark.createDataFrame([(1, 5), (1, 5), (2, 5), (2, 6)], "sig long, id long")
-    assert {r["sig"] for r in candidates.meeting(rows).collect()} == {2}
+def test_shared_signatures_ignore_repeats(spark):
+    rows = spark.createDataFrame([(1, 5), (1, 5), (2, 5), (2, 6), (2, 6)], "sig long, id long")
+    assert rows_of(candidates.shared_by_two(rows)) == [(2, 5), (2, 6)]
+
+
+def test_crowded_signatures_are_dealt_into_runs(spark, monkeypatch):
+    monkeypatch.setattr(candidates, "SPAN", 3)
+    rows = spark.createDataFrame([(1, i, i, 40) for i in range(40)], "sig long, id long, comp long, rows_of_sig long")
+    got = candidates.neighbours(rows, [], ["id", "comp"], True).select("p_id", "id").collect()
+    assert dict(map(tuple, components.components(spark.createDataFrame(got, "a long, b long")).collect())) == dict.fromkeys(range(40), 0)
+    assert len(got) == 39
 
 
 # --- suffixes
