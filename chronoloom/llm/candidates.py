@@ -49,7 +49,7 @@ def neighbours(rows: DataFrame, order: list[str], keep: list[str], crowded: bool
     return near.unionByName(heads).where("p_id is not null")
 
 
-def connect(shared: DataFrame, nodes: DataFrame, orders: list[list[str]], may_link: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], verify: Callable[[DataFrame], DataFrame], inline: bool = False) -> DataFrame:
+def connect(shared: DataFrame, nodes: DataFrame, orders: list[list[str]], may_link: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], verify: Callable[[DataFrame], DataFrame], inline: bool = False, exhaustive: bool = True) -> DataFrame:
     """Labels (node, comp) of the components of all links.
 
     shared: sig, id; nodes: one row for each id, with the columns that orders
@@ -57,12 +57,14 @@ def connect(shared: DataFrame, nodes: DataFrame, orders: list[list[str]], may_li
     rows; may_link(x, y) is a cheap condition that every link meets, x and y
     giving the columns of either side; verify(pairs a, b): a, b, linked;
     inline: the nodes' columns are few enough to travel with every row, so that
-    neighbours are tested before they become pairs.
+    neighbours are tested before they become pairs; exhaustive: whether the
+    last round takes every pair that is left, which grows with the square of a
+    signature's rows that stay apart.
     """
     links, labels, checked = None, None, None
     nodes = written(nodes.join(shared.select("id").distinct(), "id", "left_semi"), "shared-nodes")
     sides = lambda a, b: may_link(lambda c: F.col(f"{a}.{c}"), lambda c: F.col(f"{b}.{c}"))
-    for step, order in enumerate([*orders, None]):
+    for step, order in enumerate([*orders, None] if exhaustive else orders):
         rows = shared.withColumn("comp", F.col("id"))
         rows = rows if labels is None else written(relabelled(rows, "comp", labels), "labelled")
         # a signature whose rows are all connected is done
