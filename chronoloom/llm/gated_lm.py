@@ -11,16 +11,24 @@ probability of the complete document.
 
 Counts come from all training documents: each task sends the distinct words of
 a batch of documents with their counts to hash buckets, which answer with the
-totals; a frequent word is one row for each batch, so no bucket is hot, and
-buckets and batches are bounded whatever the input. The GRU itself learns from
-a bounded sample: ``train_tokens`` tokens of whole training documents.
+totals; a frequent word is one row for each batch, so no bucket is hot.
+
+The GRU learns from every token of all training documents. Documents are dealt
+to shards of about ``shard_bytes`` by a hash of id and text, and shards to
+``rounds`` rounds. In a round every shard trains a copy of the current
+parameters on its tokens, and the next parameters are the copies' mean, weighted
+by tokens. The mean is taken in whole numbers, so neither the order nor the
+partitions of the input matter; sums meet in tasks first, and the driver gets a
+fixed number of them. The short list and the classes come from the shards' word
+counts (words rarer than one in RARE tokens of a shard are not counted there;
+no probability depends on it).
 
 Words are told apart by 64-bit hashes whose low five bits hold the class.
 
 Defined cases: a null or empty text is one end token; a null id counts as ''
 for the fold; repeated rows are scored alike, and count as often as they stand
 in the table; without training documents all counts are 0 and the model keeps
-its first weights; an empty table gives an empty result.
+its first weights; an empty table gives an empty result. Long texts are whole.
 """
 
 from __future__ import annotations
@@ -42,6 +50,10 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 REST = 24
 END = np.uint64(31)  # no word has class 31
 _BATCH_BYTES = 8 << 20
+#: A shard's words that are rarer than one in so many tokens do not compete for
+#: the short list.
+RARE = 20_000
+_FIXED = 1 << 20
 
 
 class _WordHash(dict):
@@ -116,11 +128,11 @@ def _by_class(c: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, np.ndarra
             yield int(k), order[first[k] : first[k + 1]]
 
 
-def start_model(tokens: np.ndarray, short_size: int, classes: int, hidden: int, seed: int = 5) -> GatedModel:
-    """Short list from the sample; classes of about equal probability mass."""
-    values, counts = np.unique(np.append(tokens, END), return_counts=True)
-    best = np.sort(np.union1d(np.argsort(-counts, kind="stable")[: short_size - 1], np.flatnonzero(values == END)))
-    short, freq = values[best], counts[best].astype(float)
+def start_model(words: np.ndarray, freq: np.ndarray, rest: np.ndarray, classes: int, hidden: int, seed: int = 5) -> GatedModel:
+    """words: sorted hashes of the short list, the end token among them; freq:
+    their counts; rest: counts of other tokens by class. Classes of the short
+    list have about equal probability mass."""
+    short, freq = words, freq.astype(float)
     order = np.argsort(-freq, kind="stable")
     mass = (np.cumsum(np.sqrt(freq[order])) - np.sqrt(freq[order]) / 2) / np.sqrt(freq).sum()
     cls, slot = np.zeros(len(short), np.int64), np.zeros(len(short), np.int64)
@@ -132,38 +144,46 @@ def start_model(tokens: np.ndarray, short_size: int, classes: int, hidden: int,
         slot[own] = np.arange(len(own))
     rng, f = np.random.default_rng(seed), np.float32
     p = {"x": rng.normal(0, 0.1, (REST + len(short), 3 * hidden)).astype(f), "u": rng.normal(0, 0.3 / np.sqrt(hidden), (hidden, 3 * hidden)).astype(f), "c": np.zeros((len(sizes), hidden), f)}
-    model = GatedModel(short, cls, slot, sizes, p)
-    seen = np.bincount(model.classes(model.inputs(tokens)), minlength=len(sizes)) if len(tokens) else np.zeros(len(sizes))
-    p["cb"] = np.log(seen + 0.5).astype(f)
+    p["cb"] = np.log(np.bincount(cls, freq, len(sizes)) + np.append(rest[:REST], np.zeros(len(sizes) - REST)) + 0.5).astype(f)
     for k in np.flatnonzero(sizes > 1):
         p[f"w{k}"], p[f"b{k}"] = np.zeros((sizes[k], hidden), f), np.log(freq[cls == k]).astype(f)
-    return model
+    return GatedModel(short, cls, slot, sizes, p)
+
+
+def model_of(tokens: np.ndarray, short_size: int, classes: int, hidden: int) -> GatedModel:
+    """A first model from tokens in memory."""
+    values, counts = np.unique(np.append(tokens, END), return_counts=True)
+    best = np.sort(np.union1d(np.argsort(-counts, kind="stable")[: short_size - 1], np.flatnonzero(values == END)))
+    other = np.ones(len(values), bool)
+    other[best] = False
+    rest = np.bincount((values[other] & np.uint64(31)).astype(np.int64) % REST, counts[other], REST)
+    return start_model(values[best], counts[best], rest, classes, hidden)
 
 
-def train(model: GatedModel, tokens: np.ndarray, lanes: int = 64, window: int = 16, epochs: int = 3, rate: float = 0.01) -> None:
-    """Truncated backpropagation: gradients within a window, state across."""
-    x = model.inputs(tokens)
-    per = (len(x) - 1) // lanes
-    if per < window:
+def train(model: GatedModel, tokens: np.ndarray, most_lanes: int = 256, window: int = 16, rate: tuple[float, float] = (0.01, 0.0)) -> None:
+    """Truncated backpropagation over every token once: gradients within a
+    window, state across. rate: at the beginning and at the end."""
+    x = model.inputs(np.concatenate([[END], tokens]).astype(np.uint64))
+    if len(x) < 2:
         return
-    x = x[: per * lanes].reshape(lanes, per)
+    lanes = int(np.clip((len(x) - 1) // 256, 1, most_lanes))
+    per = -(-(len(x) - 1) // lanes)
+    x = np.resize(x, lanes * per + 1)  # the last lane is filled up from the beginning
+    x = x[np.arange(lanes)[:, None] * per + np.arange(per + 1)]
     hidden = model.p["u"].shape[0]
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.p.items()}
-    total = epochs * ((per - 1) // window)
-    done = 0
-    for _ in range(epochs):
-        h = np.zeros((lanes, hidden), np.float32)
-        for at in range(0, (per - 1) // window * window, window):
-            grad, h = _window_gradient(model, h, x[:, at : at + window + 1])
-            done += 1
-            pace = rate * (1 - done / (total + 1)) + 1e-4
-            for k, g in grad.items():
-                m, v = moment[k]
-                g = np.clip(g, -1, 1)
-                m += 0.1 * (g - m)
-                v += 0.01 * (g * g - v)
-                fix = np.sqrt(1 - 0.99**done) / (1 - 0.9**done)
-                model.p[k] -= np.float32(pace * fix) * m / (np.sqrt(v) + np.float32(1e-6))
+    h, done = np.zeros((lanes, hidden), np.float32), 0
+    for at in range(0, per, window):
+        grad, h = _window_gradient(model, h, x[:, at : at + window + 1])
+        done += 1
+        pace = rate[0] + (rate[1] - rate[0]) * at / per + 1e-4
+        fix = np.float32(pace * np.sqrt(1 - 0.99**done) / (1 - 0.9**done))
+        for k, g in grad.items():
+            m, v = moment[k]
+            np.clip(g, -1, 1, out=g)
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            model.p[k] -= fix * m / (np.sqrt(v) + np.float32(1e-6))
 
 
 def _window_gradient(model: GatedModel, h: np.ndarray, x: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -274,10 +294,10 @@ def count_and_score(docs: DataFrame, model: GatedModel, buckets: int) -> DataFra
         runs, h = np.diff(np.append(word, len(t))), t[word]
         learn = np.add.reduceat(tf * ~np.array(held)[d], word)
         bucket = ((h >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
-        cut = np.searchsorted(bucket, np.arange(buckets + 1))
+        cut = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
         isin = m.short[np.minimum(np.searchsorted(m.short, h), len(m.short) - 1)] == h
         code = np.where(isin, REST, (h & np.uint64(31)).astype(np.int64)).astype(np.uint8)
-        rows = [(p, batch, _pack(h=h[a:b], n=_small(learn[a:b]), c=code[a:b])) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+        rows = [(p, batch, _pack(h=h[a:b], n=_small(learn[a:b]), c=code[a:b])) for p, a, b in zip(bucket[cut[:-1]].tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
         names = np.array([0 if i is None else i for i in ids], np.int64)
         info = _pack(ids=names, none=np.array([i is None for i in ids]), held=np.array(held), n=n, score=score, runs=_small(runs), d=_small(d), tf=_small(tf), code=code)
         rows.append((-1 - batch % buckets, batch, info))
@@ -311,8 +331,8 @@ def count_and_score(docs: DataFrame, model: GatedModel, buckets: int) -> DataFra
     return docs.select("id", "held", F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(run, _PARTS)
 
 
-_ANSWERS = "batch long, bucket int, blob binary, n long, v long, rest array<double>"
-_ANSWERS_SCHEMA = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary()), ("n", pa.int64()), ("v", pa.int64()), ("rest", pa.list_(pa.float64()))])
+_ANSWERS = "batch long, bucket int, blob binary, n long, v long, rest array<long>"
+_ANSWERS_SCHEMA = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary()), ("n", pa.int64()), ("v", pa.int64()), ("rest", pa.list_(pa.int64()))])
 
 
 def answer(parts: DataFrame, tasks: int) -> DataFrame:
@@ -324,7 +344,7 @@ def answer(parts: DataFrame, tasks: int) -> DataFrame:
         total = np.bincount(inverse, n, len(values)).astype(np.int64)
         code = np.concatenate([x["c"] for _, x in held])[first]
         known = total > 0
-        rest = np.bincount(code[known], total[known] + 0.1, REST + 1)[:REST]
+        rest = np.bincount(code[known], 10 * total[known] + 1, REST + 1)[:REST].astype(np.int64)  # tenths: sums do not depend on their order
         rows, at = [], 0
         for batch, x in held:
             rows.append((batch, bucket, _pack(c=_small(total[inverse[at : at + len(x["h"])]])), 0, 0, None))
@@ -389,46 +409,122 @@ def finish(answers: DataFrame, n: int, v: int, rest: list[float], tasks: int) ->
     return rows.repartition(tasks, "batch").sortWithinPartitions("batch").mapInArrow(run, _SCORES)
 
 
-def fit(docs: DataFrame, total: int, train_tokens: int, short_size: int, classes: int, hidden: int) -> GatedModel:
-    """The GRU, from whole training documents drawn by hash until train_tokens
-    tokens are reached."""
-    want = docs.where(~F.col("held"))
-    share = F.pmod(F.xxhash64(F.lit("lm"), "id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    schema = pa.schema([("tokens", pa.binary())])
+def shards(docs: DataFrame, count: int, tasks: int) -> DataFrame:
+    """Of each shard: its tokens (32 bits of their hashes), how many, the counts
+    of its words and of its tokens by class. docs: id, text."""
+    schema = pa.schema([("shard", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("words", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("classes", pa.list_(pa.int64()))])
+
+    def emit(shard: int, parts: list[np.ndarray]) -> pa.RecordBatch:
+        t = np.concatenate(parts)
+        values, counts = np.unique(t, return_counts=True)
+        often = counts * RARE >= len(t)
+        classes = np.bincount((t & np.uint64(31)).astype(np.int64), minlength=32)
+        row = (shard, len(t), t.astype(np.uint32).tobytes(), values[often].view(np.int64).tolist(), counts[often].tolist(), classes.tolist())
+        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for b in batches:
+            ids = b.column("shard").to_numpy()
+            texts = [v.as_buffer().to_pybytes() for v in b.column("text")]
+            edge = np.append(np.flatnonzero(np.diff(ids, prepend=-1)), len(ids)).tolist()
+            for a, z in zip(edge[:-1], edge[1:], strict=True):
+                if ids[a] != now and held:
+                    yield emit(now, held)
+                    held = []
+                now = int(ids[a])
+                held.append(token_hashes(texts[a:z])[0])
+        if held:
+            yield emit(now, held)
+
+    rows = docs.withColumn("h", F.xxhash64(F.lit("lm"), "id", "text")).withColumn("shard", F.pmod("h", F.lit(count)))
+    rows = rows.select("shard", "h", "id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    return rows.repartition(tasks, "shard").sortWithinPartitions("shard", "h", "id").select("shard", "text").mapInArrow(run, "shard long, n long, tokens binary, words array<long>, counts array<long>, classes array<long>")
+
+
+def _round(rows: DataFrame, model: GatedModel, shard_tokens: int, rate: tuple[float, float]) -> dict[str, np.ndarray] | None:
+    """The mean of the copies that the shards train."""
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(model)  # fixed size
+    names = sorted(model.p)
+    low = np.uint64(0xFFFFFFFF)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            for blob in b.column("tokens"):
+                m = shared.value
+                own = GatedModel(m.short & low, m.cls, m.slot, m.sizes, {k: v.copy() for k, v in m.p.items()})
+                order = np.argsort(own.short, kind="stable")
+                own.short, own.cls, own.slot = own.short[order], m.cls[order], m.slot[order]
+                own.p["x"] = own.p["x"][np.append(np.arange(REST), order + REST)]
+                t = np.frombuffer(blob.as_buffer(), np.uint32).astype(np.uint64)
+                train(own, t, rate=rate)
+                back = np.empty_like(own.p["x"])
+                back[np.append(np.arange(REST), order + REST)] = own.p["x"]
+                own.p["x"] = back
+                weight = max(1, round(256 * len(t) / shard_tokens))
+                got = np.concatenate([np.rint(own.p[k].ravel().astype(np.float64) * _FIXED).astype(np.int64) for k in names]) * weight
+                total = np.append(got, weight) if total is None else total + np.append(got, weight)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["sums"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
         for b in batches:
-            for v in b.column("text"):
-                t, _ = token_hashes([v.as_buffer().to_pybytes()])
-                for at in range(0, len(t), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array([t[at : at + (1 << 16)].tobytes()])], schema=schema)
-
-    some = want.where(share < min(1.0, 2500 / max(1, total))).select(F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    got, have = [], 0
-    for r in some.mapInArrow(run, "tokens binary").toLocalIterator():
-        got.append(np.frombuffer(bytes(r[0]), np.uint64))
-        have += len(got[-1])
-        if have >= train_tokens:
-            break
-    tokens = np.concatenate(got)[:train_tokens] if got else np.zeros(0, np.uint64)
-    model = start_model(tokens, short_size, classes, hidden)
-    train(model, tokens)
+            for blob in b.column("sums"):
+                v = np.frombuffer(blob.as_buffer(), np.int64)
+                total = v.copy() if total is None else total + v
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["sums"])
+
+    sums = rows.select("tokens").mapInArrow(learn, "sums binary").repartition(8).mapInArrow(add, "sums binary").collect()  # at most 8 rows
+    shared.destroy()
+    if not sums:
+        return None
+    total = np.sum([np.frombuffer(bytes(r[0]), np.int64) for r in sums], 0)
+    mean, at, out = (total[:-1] / (total[-1] * float(_FIXED))).astype(np.float32), 0, {}
+    for k in names:
+        out[k] = mean[at : at + model.p[k].size].reshape(model.p[k].shape)
+        at += model.p[k].size
+    return out
+
+
+def fit(docs: DataFrame, short_size: int, classes: int, hidden: int, rounds: int, shard_bytes: int, rate: float) -> GatedModel:
+    """The GRU, from every token of the rows that are not held (id, text, held)."""
+    want = docs.where(~F.col("held")).select("id", "text")
+    size = want.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    count = rounds * max(1, round(size / (rounds * shard_bytes)))
+    tasks = max(1, min(count, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    rows = written(shards(want, count, tasks), "lm-shards")
+    words = rows.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy(F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("n"))
+    end = int(END)
+    best = [(np.int64(r[0]).view(np.uint64), r[1]) for r in words.where(F.col("word") != end).orderBy(F.desc("n"), "word").limit(short_size - 1).collect()]
+    seen = rows.agg(*[F.coalesce(F.sum(F.get("classes", F.lit(i))), F.lit(0)) for i in range(32)]).first()
+    short = np.array([w for w, _ in best] + [END], np.uint64)
+    freq = np.array([n for _, n in best] + [max(1, seen[end])], np.float64)
+    rest = np.array(seen[:REST], np.float64) - np.bincount((short[:-1] & np.uint64(31)).astype(np.int64), freq[:-1], REST)[:REST]
+    order = np.argsort(short)
+    model = start_model(short[order], freq[order], np.maximum(rest, 0), classes, hidden)
+    for k in range(rounds):
+        mine = rows.where(F.pmod("shard", F.lit(rounds)) == k)
+        model.p = _round(mine, model, max(1, sum(seen) // count), (rate * (1 - k / rounds), rate * (1 - (k + 1) / rounds))) or model.p
     return model
 
 
-def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", train_tokens: int = 600_000, short_size: int = 1500, classes: int = 28, hidden: int = 16, bucket_bytes: int = 24 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", short_size: int = 1500, classes: int = 28, hidden: int = 16, rounds: int = 4, shard_bytes: int = 6 << 20, rate: float = 0.01, bucket_bytes: int = 24 << 20) -> DataFrame:
     """One row for each document: id, held_out, n_tokens, n_known, train_tokens,
     base_score, score."""
     spark = docs.sparkSession
     bound_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), held_out.alias("held"))
-    total, size = base.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
-    model = fit(base, total, train_tokens, short_size, classes, hidden)
+    size = base.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    model = fit(base, short_size, classes, hidden, rounds, shard_bytes, rate)
     buckets = max(1, -(-size // bucket_bytes))
     tasks = max(1, min(buckets, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     answers = written(answer(count_and_score(base, model, buckets), tasks), "word-counts")
     sums = answers.where("batch is null").agg(F.sum("n"), F.sum("v"), *[F.sum(F.get("rest", F.lit(i))) for i in range(REST)]).first()
-    rest = [x or 0.0 for x in sums[2:]]
+    rest = [(x or 0) / 10 for x in sums[2:]]
     return finish(answers, sums[0] or 0, sums[1] or 0, rest, tasks)
 
 

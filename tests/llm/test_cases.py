@@ -83,8 +83,8 @@ def test_lm_counts_and_score(spark):
 
 def test_lm_is_a_distribution():
     tokens, _ = gated_lm.token_hashes([b"a b c a b", b"b c d"])
-    m = gated_lm.start_model(tokens, 5, 3, 4)
-    gated_lm.train(m, np.tile(tokens, 200), lanes=4, window=4, epochs=1)
+    m = gated_lm.model_of(tokens, 5, 3, 4)
+    gated_lm.train(m, np.tile(tokens, 200), most_lanes=4, window=4)
     h = np.random.default_rng(0).normal(size=(1, 4)).astype(np.float32)
     every = np.arange(gated_lm.REST + len(m.short))
     assert np.exp(m.log_probs(np.repeat(h, len(every), 0), every)).sum() == pytest.approx(1, abs=1e-4)
@@ -93,11 +93,71 @@ def test_lm_is_a_distribution():
 def test_lm_state_crosses_windows():
     rng = np.random.default_rng(1)
     tokens, n = gated_lm.token_hashes([b" ".join(rng.choice([b"a", b"b", b"c"], 150)), b"a", b"b c"])
-    m = gated_lm.start_model(tokens, 5, 3, 4)
-    gated_lm.train(m, tokens, lanes=2, window=4, epochs=2)
+    m = gated_lm.model_of(tokens, 5, 3, 4)
+    gated_lm.train(m, tokens, most_lanes=2, window=4)
     assert gated_lm.document_scores(m, tokens, n, window=7) == pytest.approx(gated_lm.document_scores(m, tokens, n, window=500), rel=1e-5)
 
 
+def plain_score(m, counts, text):
+    """The score of one text, a token at a time, from the formulas."""
+    p, k = m.p, m.p["u"].shape[0]
+    tokens, _ = gated_lm.token_hashes([(text or "").encode()])
+    sig, soft = lambda v: 1 / (1 + np.exp(-v)), lambda v: np.exp(v - v.max()) / np.exp(v - v.max()).sum()
+    where = {int(w): i for i, w in enumerate(m.short)}
+    code = lambda w: where[w] + gated_lm.REST if w in where else (w & 31) % gated_lm.REST
+    classes = Counter()
+    for w, n in counts.items():
+        if w not in where:
+            classes[(w & 31) % gated_lm.REST] += n + 0.1
+
+    def step(h, x):
+        a, g = p["x"][x].astype(float), h @ p["u"].astype(float)
+        z, r = sig(a[:k] + g[:k]), sig(a[k : 2 * k] + g[k : 2 * k])
+        return (1 - z) * np.tanh(a[2 * k :] + r * g[2 * k :]) + z * h
+
+    h, out = step(np.zeros(k), code(int(gated_lm.END))), 0.0
+    for w in tokens.tolist():
+        x = code(w)
+        c = x if x < gated_lm.REST else m.cls[x - gated_lm.REST]
+        out += math.log10(soft(p["c"].astype(float) @ h + p["cb"])[c])
+        if x < gated_lm.REST:
+            out += math.log10((counts[w] + 0.1) / (classes[x] + 0.1))
+        elif m.sizes[c] > 1:
+            out += math.log10(soft(p[f"w{c}"].astype(float) @ h + p[f"b{c}"])[m.slot[x - gated_lm.REST]])
+        h = step(h, x)
+    return out
+
+
+def test_lm_scores_against_plain_steps(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(rng.choice([f"w{j}" for j in range(60)], int(rng.integers(0, 90)))) + (f" rare{i}" if i % 3 else "")) for i in range(150)] + [(500, None), (501, ""), (502, LONG)]
+    d = docs(spark, rows).select("doc_id", "text").withColumn("held", crc_mod(F.col("doc_id"), 10) == 0)
+    small = {"short_size": 30, "classes": 4, "hidden": 5, "rounds": 2, "shard_bytes": 5000}
+    got = {r["id"]: r["score"] for r in gated_lm.score_documents(d, F.col("held"), **small).collect()}
+    m = gated_lm.fit(d.withColumnRenamed("doc_id", "id"), rate=0.01, **small)
+    counts = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 10 for w in gated_lm.token_hashes([(t or "").encode()])[0].tolist())
+    for i, t in rows:
+        assert got[i] == pytest.approx(plain_score(m, counts, t), rel=1e-4), i
+
+
+def test_lm_does_not_depend_on_partitions(spark):
+    d = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")
+    a, b = (rows_of(gated_lm.score_report(d.repartition(n)).select("doc_id", "n_known", "train_tokens", "base_score", "score")) for n in (3, 11))
+    for x, y in zip(a, b, strict=True):
+        assert x[:4] == y[:4] and x[4] == pytest.approx(y[4], rel=1e-5)
+
+
+def test_lm_learns_from_every_token():
+    """Parameters change with the last token of a shard as well."""
+    tokens, _ = gated_lm.token_hashes([b" ".join(b"w%d" % (i % 40) for i in range(1203))])
+    moved = []
+    for end in (tokens, np.append(tokens[:-2], tokens[[3, -1]])):
+        m = gated_lm.model_of(tokens, 30, 4, 4)
+        gated_lm.train(m, end)
+        moved.append(m.p["u"].copy())
+    assert (moved[0] != moved[1]).any()
+
+
 def test_lm_beats_counts_on_held_out(spark):
     r = gated_lm.score_report(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert r[0] > r[1]
