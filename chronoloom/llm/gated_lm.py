@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import bound_batches, crc_mod, written
+from chronoloom.llm.common import bound_batches, crc_mod, one_blas_thread, written
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Classes of words outside the short list.
@@ -212,18 +212,21 @@ def _window_gradient(model: GatedModel, h: np.ndarray, x: np.ndarray) -> tuple[d
         grad[f"w{j}"], grad[f"b{j}"] = d.T @ flat[rows], d.sum(0)
         back[rows] += d @ model.p[f"w{j}"]
     gu, gx = np.zeros_like(model.p["u"]), np.zeros_like(model.p["x"])
-    dh = np.zeros_like(h)
+    dh, rows = np.zeros_like(h), np.empty((len(target), 3 * k), np.float32)
     for t in range(len(steps) - 1, -1, -1):
         old, g, z, r, cand = steps[t]
         dh = dh + back[t * n : (t + 1) * n]
         dn = dh * (1 - z) * (1 - cand * cand)
         dz = dh * (old - cand) * z * (1 - z)
         dr = dn * g[:, 2 * k :] * r * (1 - r)
-        da = np.concatenate([dz, dr, dn], 1)
+        np.concatenate([dz, dr, dn], 1, out=rows[t * n : (t + 1) * n])
         dg = np.concatenate([dz, dr, dn * r], 1)
-        np.add.at(gx, x[:, t], da)
         gu += old.T @ dg
         dh = dh * z + dg @ model.p["u"].T
+    read = x[:, :-1].T.ravel()
+    order = np.argsort(read, kind="stable")
+    first = np.flatnonzero(np.diff(read[order], prepend=-1))
+    gx[read[order[first]]] = np.add.reduceat(rows[order], first)
     return grad | {"u": gu, "x": gx}, h
 
 
@@ -306,6 +309,7 @@ def count_and_score(docs: DataFrame, model: GatedModel, buckets: int) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        one_blas_thread()
         number = TaskContext.get().partitionId() << 32
         ids, held, tokens, counts, size = [], [], [], [], 0
         for b in batches:
@@ -450,6 +454,7 @@ def _round(rows: DataFrame, model: GatedModel, shard_tokens: int, rate: tuple[fl
     low = np.uint64(0xFFFFFFFF)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_blas_thread()
         total = None
         for b in batches:
             for blob in b.column("tokens"):
