@@ -110,16 +110,31 @@ class GatedModel:
     def log_probs(self, h: np.ndarray, x: np.ndarray) -> np.ndarray:
         """Natural log of P(x | state h), row by row."""
         c = self.classes(x)
-        logits = h @ self.p["c"].T + self.p["cb"]
-        top = logits.max(1)
-        out = logits[np.arange(len(x)), c] - top - np.log(np.exp(logits - top[:, None]).sum(1))
+        out = _log_softmax_at(h @ self.p["c"].T, self.p["cb"], c)
         for k, rows in _by_class(c, self.sizes):
-            part = h[rows] @ self.p[f"w{k}"].T + self.p[f"b{k}"]
-            top = part.max(1)
-            out[rows] += part[np.arange(len(rows)), self.slot[x[rows] - REST]] - top - np.log(np.exp(part - top[:, None]).sum(1))
+            out[rows] += _log_softmax_at(h[rows] @ self.p[f"w{k}"].T, self.p[f"b{k}"], self.slot[x[rows] - REST])
         return out
 
 
+def _log_softmax_at(z: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log of the softmax of z + bias at one column of each row; z is used up."""
+    z += bias
+    z -= z.max(1, keepdims=True)
+    picked = z[np.arange(len(z)), at]
+    np.exp(z, out=z)
+    return picked - np.log(z.sum(1))
+
+
+def _softmax_error(z: np.ndarray, bias: np.ndarray, at: np.ndarray, scale: np.float32) -> np.ndarray:
+    """Gradient of the scaled cross entropy by z, in place."""
+    z += bias
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z *= scale / z.sum(1, keepdims=True)
+    z[np.arange(len(z)), at] -= scale
+    return z
+
+
 def _by_class(c: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(c, kind="stable")
     first = np.searchsorted(c[order], np.arange(len(sizes) + 1))
@@ -160,7 +175,7 @@ def model_of(tokens: np.ndarray, short_size: int, classes: int, hidden: int) ->
     return start_model(values[best], counts[best], rest, classes, hidden)
 
 
-def train(model: GatedModel, tokens: np.ndarray, most_lanes: int = 256, window: int = 16, rate: tuple[float, float] = (0.01, 0.0)) -> None:
+def train(model: GatedModel, tokens: np.ndarray, most_lanes: int = 512, window: int = 16, rate: tuple[float, float] = (0.01, 0.0)) -> None:
     """Truncated backpropagation over every token once: gradients within a
     window, state across. rate: at the beginning and at the end."""
     x = model.inputs(np.concatenate([[END], tokens]).astype(np.uint64))
@@ -197,19 +212,12 @@ def _window_gradient(model: GatedModel, h: np.ndarray, x: np.ndarray) -> tuple[d
     scale = np.float32(1 / len(target))
     grad = {}
     c = model.classes(target)
-    logits = flat @ model.p["c"].T + model.p["cb"]
-    d = np.exp(logits - logits.max(1, keepdims=True))
-    d /= d.sum(1, keepdims=True)
-    d[np.arange(len(c)), c] -= 1
-    d *= scale
+    d = _softmax_error(flat @ model.p["c"].T, model.p["cb"], c, scale)
     grad["c"], grad["cb"], back = d.T @ flat, d.sum(0), d @ model.p["c"]
     for j, rows in _by_class(c, model.sizes):
-        part = flat[rows] @ model.p[f"w{j}"].T + model.p[f"b{j}"]
-        d = np.exp(part - part.max(1, keepdims=True))
-        d /= d.sum(1, keepdims=True)
-        d[np.arange(len(rows)), model.slot[target[rows] - REST]] -= 1
-        d *= scale
-        grad[f"w{j}"], grad[f"b{j}"] = d.T @ flat[rows], d.sum(0)
+        some = flat[rows]
+        d = _softmax_error(some @ model.p[f"w{j}"].T, model.p[f"b{j}"], model.slot[target[rows] - REST], scale)
+        grad[f"w{j}"], grad[f"b{j}"] = d.T @ some, d.sum(0)
         back[rows] += d @ model.p[f"w{j}"]
     gu, gx = np.zeros_like(model.p["u"]), np.zeros_like(model.p["x"])
     dh, rows = np.zeros_like(h), np.empty((len(target), 3 * k), np.float32)
@@ -289,14 +297,14 @@ def count_and_score(docs: DataFrame, model: GatedModel, buckets: int) -> DataFra
         m = shared.value
         score = document_scores(m, tokens, n)
         doc = np.repeat(np.arange(len(n)), n)
-        order = np.lexsort((doc, tokens, (tokens >> np.uint64(24)) % np.uint64(buckets)))
+        order = np.argsort(tokens, kind="stable")  # buckets are ranges of tokens
         t, d = tokens[order], doc[order]
         first = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (d[1:] != d[:-1])]))
         tf, t, d = np.diff(np.append(first, len(order))), t[first], d[first]
         word = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
         runs, h = np.diff(np.append(word, len(t))), t[word]
         learn = np.add.reduceat(tf * ~np.array(held)[d], word)
-        bucket = ((h >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
+        bucket = (((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
         cut = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
         isin = m.short[np.minimum(np.searchsorted(m.short, h), len(m.short) - 1)] == h
         code = np.where(isin, REST, (h & np.uint64(31)).astype(np.int64)).astype(np.uint8)
@@ -517,7 +525,7 @@ def fit(docs: DataFrame, short_size: int, classes: int, hidden: int, rounds: int
     return model
 
 
-def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", short_size: int = 1500, classes: int = 28, hidden: int = 16, rounds: int = 4, shard_bytes: int = 6 << 20, rate: float = 0.01, bucket_bytes: int = 24 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", short_size: int = 1500, classes: int = 28, hidden: int = 16, rounds: int = 4, shard_bytes: int = 12 << 20, rate: float = 0.01, bucket_bytes: int = 24 << 20) -> DataFrame:
     """One row for each document: id, held_out, n_tokens, n_known, train_tokens,
     base_score, score."""
     spark = docs.sparkSession
