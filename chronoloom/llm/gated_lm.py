@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import bound_batches, crc_mod, one_blas_thread, written
+from chronoloom.llm.common import bound_batches, crc_mod, one_blas_thread, settings, written
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Classes of words outside the short list.
@@ -119,18 +119,18 @@ class GatedModel:
 def _log_softmax_at(z: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Log of the softmax of z + bias at one column of each row; z is used up."""
     z += bias
-    z -= z.max(1, keepdims=True)
+    z -= z.max()  # of all rows: their logits lie close together
     picked = z[np.arange(len(z)), at]
     np.exp(z, out=z)
-    return picked - np.log(z.sum(1))
+    return picked - np.log(z @ np.ones(z.shape[1], z.dtype))
 
 
 def _softmax_error(z: np.ndarray, bias: np.ndarray, at: np.ndarray, scale: np.float32) -> np.ndarray:
     """Gradient of the scaled cross entropy by z, in place."""
     z += bias
-    z -= z.max(1, keepdims=True)
+    z -= z.max()
     np.exp(z, out=z)
-    z *= scale / z.sum(1, keepdims=True)
+    z *= (scale / (z @ np.ones(z.shape[1], z.dtype)))[:, None]
     z[np.arange(len(z)), at] -= scale
     return z
 
@@ -491,7 +491,9 @@ def _round(rows: DataFrame, model: GatedModel, shard_tokens: int, rate: tuple[fl
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["sums"])
 
-    sums = rows.select("tokens").mapInArrow(learn, "sums binary").repartition(8).mapInArrow(add, "sums binary").collect()  # at most 8 rows
+    # shards are large rows: read and sent to Python one by one
+    with settings(spark, {"spark.sql.parquet.enableVectorizedReader": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": "1"}):
+        sums = rows.select("tokens").mapInArrow(learn, "sums binary").repartition(8).mapInArrow(add, "sums binary").collect()  # at most 8 rows
     shared.destroy()
     if not sums:
         return None
@@ -525,7 +527,7 @@ def fit(docs: DataFrame, short_size: int, classes: int, hidden: int, rounds: int
     return model
 
 
-def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", short_size: int = 1500, classes: int = 28, hidden: int = 16, rounds: int = 4, shard_bytes: int = 12 << 20, rate: float = 0.01, bucket_bytes: int = 24 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", short_size: int = 1500, classes: int = 28, hidden: int = 16, rounds: int = 4, shard_bytes: int = 6 << 20, rate: float = 0.01, bucket_bytes: int = 24 << 20) -> DataFrame:
     """One row for each document: id, held_out, n_tokens, n_known, train_tokens,
     base_score, score."""
     spark = docs.sparkSession

@@ -1,22 +1,31 @@
 """Surrogates for personal data, with DataFrame functions only.
 
 One pattern finds entities: e-mail addresses, phone numbers, IPv4 addresses,
-payment cards, social security numbers, access keys, passwords and tokens, and
-names after a title. Each gets a replacement drawn from SHA-256 of a secret
-key, the type and the entity's canonical form, so it is the same wherever the
-entity occurs and in whichever layout (coreference). Replacements keep the
+payment cards, social security numbers, access keys, passwords and tokens (with
+a letter or digit in them), and names after a title. Each gets a replacement
+drawn from SHA-256 of a secret key, the type and the entity's canonical form, so
+it is the same wherever the entity occurs and in whichever layout (coreference);
+the local part and the host of an address, and the words of a name, are
+replaced each for itself. Words of a name that was found after a title are
+replaced in the whole document, with a title or without. Replacements keep the
 type, length, layout, character classes and, for cards, the check-sum class;
 names keep the gender of their title and their script.
 
 Collision checks run over the distinct entities of the whole table: no two
 entities of a type may share a replacement and no replacement may be a real
-entity. Entities that fail draw again. Replacements are made once for each
+entity. Entities that fail draw again; from the attempt GROWN on, and where an
+entity holds no letter or digit to draw, replacements grow by characters, so
+that every table gets distinct ones. Replacements are made once for each
 distinct entity and joined to the documents that hold it.
 
+The key decides all replacements: whoever knows it can recompute them, so it has
+no default.
+
 Defined cases: a null text stays null and has no entities; texts without
-entities are returned as they are; repeated rows get equal replacements; rows
-that share an id are judged by their own text; an empty table gives an empty
-result.
+entities are returned as they are; long texts are searched whole; repeated rows
+get equal replacements; rows that share an id are judged by their own text; an
+empty table gives an empty result; a column of the table that is called as the
+result's (``out``) is replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -24,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import written
+from chronoloom.llm.common import fresh, written
 
 # Titles by gender, and what names are composed of by script.
 MALE = "Mr|Mister|Herr|Monsieur|Señor|Sr|господин"
@@ -46,7 +55,7 @@ ENDINGS = {
     ("greek", "surname"): "νδς ρτς λλς",
 }
 _EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9](?:[A-Za-z0-9\-]*+\.)+[A-Za-z]{2,}"
-_SECRET = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9_\-+/.!@#$%^&*]{6,}"
+_SECRET = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?(?=[_\-+/.!@#$%^&*]*[A-Za-z0-9])[A-Za-z0-9_\-+/.!@#$%^&*]{6,}"
 _KEY = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
 _ABROAD = r"\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}(?!\d)"
 #: National layouts: an area code in parentheses, three-three-four digits, and
@@ -61,6 +70,8 @@ PATTERN = "|".join([_SECRET, _EMAIL, _KEY, _PHONE, _CARD, _SSN, _IP, _NAME])
 #: Every entity holds one of these; a text without any is not searched.
 QUICK = rf"[@0-9]|AKIA|[=:]\s{{0,2}}[\"']?[A-Za-z0-9_\-+/.!@#$%^&*]|(?:{MALE}|{FEMALE})\.? \p{{Lu}}"
 _DIGITS = ["phone", "card", "ssn"]
+#: Attempts from which on replacements grow.
+GROWN = 6
 
 
 def kind_of(e: Column) -> Column:
@@ -80,8 +91,9 @@ def parts(e: Column) -> Column:
     given = F.when(e.rlike(rf"^(?:{FEMALE})\b"), "given_f").otherwise("given_m")
     words = F.split(e, " ")
     name = F.when(F.size(words) > 2, F.array(unit(given, F.lower(F.get(words, F.lit(1)))), unit(F.lit("surname"), F.lower(F.get(words, F.lit(2)))))).otherwise(F.array(unit(F.lit("surname"), F.lower(F.get(words, F.lit(1))))))
-    canon = F.when(kind == "secret", F.substring(e, F.length(_prefix(e)) + 1, F.length(e))).when(kind == "email", F.lower(e)).when(kind.isin(_DIGITS), F.regexp_replace(e, r"\D", "")).otherwise(e)
-    return F.when(kind == "name", name).otherwise(F.array(unit(kind, canon)))
+    email = F.array(unit(F.lit("local"), F.lower(F.substring_index(e, "@", 1))), unit(F.lit("host"), F.lower(F.substring_index(e, "@", -1))))
+    canon = F.when(kind == "secret", F.substring(e, F.length(_prefix(e)) + 1, F.length(e))).when(kind.isin(_DIGITS), F.regexp_replace(e, r"\D", "")).otherwise(e)
+    return F.when(kind == "name", name).when(kind == "email", email).otherwise(F.array(unit(kind, canon)))
 
 
 def _stream(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
@@ -119,18 +131,20 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     """The replacement of a canonical form."""
     stream = _stream(key, kind, canon, attempt)
     mapped = _same_classes(canon, stream)
-    at, domain = F.instr(canon, "@"), F.substring_index(canon, "@", -1)
-    host = _same_classes(F.regexp_replace(domain, r"\.[^.]+$", ""), _stream(key, F.lit("host"), domain, F.lit(0)))
-    email = F.concat(F.substring(mapped, F.lit(1), at), host, F.lit("."), F.substring_index(domain, ".", -1))
+    bare = ~canon.rlike("[A-Za-z0-9]")
+    grown = F.greatest(attempt - F.lit(GROWN - 1), F.when(bare, attempt + 4).otherwise(F.lit(0)), F.lit(0))
+    digits = F.substring(F.translate(stream, "abcdef", "012345"), F.lit(3), grown)
+    more = F.translate(digits, "0123456789", "bcdfghklmn")
+    host = F.concat(_same_classes(F.regexp_replace(canon, r"\.[^.]+$", ""), stream), more, F.lit("."), F.substring_index(canon, ".", -1))
     octet = lambda i: (F.pmod(_byte(stream, F.lit(i)), F.lit(223)) + 1 if not i else _byte(stream, F.lit(i))).cast("string")
-    ip = F.concat_ws(".", *[octet(i) for i in range(4)])
+    ip = F.concat(F.concat_ws(".", *[octet(i) for i in range(4)]), F.when(grown > 0, F.concat(F.lit("-"), digits)).otherwise(F.lit("")))
     phone = F.concat(F.substring(canon, F.lit(1), F.lit(1)), (F.pmod(_byte(stream, F.lit(1)), F.lit(8)) + 2).cast("string"), F.substring(mapped, F.lit(3), F.length(canon)))
     body = F.concat(F.substring(canon, F.lit(1), F.lit(1)), F.substring(mapped, F.lit(2), F.length(canon) - 2))
     card = F.concat(body, F.pmod(_luhn(canon) - _luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string"))
     access = F.concat(F.lit("AKIA"), F.substring(mapped, F.lit(5), F.length(canon)))
     script = lambda s: _name(s, kind, stream, attempt)
     name = F.when(canon.rlike(r"\p{IsCyrillic}"), script("cyrillic")).when(canon.rlike(r"\p{IsGreek}"), script("greek")).otherwise(script("latin"))
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", card).when(kind == "key", access).when(kind.isin("secret", "ssn"), mapped).otherwise(name)
+    return F.when(kind == "host", host).when(kind.isin("local", "secret"), F.concat(mapped, more)).when(kind == "ip", ip).when(kind == "phone", F.concat(phone, digits)).when(kind == "card", F.concat(card, digits)).when(kind == "key", F.concat(access, F.upper(more))).when(kind == "ssn", F.concat(mapped, digits)).otherwise(name)
 
 
 def _name(script: str, kind: Column, stream: Column, attempt: Column) -> Column:
@@ -142,9 +156,10 @@ def _name(script: str, kind: Column, stream: Column, attempt: Column) -> Column:
 
 
 def _laid_out(e: Column, digits: Column) -> Column:
-    """digits in the places of e's digits."""
+    """digits in the places of e's digits; what is left of them at the end."""
     place = lambda i: F.length(F.regexp_replace(F.substring(e, F.lit(1), i + 1), r"\D", ""))
-    return F.array_join(F.transform(_chars(e), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(digits, place(i), F.lit(1))).otherwise(c)), "")
+    laid = F.array_join(F.transform(_chars(e), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(digits, place(i), F.lit(1))).otherwise(c)), "")
+    return F.concat(laid, F.substring(digits, F.length(F.regexp_replace(e, r"\D", "")) + 1, F.length(digits)))
 
 
 def rendered(e: Column, kind: Column, got: Column) -> Column:
@@ -152,13 +167,15 @@ def rendered(e: Column, kind: Column, got: Column) -> Column:
     of its units."""
     first = F.get(got, F.lit(0))
     name = F.concat(F.substring_index(e, " ", 1), F.lit(" "), F.array_join(F.transform(got, F.initcap), " "))
-    return F.when(kind == "secret", F.concat(_prefix(e), first)).when(kind.isin(_DIGITS), _laid_out(e, first)).when((kind == "email") & (e == F.upper(e)), F.upper(first)).when(kind == "name", name).otherwise(first)
+    return F.when(kind == "secret", F.concat(_prefix(e), first)).when(kind.isin(_DIGITS), _laid_out(e, first)).when(kind == "email", F.when(e == F.upper(e), F.upper(F.array_join(got, "@"))).otherwise(F.array_join(got, "@"))).when(kind == "name", name).otherwise(first)
 
 
 def _settle(units: DataFrame, key: str, most: int) -> DataFrame:
     """kind, canon, s: a replacement for every entity, no two alike."""
     draw = surrogate(key, F.col("kind"), F.col("canon"), F.col("attempt"))
-    rows = written(units.withColumn("attempt", F.lit(0)).withColumn("s", draw), "surrogates")
+    # entities are few bytes and much work: the number of partitions is given
+    spread = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = written(units.repartition(spread, "kind", "canon").withColumn("attempt", F.lit(0)).withColumn("s", draw), "surrogates")
     real = units.select("kind", F.col("canon").alias("s")).withColumn("real", F.lit(True))
     for _ in range(most):
         # the smallest entity keeps a contested replacement
@@ -168,34 +185,41 @@ def _settle(units: DataFrame, key: str, most: int) -> DataFrame:
             return rows.select("kind", "canon", "s")
         moved = rows.join(shared, ["kind", "s"], "left")
         again = F.col("owner").isNotNull() & (F.col("real") | (F.col("canon") != F.col("owner.canon")))
-        rows = written(moved.withColumn("attempt", F.col("attempt") + F.when(again, 1).otherwise(0)).select("kind", "canon", "attempt").withColumn("s", draw), "surrogates")
-    raise ValueError("surrogates still collide; the key space of an entity type is exhausted")
+        moved = moved.withColumn("attempt", F.col("attempt") + F.when(again, 1).otherwise(0)).select("kind", "canon", "attempt", F.when(~again, F.col("s")).alias("s"))
+        rows = written(moved.repartition(spread, "kind", "canon").withColumn("s", F.coalesce("s", draw)), "surrogates")
+    raise ValueError(f"surrogates still collide after {most} attempts")
 
 
 def replacements(found: DataFrame, key: str, most_attempts: int) -> DataFrame:
-    """e, r: a replacement for each distinct entity string of found (e)."""
+    """e, r, words: a replacement for each distinct entity string of found (e),
+    and for names each word's."""
     rows = found.select("e").distinct().withColumn("kind", kind_of(F.col("e"))).withColumn("units", parts(F.col("e")))
     rows = written(rows, "entities")
     flat = rows.select("e", "kind", F.posexplode("units").alias("pos", "u")).select("e", "kind", "pos", F.col("u.kind").alias("unit"), "u.canon")
     settled = _settle(flat.select(F.col("unit").alias("kind"), "canon").distinct(), key, most_attempts)
     got = flat.join(settled.withColumnRenamed("kind", "unit"), ["unit", "canon"]).groupBy("e", "kind").agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("got"))
-    return written(got.select("e", rendered(F.col("e"), F.col("kind"), F.transform("got", lambda g: g["s"])).alias("r")), "replacements")
+    got = got.select("e", "kind", F.transform("got", lambda g: g["s"]).alias("got"))
+    own = F.slice(F.split("e", " "), 2, 2)
+    words = F.when(F.col("kind") == "name", F.zip_with(own, "got", lambda w, s: F.struct(w.alias("w"), F.initcap(s).alias("s"))))
+    return written(got.select("e", rendered(F.col("e"), F.col("kind"), F.col("got")).alias("r"), words.alias("words")), "replacements")
 
 
-def replace_entities(docs: DataFrame, key: str = "chronoloom", id_col: str = "doc_id", text_col: str = "text", most_attempts: int = 64) -> DataFrame:
-    """docs with text_col rewritten and a column ``n_entities``. Only texts that
-    hold entities meet the replacements; the others pass."""
+def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", most_attempts: int = 64, out: str = "n_entities") -> DataFrame:
+    """docs with text_col rewritten and a column ``out``, the number of entities
+    found. The texts are searched once; only those that hold entities meet the
+    replacements, the others pass."""
     text = F.col(text_col)
+    place, hits, made, words = (fresh(docs, c) for c in ("place", "hits", "made", "words"))
     listed = F.when(text.rlike(QUICK), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
-    place = F.xxhash64(F.col(id_col), text)
-    found = docs.select(place.alias("key"), F.explode(F.array_distinct(listed)).alias("e"))
-    found = written(found, "found")
-    pairs = found.distinct().join(replacements(found, key, most_attempts), "e")
-    maps = written(pairs.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("e", "r"))).alias("_map")), "maps")
-    holds = F.coalesce(text.rlike(QUICK) & text.rlike(PATTERN), F.lit(False))
-    rows = docs.where(holds).withColumn("_key", place).join(maps.withColumnRenamed("key", "_key"), "_key")
-    here = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-    between = F.split(text, PATTERN, -1)
-    new = F.array_join(F.flatten(F.zip_with(between, here, lambda a, b: F.array(a, F.coalesce(F.try_element_at("_map", b), F.lit(""))))), "")
-    rows = rows.withColumn("n_entities", F.size(here).cast("long")).withColumn(text_col, new).select(*docs.columns, "n_entities")
-    return rows.unionByName(docs.where(~holds).withColumn("n_entities", F.lit(0).cast("long")))
+    rows = written(docs.withColumn(hits, F.coalesce(listed, F.array().cast("array<string>"))), "searched")
+    holds = F.size(hits) > 0
+    some = rows.where(holds).withColumn(place, F.xxhash64(F.col(id_col), text))
+    pairs = some.select(place, F.explode(F.array_distinct(hits)).alias("e")).distinct().join(replacements(some.select(F.explode(hits).alias("e")), key, most_attempts), "e")
+    maps = pairs.groupBy(place).agg(F.map_from_entries(F.collect_list(F.struct("e", "r"))).alias(made), F.array_distinct(F.flatten(F.collect_list("words"))).alias(words))
+    here = some.join(written(maps, "maps"), place)
+    plain = lambda t: F.aggregate(F.col(words), t, lambda acc, w: F.regexp_replace(acc, F.concat(F.lit(r"(?<!\p{L})"), w["w"], F.lit(r"(?!\p{L})")), w["s"]))
+    between = F.transform(F.split(text, PATTERN, -1), plain)
+    new = F.array_join(F.flatten(F.zip_with(between, F.col(hits), lambda a, b: F.array(a, F.coalesce(F.try_element_at(made, b), F.lit(""))))), "")
+    columns = [c for c in docs.columns if c != out]
+    here = here.withColumn(text_col, new).select(*columns, F.size(hits).cast("long").alias(out))
+    return here.unionByName(rows.where(~holds).select(*columns, F.lit(0).cast("long").alias(out)))
