@@ -10,24 +10,38 @@ score slice downward with the usual sure / tied bitmaps, and rows tied at the
 boundary are resolved exactly by id. Every row is indexed and every score is
 exact, so recall is 1.
 
-Queries and rows meet block by block: a group holds ``block_rows`` rows and
-``block_queries`` queries at most about, whatever the table size.
+Blocks of ``block_rows`` rows are indexed once and written; each block of
+``block_queries`` queries then meets each index: a stated query set against all
+rows, in blocks. Vectors with a component beyond WIDE in size are dealt to
+blocks of their own, of ``wide_rows`` rows, whose slices are as many as their
+numbers need; their scores are computed in whole numbers of any size.
 
 Defined cases: vectors that are null or hold a null, NaN or infinite component
 take no part, nor do null ids; a missing trailing component counts as 0; rows
 that share the query's id count as its own row; repeated candidate rows rank
 one by one; of repeated query ids the greatest vector asks; fewer candidates
-than k give fewer rows; an empty table gives an empty result. Components must
-stay within 2**24 after quantisation.
+than k give fewer rows; an empty table gives an empty result. Any finite
+component is allowed; ranks are exact, and a score that a long cannot hold is
+given as the largest or smallest long.
 """
 
 from __future__ import annotations
 
+import math
+import pickle
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoloom.llm.common import settings, written
+
+#: Components up to this size give scores that fit a long with up to 2**18
+#: dimensions at the scale 256.
+WIDE = 2.0**14
+
 
 def _slices(values: np.ndarray, words: int) -> list[np.ndarray]:
     """Bit slices of non-negative integers [rows, dims] as [dims, words]."""
@@ -47,7 +61,7 @@ class SliceIndex:
         order = np.argsort(ids, kind="stable")
         self.ids, v = ids[order], vectors[order]
         self.words = max(1, -(-len(ids) // 64))
-        self.low = v.min(0) if len(v) else np.zeros(v.shape[1], np.int64)
+        self.low = v.min(0) if len(v) else np.zeros(v.shape[1], v.dtype)
         self.span = (v.max(0) if len(v) else self.low) - self.low
         up = _slices(v - self.low, self.words)
         down = _slices(self.span - (v - self.low), self.words)
@@ -64,11 +78,11 @@ class SliceIndex:
     def add(self, query: np.ndarray) -> tuple[list[np.ndarray], int]:
         """Score slices, least significant first, and the constant to add."""
         sign, size = (query < 0).astype(np.intp), np.abs(query)
-        const = int((query * self.low).sum() - (size * self.span * sign).sum())
+        const = int((query * self.low).sum() - (size * self.span * sign).sum())  # object arrays: any size
         dims = np.arange(len(query))
         columns: dict[int, list[np.ndarray]] = {}
         for j in range(int(size.max(initial=0)).bit_length()):
-            on = dims[(size >> j) & 1 == 1]
+            on = dims[((size >> j) & 1).astype(bool)]
             for b in range(self.slices.shape[1]):
                 has = on[self.used[sign[on], b, on]]
                 if len(has):
@@ -110,56 +124,106 @@ class SliceIndex:
                 break
         rows = self._rows(sure)
         rows = np.concatenate([rows, self._rows(tied)[: max(0, k - len(rows))]])  # rows are in id order
-        score = np.zeros(len(rows), np.int64)
+        score = [0] * len(rows)
         for w, s in enumerate(slices):
-            score += ((s[rows // 64] >> (rows % 64).astype(np.uint64)) & np.uint64(1)).astype(np.int64) << w
-        return [(int(self.ids[r]), int(x) + const) for r, x in zip(rows, score, strict=True)]
+            bits = (s[rows // 64] >> (rows % 64).astype(np.uint64)) & np.uint64(1)
+            score = [x + (int(b) << w) for x, b in zip(score, bits, strict=True)]
+        return [(int(self.ids[r]), x + const) for r, x in zip(rows, score, strict=True)]
 
     @staticmethod
     def _rows(mask: np.ndarray) -> np.ndarray:
         return np.flatnonzero(np.unpackbits(mask.view(np.uint8), bitorder="little"))
 
 
-def quantised(vec: Column, scale: int) -> Column:
-    """floor(scale * x) of each component as a long."""
-    return F.transform(vec, lambda x: F.floor(x.cast("double") * scale).cast("long"))
-
-
 def usable(vec: Column) -> Column:
     inf = float("inf")
     return vec.isNotNull() & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (x != inf) & (x != -inf))
 
 
-def _padded(rows: pd.Series, dims: int) -> np.ndarray:
-    out = np.zeros((len(rows), dims), np.int64)
+def quantise(rows: list[np.ndarray], scale: int, dims: int, wide: bool) -> np.ndarray:
+    """floor(scale * x) of each component; Python integers where they are wide."""
+    out = np.zeros((len(rows), dims), object if wide else np.int64)
     for i, r in enumerate(rows):
-        out[i, : len(r)] = r
-    if len(rows) and np.abs(out).max(initial=0) > 1 << 24:
-        raise ValueError("a quantised component is beyond 2**24")
+        if not wide:
+            out[i, : len(r)] = np.floor(r * scale)
+        else:  # beyond 2**53 doubles are whole numbers, whose products Python has exactly
+            out[i, : len(r)] = [math.floor(x * scale) if abs(x) < 2.0**40 else int(x) * scale for x in r.tolist()]
     return out
 
 
-def top_k(rows: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding", block_rows: int = 8192, block_queries: int = 1024) -> DataFrame:
+def ordered(n: int) -> bytes:
+    """Bytes in the order of integers of any size."""
+    body = abs(n).to_bytes((abs(n).bit_length() + 7) // 8, "big")
+    body = len(body).to_bytes(4, "big") + body
+    return b"\x01" + body if n >= 0 else b"\x00" + bytes(255 - c for c in body) + b"\xff"
+
+
+def _vectors(column: pa.Array) -> list[np.ndarray]:
+    flat, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int], list[np.ndarray]]]:
+    """Runs of rows of one block: block, ids, vectors."""
+    now, ids, rows = None, [], []
+    for b in batches:
+        for block, i, v in zip(b.column("block").to_pylist(), b.column("id").to_pylist(), _vectors(b.column("v")), strict=True):
+            if block != now and ids:
+                yield now, ids, rows
+                ids, rows = [], []
+            now = block
+            ids.append(i)
+            rows.append(v)
+    if ids:
+        yield now, ids, rows
+
+
+def _blocked(rows: DataFrame, blocks: int, wide_blocks: int) -> DataFrame:
+    """block, id, v in order of blocks; wide vectors have negative blocks."""
+    h = F.xxhash64("id", "v")
+    block = F.when(F.col("wide"), -1 - F.pmod(h, F.lit(wide_blocks))).otherwise(F.pmod(h, F.lit(blocks)))
+    spread = max(1, min(blocks + wide_blocks, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return rows.select(block.alias("block"), "id", "v").repartition(spread, "block").sortWithinPartitions("block")
+
+
+def top_k(rows: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding", block_rows: int = 8192, block_queries: int = 1024, wide_rows: int = 256) -> DataFrame:
     """query_id, rank (from 1), vec_id, score for each query row."""
-    base = rows.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where(F.col("id").isNotNull() & usable(F.col("v"))).select("id", "q", quantised(F.col("v"), scale).alias("v"))
-    n = base.agg(F.count("*"), F.coalesce(F.sum(F.col("q").cast("long")), F.lit(0))).first()
-    parts, asks = max(1, -(-n[0] // block_rows)), max(1, -(-n[1] // block_queries))
-    queries = base.where("q").groupBy("id").agg(F.max("v").alias("v"))
-    # each query goes to every row block and each row to every query block: a
-    # stated query set against all rows, in blocks
-    left = base.select("id", "v", F.pmod(F.xxhash64("id", "v"), F.lit(parts)).alias("p"), F.explode(F.sequence(F.lit(0), F.lit(asks - 1))).alias("b"))
-    right = queries.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(asks)).alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("p"))
-
-    def search(have: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(have) and len(ask):
-            dims = max(have["v"].map(len).max(), ask["v"].map(len).max())
-            index = SliceIndex(have["id"].to_numpy(np.int64), _padded(have["v"], dims))
-            for i, q in zip(ask["id"].tolist(), _padded(ask["v"], dims), strict=True):
-                out += [(i, r, s) for r, s in index.top(i, q, k)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    key = lambda d: d.withColumn("b", F.col("b").cast("long")).withColumn("p", F.col("p").cast("long")).groupBy("p", "b")
-    found = key(left).cogroup(key(right)).applyInPandas(search, "query_id long, vec_id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    spark = rows.sparkSession
+    vec = F.transform(F.col(vec_col), lambda x: x.cast("double"))
+    base = rows.select(F.col(id_col).alias("id"), vec.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where(F.col("id").isNotNull() & usable(F.col("v")))
+    base = base.withColumn("wide", F.exists("v", lambda x: F.abs(x) > WIDE))
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    wide = F.col("wide")
+    n, n_wide, dims, asks = base.agg(count(~wide), count(wide), F.coalesce(F.max(F.size("v")), F.lit(0)), count(F.col("q"))).first()
+    dims = max(1, dims)
+    blocks, wide_blocks = max(1, -(-n // block_rows)), max(1, -(-n_wide // wide_rows))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, ids, vectors in _groups(batches):
+            index = SliceIndex(np.array(ids, np.int64), quantise(vectors, scale, dims, block < 0))
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([pickle.dumps(index)], pa.large_binary())], names=["block", "index"])
+
+    indexes = written(_blocked(base, blocks, wide_blocks).mapInArrow(build, "block long, index binary"), "slice-indexes")
+    queries = base.where("q").groupBy("id").agg(F.max(F.struct("v", "wide")).alias("x")).select("id", "x.v", "x.wide")
+    ask_blocks = max(1, -(-asks // block_queries))
+    queries = queries.select(F.pmod(F.xxhash64("id"), F.lit(ask_blocks)).alias("ask"), "id", "v", "wide").groupBy("ask").agg(F.collect_list(F.struct("id", "v", "wide")).alias("queries"))
+    queries = written(queries, "query-blocks")  # block_queries or about as many vectors in a row
+    pairs = indexes.withColumn("ask", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ask_blocks - 1).cast("long")))).join(queries, "ask")
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("by", pa.binary())])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, blob, asked in zip(b.column("block").to_pylist(), b.column("index"), b.column("queries").to_pylist(), strict=True):
+                index, out = pickle.loads(blob.as_py()), []
+                for q in asked:
+                    vector = quantise([np.array(q["v"])], scale, dims, block < 0 or q["wide"])[0]
+                    for i, s in index.top(q["id"], vector, k):
+                        out.append((q["id"], i, min(max(s, -(2**63)), 2**63 - 1), ordered(s)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 4, schema, strict=True)], schema=schema)
+
+    spread = max(1, min((blocks + wide_blocks) * ask_blocks, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    with settings(spark, {"spark.sql.parquet.enableVectorizedReader": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": "1"}):
+        # indexes are large rows: read and sent to Python one by one
+        found = written(pairs.repartition(spread, "block", "ask").mapInArrow(search, "query_id long, vec_id long, score long, by binary"), "found")
+    w = Window.partitionBy("query_id").orderBy(F.desc("by"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

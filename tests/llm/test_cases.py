@@ -467,6 +467,31 @@ def test_top_k_against_matrix_product(spark):
     assert bitsliced.top_k(t.where("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_of_any_finite_component(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(0, 1, 4)]) for i in range(60)]
+    rows += [(50, [70000.0, -1.5, 1e300, 0.1]), (100, [1e300, 1.0, -1e300, 2.0]), (101, [1.7e308, -5e-324, 3.0]), (102, [-70000.25, 2.0**53, 1.0, 0.0]), (150, [2.0**14, -(2.0**14), 1.0, 16384.01])]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = rows_of(bitsliced.top_k(t, F.col("vec_id") % 50 == 0, block_rows=25, wide_rows=2, block_queries=2))
+    from fractions import Fraction
+
+    quant = [(i, [math.floor(Fraction(x) * 256) for x in v] + [0] * (4 - len(v))) for i, v in rows]
+    want, asked = [], {}
+    for i, v in rows:
+        if i % 50 == 0:
+            asked[i] = max(asked.get(i, v), v)
+    for i, v in asked.items():
+        q = [math.floor(Fraction(x) * 256) for x in v]
+        best = sorted((-sum(a * b for a, b in zip(q, w, strict=True)), j) for j, w in quant if j != i)[:5]
+        want += [(i, r, j, min(max(-s, -(2**63)), 2**63 - 1)) for r, (s, j) in enumerate(best, 1)]
+    assert got == sorted(want, key=str)
+
+
+def test_ordered_bytes():
+    numbers = [0, 1, -1, 255, 256, -255, -256, 2**80, -(2**80), 2**2000, -(2**2000) + 1, -(2**2000)]
+    assert sorted(numbers, key=bitsliced.ordered) == sorted(numbers)
+
+
 # --- languages
 
 def test_languages(spark):
