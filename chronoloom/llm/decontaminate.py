@@ -8,9 +8,9 @@ tells how far the position may jump. A jump of 0 sends the position to the
 bucket of its suffix hash, and a direct comparison of all words confirms it.
 Many positions advance together in numpy lanes.
 
-The benchmark is read in blocks of at most ``block_words`` words, so what is
-broadcast at a time is bounded however large the benchmark is; the documents
-pass through one search for each block and carry their hits along.
+The benchmark is read in blocks of about ``block_words`` words. One block is
+broadcast at a time, however large the benchmark is: before the next block the
+documents are written with their hits so far and the last block is destroyed.
 
 Defined cases: null or wordless texts have no words and no hits; items with a
 null id or no words take no part; repeated rows are judged alike; rows with
@@ -20,13 +20,14 @@ equal item_id are one item; empty tables give no hits or no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import bound_batches
+from chronoloom.llm.common import bound_batches, written
 
 _TABLE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -167,19 +168,19 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     end exclusive), items (ids of the items with occurring windows)."""
     spark = docs.sparkSession
     bound_batches(spark)
-    result = docs.withColumn(out, F.lit(None).cast(_FOUND))
-    seen = False
-    for block in item_blocks(benchmark, item_id, item_text, block_words):
-        result = result.withColumn(out, _searcher(spark, Matcher(block, window))(F.col(text_col), F.col(out)))
-        seen = True
-    if not seen:
-        result = result.withColumn(out, _searcher(spark, Matcher([], window))(F.col(text_col), F.col(out)))
+    result, shared = docs.withColumn(out, F.lit(None).cast(_FOUND)), None
+    for block in chain(item_blocks(benchmark, item_id, item_text, block_words), [None]):
+        if block is None and shared is not None:
+            break  # the extra block is for a benchmark without items
+        if shared is not None:
+            result = written(result, "hits")
+            shared.destroy()
+        shared = spark.sparkContext.broadcast(Matcher(block or [], window))  # about block_words words
+        result = result.withColumn(out, _searcher(shared)(F.col(text_col), F.col(out)))
     return result
 
 
-def _searcher(spark, matcher: Matcher):
-    shared = spark.sparkContext.broadcast(matcher)  # one block: at most block_words words
-
+def _searcher(shared):
     @F.pandas_udf(_FOUND)
     def search(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
         m = shared.value
@@ -211,4 +212,3 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     c = find_contamination(docs.select("doc_id", "text"), benchmark)
     hit = F.aggregate("contamination.spans", F.lit(0).cast("long"), lambda acc, x: acc + (x["b"] - x["a"]).cast("long"))
     return c.select("doc_id", F.col("contamination.n_words").alias("n_words"), hit.alias("n_hit"), F.size("contamination.items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("contamination.items"), ",").cast("binary"), 256).alias("items_sha256")).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
-

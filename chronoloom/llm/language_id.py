@@ -105,7 +105,9 @@ def training_ids(docs: DataFrame, eligible: Column, id_col: str, lang_col: str,
     of its language's rows that is wanted. No rows are gathered by language."""
     rows = docs.where(eligible & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    most = max(1, min(per_lang, max_sample // max(1, counts.count())))
+    langs = counts.count()
+    most = max(1, min(per_lang, max_sample // max(1, langs)))
+    counts = F.broadcast(counts) if langs <= 10_000 else counts  # a hot language is not shuffled to one task
     share = F.pmod(F.xxhash64(F.lit("sample"), F.col("id")), F.lit(1 << 40)) / float(1 << 40)
     picked = rows.join(counts, "lang").where(share < F.lit(float(most)) / F.col("n")).select("id", "lang")
     return [tuple(r) for r in picked.limit(2 * max_sample).collect()]

@@ -11,12 +11,15 @@
    Corput points in an interval have a closed form over the bits of i, so no
    window over a source's slots is needed and a hot source is no hot group.
 4. Blocks: a source's documents in hashed order, laid end to end, are cut into
-   blocks of equal numbers of words. The slot of rank r takes block r mod
-   (number of blocks); r div (number of blocks) is the epoch, and slots beyond
-   the allowed epochs take nothing.
-
-Only DataFrame expressions are used. The number of slots is at most
-2 ** slot_bits at any input size; a block holds budget / 2 ** slot_bits words.
+   blocks of equal numbers of words, as many words as the target has for each of
+   the source's slots. The slot of rank r takes block r mod (number of blocks);
+   r div (number of blocks) is the epoch, and slots beyond the target or the
+   allowed epochs take nothing.
+
+Only DataFrame expressions are used. There are about as many slots as words, and
+at most 2 ** SLOT_BITS or SOURCE_SLOTS for each source. Every source that is to
+take words gets an interval of LEAST_SLOTS slots or more, however small its
+share, so that its words come near its target at every size of the input.
 Sources are one row each; they, not documents, are ranked in one window.
 
 Defined cases: null text has size 0; a null source comes last and is a source
@@ -36,20 +39,22 @@ from chronoloom.llm.common import word_count, written
 
 #: Resolution of interval bounds and van der Corput points.
 POINT_BITS = 40
-#: At most 2 ** SLOT_BITS slots.
 SLOT_BITS = 21
-#: Buckets that a source's hashed order is cut into for prefix sums.
-ORDER_BUCKETS = 2048
+SOURCE_SLOTS = 1024
+LEAST_SLOTS = 256
+#: Documents in a bucket of a source's hashed order, about, and least number of
+#: buckets; prefix sums go over buckets first.
+BUCKET_DOCS, LEAST_BUCKETS = 50_000, 2048
 _CELL_BITS = 10
 
 
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("text_hash"))
 
 
 def targets(sizes: DataFrame, weights: list[int], budget_share: float, cap_times: int) -> DataFrame:
-    """source, source_size, weight, cap, target, low, high (bounds of points)."""
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    """source, rank, source_size, n_docs, weight, cap, target, budget (their sum)."""
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(rank - 1, F.lit(len(weights))) + 1).cast("int"))
     every = Window.partitionBy()
@@ -61,13 +66,24 @@ def targets(sizes: DataFrame, weights: list[int], budget_share: float, cap_times
     per = per.withColumn("level", (F.col("budget") - F.col("capped")) / F.col("left"))
     per = per.withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct(F.col("cap") / F.col("weight"), F.col("rank"), F.col("level").alias("at")))).over(every)["at"])
     per = per.withColumn("target", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("level") * F.col("weight"))))
-    upto = Window.orderBy("rank")
-    total = F.sum("target").over(every)
-    high = F.sum("target").over(upto.rowsBetween(Window.unboundedPreceding, 0))
-    low = F.coalesce(F.sum("target").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    point = lambda c: F.coalesce(F.least(F.round(F.try_divide(c, total) * float(1 << POINT_BITS)).cast("long"), F.lit(1 << POINT_BITS)), F.lit(0).cast("long"))
+    return per.withColumn("budget", F.sum("target").over(every)).select("source", "rank", "source_size", "n_docs", "weight", "cap", "target", "budget")
+
+
+def intervals(plan: DataFrame, slots: int) -> DataFrame:
+    """plan with low and high (bounds of a source's points), block (words), the
+    number of blocks and how many of the source's slots take words."""
+    every, upto = Window.partitionBy(), Window.orderBy("rank")
+    share = F.when(F.col("target") > 0, F.greatest(F.col("target") / F.col("budget"), F.lit(LEAST_SLOTS / slots))).otherwise(0.0)
+    plan = plan.withColumn("share", share)
+    point = lambda w: F.coalesce(F.least(F.round(F.try_divide(F.coalesce(F.sum("share").over(w), F.lit(0.0)), F.sum("share").over(every)) * float(1 << POINT_BITS)).cast("long"), F.lit(1 << POINT_BITS)), F.lit(0).cast("long"))
     last = F.col("rank") == F.count("*").over(every)
-    return per.withColumn("low", point(low)).withColumn("high", F.when(last & (total > 0), F.lit(1 << POINT_BITS)).otherwise(point(high))).withColumn("budget", F.sum("target").over(every)).select("source", "rank", "source_size", "weight", "cap", "target", "budget", "low", "high")
+    high = F.when(last & (F.col("budget") > 0), F.lit(1 << POINT_BITS)).otherwise(point(upto.rowsBetween(Window.unboundedPreceding, 0)))
+    plan = plan.withColumn("low", point(upto.rowsBetween(Window.unboundedPreceding, -1))).withColumn("high", high)
+    bits, i = slots.bit_length(), F.lit(slots).cast("long")
+    own = points_below(i, van_der_corput(i), F.col("high"), bits) - points_below(i, van_der_corput(i), F.col("low"), bits)
+    plan = plan.withColumn("own", own).withColumn("block", F.greatest(F.coalesce(F.ceil(F.try_divide("target", "own")), F.lit(1)), F.lit(1)).cast("long"))
+    plan = plan.withColumn("used", F.least("own", F.round(F.col("target") / F.col("block")).cast("long")))
+    return plan.withColumn("n_blocks", F.ceil(F.col("source_size") / F.col("block"))).drop("share", "own")
 
 
 def van_der_corput(i: Column) -> Column:
@@ -93,7 +109,8 @@ def schedule(spark, plan: DataFrame, slots: int) -> DataFrame:
     ranges = plan.where("high > low").select("rank", "low", "high", F.explode(F.sequence(F.shiftright("low", cell), F.shiftright(F.col("high") - 1, cell))).alias("cell"))
     rows = spark.range(slots).withColumn("point", van_der_corput(F.col("id"))).withColumn("cell", F.shiftright("point", cell))
     rows = rows.join(ranges, "cell").where("point >= low and point < high")
-    rank = points_below(F.col("id"), F.col("point"), F.col("high")) - points_below(F.col("id"), F.col("point"), F.col("low"))
+    bits = max(1, slots.bit_length())
+    rank = points_below(F.col("id"), F.col("point"), F.col("high"), bits) - points_below(F.col("id"), F.col("point"), F.col("low"), bits)
     return rows.select(F.col("id").alias("slot"), "point", "rank", rank.alias("slot_rank"))
 
 
@@ -101,8 +118,9 @@ def laid_out(sizes: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     """Documents with their place: offset of the first word in the source's
     hashed order. Sums over buckets of the order come first, so that no window
     holds a whole source."""
-    ranked = sizes.withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
-    ranked = ranked.withColumn("bucket", F.pmod(F.col("h"), F.lit(ORDER_BUCKETS)).cast("int"))
+    buckets = max(LEAST_BUCKETS, (plan.agg(F.max("n_docs")).first()[0] or 0) // BUCKET_DOCS)
+    ranked = sizes.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "text_hash"))
+    ranked = ranked.withColumn("bucket", F.pmod(F.col("h"), F.lit(buckets)).cast("int"))
     sums = ranked.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")))
@@ -112,9 +130,9 @@ def laid_out(sizes: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     w = Window.partitionBy("k").orderBy("h", "doc_id", "size")
     inside = F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
     rows = ranked.withColumn("k", key).withColumn("inside", inside).withColumn("n_in", F.row_number().over(w)).join(sums, "k")
-    small = plan.select(F.struct(F.coalesce("source", F.lit("")), F.col("source").isNull()).alias("s"), "rank", "source_size", "target")
+    small = plan.select(F.struct(F.coalesce("source", F.lit("")), F.col("source").isNull()).alias("s"), "rank", "source_size", "target", "block")
     rows = rows.withColumn("s", F.struct(F.coalesce("source", F.lit("")), F.col("source").isNull())).join(small, "s")
-    return rows.select("doc_id", "size", "rank", "source_size", "target", "bucket", "n_in", (F.col("base") + F.col("inside")).alias("start"))
+    return rows.select("doc_id", "size", "rank", "source_size", "target", "block", "bucket", "n_in", (F.col("base") + F.col("inside")).alias("start"))
 
 
 def mix(docs: DataFrame, weights: list[int] = [3, 1, 2], budget_share: float = 1.5, max_epochs: int = 2, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:  # noqa: B006
@@ -122,16 +140,16 @@ def mix(docs: DataFrame, weights: list[int] = [3, 1, 2], budget_share: float = 1
     spark = docs.sparkSession
     sizes = written(sized(docs, id_col, text_col, source_col), "mix-sizes")
     plan = written(targets(sizes, weights, budget_share, max_epochs), "mix-plan")
-    budget = plan.agg(F.max("budget")).first()[0] or 0.0
-    block = max(1, -int(-budget // (1 << SLOT_BITS)))
-    slots = int(-(-budget // block))
-    blocks = plan.select("rank", F.ceil(F.col("source_size") / F.lit(block)).alias("n_blocks"))
-    ranked = schedule(spark, plan, slots).join(blocks, "rank").where(F.col("slot_rank") < F.col("n_blocks") * max_epochs)
-    uses = ranked.groupBy("rank", F.pmod("slot_rank", "n_blocks").alias("block")).agg(F.count("*").alias("uses"))
+    budget, sources = plan.agg(F.coalesce(F.max("budget"), F.lit(0.0)), F.count("*")).first()
+    least = SOURCE_SLOTS * max(1, sources)
+    slots = min(max(int(budget), least), max(1 << SLOT_BITS, least))
+    plan = written(intervals(plan, slots), "mix-intervals")
+    ranked = schedule(spark, plan, slots).join(plan.select("rank", "n_blocks", "used"), "rank").where((F.col("slot_rank") < F.col("n_blocks") * max_epochs) & (F.col("slot_rank") < F.col("used")))
+    uses = ranked.groupBy("rank", F.pmod("slot_rank", "n_blocks").alias("number")).agg(F.count("*").alias("uses"))
     placed = laid_out(sizes, plan, seed)
     place = F.struct("rank", "bucket", "n_in")
-    some = placed.where("size > 0").select(place.alias("place"), "rank", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"))
-    overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
-    taken = some.join(uses, ["rank", "block"]).groupBy("place").agg(F.sum(overlap * F.col("uses")).alias("taken"))
+    some = placed.where("size > 0").select(place.alias("place"), "rank", "start", "size", "block", F.explode(F.sequence(F.floor(F.col("start") / F.col("block")), F.floor((F.col("start") + F.col("size") - 1) / F.col("block")))).alias("number"))
+    overlap = F.least(F.col("start") + F.col("size"), (F.col("number") + 1) * F.col("block")) - F.greatest(F.col("start"), F.col("number") * F.col("block"))
+    taken = some.join(uses, ["rank", "number"]).groupBy("place").agg(F.sum(overlap * F.col("uses")).alias("taken"))
     rows = placed.withColumn("place", place).join(taken, "place", "left")
     return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

@@ -10,8 +10,9 @@ leaves the others exact; of the exact ones a set is indexed under its D + 1
 cheapest subsets, ordered by estimated frequency, the same order for all sets.
 Sets that share a signature are candidates and are verified on whole texts.
 
-The estimates come from a bounded sample (``sample_docs`` texts); they affect
-cost, never the result.
+The estimates come from a bounded sample (about ``sample_docs`` sets of up to
+SAMPLED shingles; larger ones get no deletions); they affect cost, never the
+result.
 
 Only components of links are wanted, so a signature's sets are not paired with
 each other: equal sets are one node, and ``candidates.connect`` verifies
@@ -52,6 +53,8 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _FILTER_BITS = 27
 #: Parity bits of a set's sketch.
 SKETCH = 1024
+#: Sets of more shingles are not sampled.
+SAMPLED = 2048
 
 
 class _WordHash(dict):
@@ -247,7 +250,7 @@ def describe(docs: DataFrame, size: int, sample_share: float) -> DataFrame:
                 s, bounds = shingle_sets(texts[a:b], size)
                 node, least, sketch = describe_sets(s, bounds)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * (SKETCH // 64), pa.int32()), pa.array(sketch.ravel()))
-                part = [s[x:y].tobytes() if keep[a + i] and y > x else None for i, (x, y) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))]
+                part = [s[x:y].tobytes() if keep[a + i] and 0 < y - x <= SAMPLED else None for i, (x, y) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))]
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), batch.column("k").slice(a, b - a), pa.array(np.diff(bounds)), pa.array(node), pa.array(least), flat, pa.array(part, pa.binary())], schema=schema)
 
     share = F.pmod(F.xxhash64(F.lit("sets"), "k"), F.lit(1 << 30)) / float(1 << 30)

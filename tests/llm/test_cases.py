@@ -202,6 +202,42 @@ def test_mixing_odd_rows(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
 
 
+def test_mixing_takes_what_slots_take(spark):
+    """Slot by slot in plain Python: each takes its source's next block. Every
+    document has one word, so that a source's words are told apart by document
+    in whatever order they are laid out."""
+    rows = [(i, f"word{i}", "en", s) for i, s in enumerate(["a"] * 900 + ["b"] * 300 + [None] * 50)]
+    sizes = {"a": 900, "b": 300, None: 50}
+    target = waterfill(sizes, [3, 1, 2])
+    budget, slots = sum(target.values()), max(int(sum(target.values())), 3 * mixing.SOURCE_SLOTS)
+    wide = [max(target[s] / budget, mixing.LEAST_SLOTS / slots) for s in sizes]
+    edge = [round(sum(wide[:i]) / sum(wide) * 2**40) for i in range(3)] + [2**40]
+    point = lambda i: int(bin(i)[2:].zfill(40)[::-1], 2)
+    own = Counter(next(k for k in range(3) if edge[k] <= point(i) < edge[k + 1]) for i in range(slots))
+    want = {}
+    for k, s in enumerate(sizes):
+        block, uses = max(1, math.ceil(target[s] / own[k])), Counter()
+        n_blocks = -(-sizes[s] // block)
+        for r in range(min(own[k], int(target[s] / block + 0.5), 2 * n_blocks)):
+            for w in range(r % n_blocks * block, min((r % n_blocks + 1) * block, sizes[s])):
+                uses[w] += 1
+        want[s] = sorted(uses.get(w, 0) for w in range(sizes[s]))
+    got = {s: [] for s in sizes}
+    for r in mixing.mix(docs(spark, rows)).join(docs(spark, rows).select("doc_id", "source"), "doc_id").collect():
+        got[r["source"]].append(r["taken"])
+    assert {s: sorted(v) for s, v in got.items()} == want
+
+
+def test_mixing_small_sources_meet_targets(spark, monkeypatch):
+    """A source of a few words beside one of very many, with far fewer slots
+    than words."""
+    monkeypatch.setattr(mixing, "SLOT_BITS", 12)
+    rows = [(i, " ".join(["w"] * 500), "en", "big") for i in range(400)] + [(1000 + i, "a b c d", "en", "small") for i in range(40)] + [(2000, "x", "en", "tiny"), (None, "no id", "en", "big"), (None, "no id too", "en", "big"), (3000, None, "en", "none")]
+    got = mixing.mix(docs(spark, rows)).join(docs(spark, rows).select("doc_id", "source").distinct(), "doc_id").groupBy("source").agg(F.sum("taken"), F.first("target")).collect()
+    for s, taken, target in got:
+        assert abs(taken - target) <= 0.02 * target + 2, (s, taken, target)
+
+
 def test_van_der_corput_ranks(spark):
     bound = int(0.37 * (1 << mixing.POINT_BITS))
     rows = spark.range(200).withColumn("p", mixing.van_der_corput(F.col("id"))).withColumn("r", mixing.points_below(F.col("id"), F.col("p"), F.lit(bound))).collect()
