@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoloom.functions.hashing import pick
 from chronoloom.functions.lineage import cut
 from chronoloom.functions.scalars import replace_zeros
 from chronoloom.schema import EXTERNAL, OBSERVED, TRIPLE, WINDOW, in_window
@@ -127,3 +128,8 @@ def nearest_year(wanted: DataFrame, years: DataFrame) -> DataFrame:
     rows = wanted.join(F.broadcast(all_years), how="cross")  # one row
     ranked = F.array_sort(F.transform("ys", lambda y, i: F.struct(F.abs(y - F.col("year")).alias("d"), i.alias("i"), y.alias("y"))))
     return rows.withColumn("best", F.get(ranked, F.lit(0))).select("year", F.col("best.y").alias("nearest"), F.col("best.i").alias("position"))
+
+
+def clamped(year: Column, years: list[int], seed: int, *parts: Column) -> Column:
+    """The year, or one of the allowed years drawn by hash where it is none."""
+    return F.when(year.isin(years), year).otherwise(F.get(F.array(*[F.lit(y) for y in years]), F.least(pick(len(years), seed, *parts), F.lit(len(years) - 1)).cast("int")))

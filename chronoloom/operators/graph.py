@@ -115,6 +115,27 @@ def edgebank(history: DataFrame, queries: DataFrame, window: int, least: int) ->
     return queries.join(seen, ["src", "tgt", "year"]).withColumn("predicted", (F.col("past") >= least).cast("int"))
 
 
+def edgebank_table(history: DataFrame, queries: DataFrame, windows: list[int], leasts: list[int]) -> DataFrame:
+    """window_years, least, precision, recall, fpr, auc, ap, acc of the baseline
+    that predicts a pair seen at least so often in the window before. A single
+    operating point has auc (1 + recall - fpr) / 2 and ap recall * precision +
+    (1 - recall) * share of positives. All windows share one sort by pair."""
+    n = history.groupBy("src", "tgt", "year").agg(F.count("*").alias("n"))
+    rows = n.select("src", "tgt", "year", "n", F.lit(None).cast("int").alias("label")).unionByName(queries.select("src", "tgt", "year", F.lit(0).cast("long").alias("n"), F.col("label").cast("int").alias("label")))
+    by = Window.partitionBy("src", "tgt").orderBy("year")
+    past = F.array(*[F.struct(F.lit(w).alias("window_years"), F.coalesce(F.sum("n").over(by.rangeBetween(-w, -1)), F.lit(0)).alias("past")) for w in windows])
+    seen = rows.withColumn("past", past).where("label is not null").select("label", F.explode("past").alias("x")).select("label", "x.*")
+    counts = seen.groupBy("window_years", "past", "label").agg(F.count("*").alias("n"))  # few rows
+    cells = counts.withColumn("least", F.explode(F.array(*[F.lit(t) for t in leasts])))
+    count = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).cast("double")
+    yes, pos = F.col("past") >= F.col("least"), F.col("label") == 1
+    cells = cells.groupBy("window_years", "least").agg(count(yes & pos).alias("tp"), count(yes & ~pos).alias("fp"), count(pos).alias("p"), count(~pos).alias("m"))
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    tp, fp, p, m = (F.col(c) for c in ("tp", "fp", "p", "m"))
+    r, f, q = ratio(tp, p), ratio(fp, m), ratio(tp, tp + fp)
+    return cells.select("window_years", "least", q.alias("precision"), r.alias("recall"), f.alias("fpr"), ((1 + r - f) / 2).alias("auc"), (r * q + (1 - r) * ratio(p, p + m)).alias("ap"), ratio(tp + m - fp, p + m).alias("acc"))
+
+
 def top_nodes(features: DataFrame, scorer: list[float], k: int) -> DataFrame:
     """node, score of the k nodes with the largest projection on the scorer."""
     s = F.array(*[F.lit(float(v)) for v in scorer])

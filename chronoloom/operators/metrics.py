@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoloom.functions.lineage import cut
+
 
 def clean(scores: DataFrame, prob: str = "prob") -> DataFrame:
     return scores.where(F.col(prob).isNotNull() & ~F.isnan(prob))
@@ -218,3 +220,31 @@ def empirical_cdf(scores: DataFrame) -> DataFrame:
     d = clean(scores).groupBy("prob").agg(F.count("*").alias("n"))
     upto = Window.partitionBy().orderBy("prob").rowsBetween(Window.unboundedPreceding, 0)
     return d.select("prob", (F.sum("n").over(upto) / F.sum("n").over(Window.partitionBy())).alias("cdf"))
+
+
+def nearest_points(curve: DataFrame, wanted: list[float]) -> DataFrame:
+    """at, threshold, fpr, tpr: for each wanted threshold the curve's point
+    whose threshold is nearest, ties to the greater. One pass over the curve."""
+    finite = curve.where("threshold < double('Infinity')")
+    best = lambda t: F.min_by(F.struct("threshold", "fpr", "tpr"), F.struct(F.round(F.abs(F.col("threshold") - F.lit(t)), 9), -F.col("threshold")))
+    points = finite.agg(F.array(*[F.struct(F.lit(t).alias("at"), best(t).alias("p")) for t in wanted]).alias("x"))
+    return points.select(F.explode("x").alias("x")).where("x.p is not null").select("x.at", "x.p.*")
+
+
+def least_gap(rows: DataFrame, col: str) -> DataFrame:
+    """gap: the smallest distance of neighbouring distinct values, as for the
+    width of bars. Ranges are sorted one by one; their ends meet afterwards."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(rows.select(F.col(col).alias("x")).where("x is not null").distinct().repartitionByRange(parts, "x").withColumn("part", F.spark_partition_id()))
+    inside = dealt.withColumn("gap", F.lead("x").over(Window.partitionBy("part").orderBy("x")) - F.col("x")).select("gap")
+    ends = dealt.groupBy("part").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    between = ends.select((F.lead("lo").over(Window.orderBy("lo")) - F.col("hi")).alias("gap"))  # a row for each range
+    return inside.unionByName(between).agg(F.min("gap").alias("gap"))
+
+
+def with_side(rows: DataFrame, side: DataFrame | None, on: list[str], cols: list[str]) -> DataFrame:
+    """rows with the columns of an optional side table, null where it has no
+    row or is missing."""
+    if side is None:
+        return rows.select("*", *[F.lit(None).cast("double").alias(c) for c in cols])
+    return rows.join(side.select(*on, *cols), on, "left")

@@ -134,3 +134,24 @@ def histogram_distance(a: DataFrame, b: DataFrame, by: tuple[str, ...] = (), wid
 def last_events(hists: DataFrame, by: tuple[str, ...]) -> DataFrame:
     """The event with the largest step of each group."""
     return hists.groupBy(*by).agg(F.max_by(F.struct("limits", "counts"), "step").alias("h")).select(*by, "h.limits", "h.counts")
+
+
+def without_runs(log: DataFrame, *excluded: dict[str, object]) -> DataFrame:
+    """The log without single runs, each named by its columns' values."""
+    for one in excluded:
+        same = None
+        for col, value in one.items():
+            same = (F.col(col).eqNullSafe(F.lit(value))) if same is None else same & F.col(col).eqNullSafe(F.lit(value))
+        log = log.where(~same) if same is not None else log
+    return log
+
+
+def rescaled_durations(durations: DataFrame, log: DataFrame, model: str) -> DataFrame:
+    """durations with the mean of one model, whose steps are no epochs, rescaled:
+    mean * (largest step / 2) / (mean gap of its steps)."""
+    w = Window.partitionBy("model", "flag", "run_id", "tag").orderBy("wall_time", "epoch")
+    gaps = log.where(F.col("model") == model).withColumn("step_gap", F.abs(F.col("epoch") - F.lag("epoch").over(w)))
+    of = gaps.groupBy("model", "flag").agg(F.max("epoch").alias("top"), F.avg("step_gap").alias("step_gap"))
+    rows = durations.join(of, ["model", "flag"], "left")
+    scaled = F.col("mean_seconds") * (F.col("top") / 2) / F.nullif(F.col("step_gap"), F.lit(0.0))
+    return rows.withColumn("mean_seconds", F.coalesce(scaled, F.col("mean_seconds"))).drop("top", "step_gap")

@@ -10,10 +10,44 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.functions.hashing import key, pick, unit
+from chronoloom.functions.lineage import cut
 from chronoloom.operators.edges import dense_index
 from chronoloom.schema import TRIPLE
 
 
+#: Ranges that an order is cut into before ranks are given.
+RANGES = 4096
+
+
+def smallest(rows: DataFrame, order: Column, place: Column, n: int) -> DataFrame:
+    """The n rows that come first by order (all, if fewer). place: the order as
+    a number in [0, 1), rising with it. Rows are counted by range; whole ranges
+    stay, and only the range in which the n-th row falls is put in order."""
+    rows = cut(rows.withColumn("_range", F.floor(place * RANGES).cast("int")).withColumn("_order", order))
+    left, edge = n, None
+    for r, have in sorted(map(tuple, rows.groupBy("_range").count().collect())):  # RANGES rows at most
+        if have > left:
+            edge = r
+            break
+        left -= have
+    if edge is None:
+        return rows.drop("_range", "_order")
+    last = rows.where(F.col("_range") == edge).orderBy("_order").limit(left)
+    return rows.where(F.col("_range") < edge).unionByName(last).drop("_range", "_order")
+
+
+def ranked(rows: DataFrame, by: str, hashed: Column) -> DataFrame:
+    """rows with rn, the rank from 1 by hash within by, and n, the group's size.
+    hashed: hexadecimal. A range of hashes is ranked at a time, so that a group
+    of any size is many small ones."""
+    rows = cut(rows.withColumn("_hash", hashed).withColumn("_range", F.conv(F.substring("_hash", 1, 3), 16, 10).cast("int")))
+    sizes = rows.groupBy(by, "_range").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(by)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(w.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("n", F.sum("_n").over(w))
+    local = rows.withColumn("_at", F.row_number().over(Window.partitionBy(by, "_range").orderBy("_hash")))
+    return local.join(sizes, [by, "_range"]).withColumn("rn", F.col("_at") + F.col("_before")).drop("_hash", "_range", "_at", "_n", "_before")
+
+
 def year_weights(triples: DataFrame, copies: int = 1000) -> DataFrame:
     """year, n, weight (inverse frequency, sums to 1), copies (floor)."""
     n = triples.groupBy("year").agg(F.count("*").alias("n"))
@@ -27,19 +61,16 @@ def balanced_years(triples: DataFrame, seed: int) -> DataFrame:
     """As many distinct triples of each year as the rarest year has."""
     rows = triples.distinct()
     least = rows.groupBy("year").agg(F.count("*").alias("n")).agg(F.min("n").alias("least"))
-    w = Window.partitionBy("year").orderBy(key(seed, *map(F.col, TRIPLE)))
-    ranked = rows.withColumn("rn", F.row_number().over(w)).join(F.broadcast(least), how="cross")  # one row
-    return ranked.where("rn <= least").select(*TRIPLE)
+    rows = ranked(rows, "year", key(seed, *map(F.col, TRIPLE))).join(F.broadcast(least), how="cross")  # one row
+    return rows.where("rn <= least").select(*TRIPLE)
 
 
 def stratified_split(triples: DataFrame, seed: int, test: float = 0.1, val: float = 0.1) -> DataFrame:
     """Distinct triples with split: test, val or train, by share within years."""
     rows = triples.distinct()
-    w = Window.partitionBy("year")
-    rn = F.row_number().over(w.orderBy(key(seed, *map(F.col, TRIPLE))))
-    rows = rows.withColumn("rn", rn).withColumn("n", F.count("*").over(w))
-    cut = lambda share: F.floor(F.round(F.col("n") * share, 6))
-    return rows.select(*TRIPLE, F.when(F.col("rn") <= cut(test), "test").when(F.col("rn") <= cut(test) + cut(val), "val").otherwise("train").alias("split"))
+    rows = ranked(rows, "year", key(seed, *map(F.col, TRIPLE)))
+    part = lambda share: F.floor(F.round(F.col("n") * share, 6))
+    return rows.select(*TRIPLE, F.when(F.col("rn") <= part(test), "test").when(F.col("rn") <= part(test) + part(val), "val").otherwise("train").alias("split"))
 
 
 def composition(split: DataFrame) -> DataFrame:
@@ -80,12 +111,41 @@ def negative_pool(ids: DataFrame, years: list[int], known: DataFrame, wanted: in
     draws with the smallest numbers stay, so a larger pool extends a smaller."""
     rows = random_triples(ids, years, int(wanted * oversample), seed, self_loops)
     rows = rows.groupBy(*TRIPLE).agg(F.min("draw").alias("draw")).join(known.select(*TRIPLE).distinct(), TRIPLE, "left_anti")
-    return rows.orderBy("draw").limit(wanted)
+    return smallest(rows, F.col("draw"), F.col("draw") / max(1, int(wanted * oversample)), wanted)
 
 
-def fixed_negatives(pool: DataFrame, n: int, seed: int) -> DataFrame:
-    """n of the pool without replacement (all, if fewer)."""
-    return pool.select(*TRIPLE).withColumn("h", key(seed, *map(F.col, TRIPLE))).orderBy("h").limit(n).drop("h")
+def _first_by_hash(rows: DataFrame, n: int, seed: int) -> DataFrame:
+    h = key(seed, *map(F.col, TRIPLE))
+    return smallest(rows, h, F.conv(F.substring(h, 1, 3), 16, 10).cast("int") / 4096, n)
+
+
+def fixed_negatives(pool: DataFrame, n: int, seed: int, more: DataFrame | None = None) -> DataFrame:
+    """n of the pool without replacement; if it is short, topped up from more,
+    triples that are known to be no positives (all, if these are short too)."""
+    got = _first_by_hash(pool.select(*TRIPLE), n, seed)
+    if more is None:
+        return got
+    have = got.count()
+    if have >= n:
+        return got
+    rest = more.select(*TRIPLE).distinct().join(pool.select(*TRIPLE), TRIPLE, "left_anti")
+    return got.unionByName(_first_by_hash(rest, n - have, seed))
+
+
+def retried_negatives(positives: DataFrame, ids: DataFrame, known: DataFrame, seed: int, attempts: int = 10) -> DataFrame:
+    """src, tgt, year, attempt: for each positive a negative in its year with
+    the source or the target replaced by any company, half and half: the first
+    of its attempts that is unknown and no self-loop. Positives without one are
+    left to ``random_triples``."""
+    size = max(1, ids.count())
+    index = dense_index(ids.select("company_id"), "company_id")
+    tries = positives.select(*TRIPLE).distinct().withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(attempts))))
+    of = [F.col(c) for c in (*TRIPLE, "attempt")]
+    tries = _picked(tries, index, size, "any", pick(size, seed, "any", *of))
+    swap = unit(seed, "end", *of) < 0.5
+    tries = tries.select(F.struct(*TRIPLE).alias("of"), "attempt", F.when(swap, F.col("any")).otherwise(F.col("src")).alias("src"), F.when(swap, F.col("tgt")).otherwise(F.col("any")).alias("tgt"), "year")
+    good = tries.where("src != tgt").join(known.select(*TRIPLE).distinct(), TRIPLE, "left_anti")
+    return good.groupBy("of").agg(F.min_by(F.struct(*TRIPLE, "attempt"), "attempt").alias("x")).select("x.*")
 
 
 def blacklist(*sets: DataFrame) -> DataFrame:
@@ -166,8 +226,8 @@ def labelled(positives: DataFrame, dynamic: DataFrame, predefined: DataFrame | N
 
 
 def subsample(rows: DataFrame, n: int, seed: int) -> DataFrame:
-    """n rows in hash order: a top-n, never a sort of all."""
-    return rows.withColumn("h", key(seed, *map(F.col, TRIPLE))).orderBy("h").limit(n).drop("h")
+    """The n rows with the smallest hashes."""
+    return _first_by_hash(rows, n, seed)
 
 
 def hash_split(rows: DataFrame, share: float, seed: int, out: str = "part") -> DataFrame:

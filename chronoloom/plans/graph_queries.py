@@ -20,10 +20,8 @@ def _pos(spark, d):
     return E.scan_edges(T.nodes(spark, d), T.edges(spark, d))
 
 
-def _features(spark, d, dims: int | None = None):
-    """Embeddings, or their first components where the SQL names only those."""
-    n = E.embedded(T.nodes(spark, d))
-    return n.select(F.col("company_id").alias("node"), (F.slice("embedding", 1, dims) if dims else F.col("embedding")).alias("x"))
+def _features(spark, d):
+    return E.embedded(T.nodes(spark, d)).select(F.col("company_id").alias("node"), F.col("embedding").alias("x"))
 
 
 def _width(features) -> int:
@@ -65,40 +63,40 @@ def normalized_adjacency(spark, d):
     return rounded(G.adjacency(_both(spark, d)), "weight")
 
 
-@query(sql("SELECT year, a.src AS node, round(sum(weight * embedding[1]), 6) AS x0, round(sum(weight * embedding[2]), 6) AS x1 FROM adj a JOIN nodes n ON n.company_id = a.tgt WHERE weight <> 0 GROUP BY year, a.src", "pos", both_ways=BOTH, deg=OUT, adj=ADJ))
+@query(sql("SELECT year, node, CAST(k AS INTEGER) AS pos, round(sum(weight * e::DOUBLE), 6) AS value FROM (SELECT year, a.src AS node, weight, unnest(range(len(embedding))) AS k, unnest(embedding) AS e FROM adj a JOIN nodes n ON n.company_id = a.tgt WHERE weight <> 0) GROUP BY year, node, k", "pos", both_ways=BOTH, deg=OUT, adj=ADJ))
 def message_passing(spark, d):
-    rows = G.propagate(G.adjacency(_both(spark, d)), _features(spark, d, 2))
-    return rows.select("year", "node", F.round(F.get("x", F.lit(0)), 6).alias("x0"), F.round(F.get("x", F.lit(1)), 6).alias("x1"))
+    """One component of a vector in a row."""
+    rows = G.propagate(G.adjacency(_both(spark, d)), _features(spark, d))
+    return rows.select("year", "node", F.posexplode("x").alias("pos", "value")).withColumn("value", F.round("value", 6))
 
 
 def _pairs(spark, d):
-    """Thirty of the year's most distinct pairs: the subgraphs grow fast."""
-    return _thin(spark, d).select("src", "tgt").distinct().orderBy("src", "tgt").limit(30).select((F.col("src") * 10_000_000 + F.col("tgt")).alias("pair_id"), F.col("src").alias("a"), F.col("tgt").alias("b"))
+    """Every distinct pair of the positives."""
+    return _pos(spark, d).select("src", "tgt").distinct().select((F.col("src") * 10_000_000 + F.col("tgt")).alias("pair_id"), F.col("src").alias("a"), F.col("tgt").alias("b"))
 
 
-def _thin(spark, d):
-    return _pos(spark, d).where("year = 1996 and (src * 7 + tgt) % 5 = 0")
+def _members(spark, d):
+    """Two steps along incoming edges of all years, for every pair."""
+    return G.k_hop(_pairs(spark, d), _pos(spark, d), undirected=False)
 
 
-THIN = "SELECT src, tgt, year FROM pos WHERE year = 1996 AND (src * 7 + tgt) % 5 = 0"
-PAIR = "SELECT src * 10000000 + tgt AS pair_id, src AS a, tgt AS b FROM (SELECT DISTINCT src, tgt FROM thin ORDER BY src, tgt LIMIT 30)"
+PAIR = "SELECT src * 10000000 + tgt AS pair_id, src AS a, tgt AS b FROM (SELECT DISTINCT src, tgt FROM pos)"
 HOPS = """SELECT pair_id, node, min(hop) AS hop FROM (
-  WITH s AS (SELECT DISTINCT src AS x, tgt AS y FROM thin UNION SELECT DISTINCT tgt, src FROM thin), z AS (SELECT pair_id, a AS node, 0 AS hop FROM pair UNION ALL SELECT pair_id, b, 0 FROM pair),
+  WITH s AS (SELECT DISTINCT tgt AS x, src AS y FROM pos), z AS (SELECT pair_id, a AS node, 0 AS hop FROM pair UNION ALL SELECT pair_id, b, 0 FROM pair),
   o AS (SELECT DISTINCT pair_id, y AS node, 1 AS hop FROM z JOIN s ON x = node) SELECT * FROM z UNION ALL SELECT * FROM o UNION ALL SELECT DISTINCT pair_id, y, 2 FROM o JOIN s ON x = node) GROUP BY pair_id, node"""
 
 
-@query(sql("SELECT pair_id, node, hop FROM hops", "pos", thin=THIN, pair=PAIR, hops=HOPS))
+@query(sql("SELECT pair_id, node, hop FROM hops", "pos", pair=PAIR, hops=HOPS))
 def khop_subgraph(spark, d):
-    return G.k_hop(_pairs(spark, d), _thin(spark, d))
+    return _members(spark, d)
 
 
-@query(sql("SELECT pair_id, t.src, t.tgt, t.year, round(1.0::DOUBLE / (abs(t.year - 1998) + 1), 6) AS weight FROM hops x JOIN thin t ON t.src = x.node JOIN hops y ON y.pair_id = x.pair_id AND y.node = t.tgt".replace("SELECT pair_id", "SELECT x.pair_id"), "pos", thin=THIN, pair=PAIR, hops=HOPS))
+@query(sql("SELECT pair_id, t.src, t.tgt, t.year, round(1.0::DOUBLE / (abs(t.year - 1998) + 1), 6) AS weight FROM hops x JOIN pos t ON t.src = x.node JOIN hops y ON y.pair_id = x.pair_id AND y.node = t.tgt".replace("SELECT pair_id", "SELECT x.pair_id"), "pos", pair=PAIR, hops=HOPS))
 def temporal_weight(spark, d):
-    t = _thin(spark, d)
-    return rounded(G.weighted_by_time(G.induced(G.k_hop(_pairs(spark, d), t), t), 1998), "weight")
+    return rounded(G.weighted_by_time(G.induced(_members(spark, d), _pos(spark, d)), 1998), "weight")
 
 
-_SUB = "SELECT DISTINCT x.pair_id, t.src, t.tgt FROM hops x JOIN thin t ON t.src = x.node JOIN hops y ON y.pair_id = x.pair_id AND y.node = t.tgt"
+_SUB = "SELECT DISTINCT x.pair_id, t.src, t.tgt FROM hops x JOIN pos t ON t.src = x.node JOIN hops y ON y.pair_id = x.pair_id AND y.node = t.tgt"
 _STEP = "SELECT pair_id, src AS x, tgt AS y FROM sub UNION SELECT pair_id, tgt, src FROM sub"
 _DIST = "SELECT pair_id, start, node, min(d) AS d FROM ({}) GROUP BY ALL"
 
@@ -112,29 +110,31 @@ def _bfs() -> str:
 
 
 @query(sql("""SELECT h.pair_id, h.node, CAST(CASE WHEN x.d IS NULL OR y.d IS NULL THEN 0 ELSE least(1 + least(x.d, y.d) + greatest(x.d, y.d) * (greatest(x.d, y.d) + 1) // 2, 5) END AS INTEGER) AS label
-  FROM hops h JOIN pair p ON p.pair_id = h.pair_id LEFT JOIN dist x ON x.pair_id = h.pair_id AND x.node = h.node AND x.start = p.a LEFT JOIN dist y ON y.pair_id = h.pair_id AND y.node = h.node AND y.start = p.b""", "pos", thin=THIN, pair=PAIR, hops=HOPS, sub=_SUB, step=_STEP, dist=_bfs()))
+  FROM hops h JOIN pair p ON p.pair_id = h.pair_id LEFT JOIN dist x ON x.pair_id = h.pair_id AND x.node = h.node AND x.start = p.a LEFT JOIN dist y ON y.pair_id = h.pair_id AND y.node = h.node AND y.start = p.b""", "pos", pair=PAIR, hops=HOPS, sub=_SUB, step=_STEP, dist=_bfs()))
 def drnl_labels(spark, d):
-    t = cut(_thin(spark, d))
-    pairs = cut(_pairs(spark, d))
-    members = G.k_hop(pairs, t)
-    return G.role_labels(pairs, members, G.induced(members, t))
+    pairs, members = cut(_pairs(spark, d)), cut(_members(spark, d))
+    return G.role_labels(pairs, members, G.induced(members, _pos(spark, d)))
 
 
-@query(sql("""SELECT w AS window_years, t AS least, round(avg(CAST(past >= t AS INTEGER)), 6) AS predicted_share, count(*) AS n FROM (
-  SELECT w, q.src, q.tgt, q.year, (SELECT count(*) FROM pos h WHERE h.src = q.src AND h.tgt = q.tgt AND h.year BETWEEN q.year - w AND q.year - 1) AS past FROM (SELECT DISTINCT src, tgt, year FROM pos) q, (VALUES (2), (4)) v(w)), (VALUES (1), (2)) u(t) GROUP BY w, t""", "pos"))
+_PAST = """SELECT q.src, q.tgt, q.year, q.label, w, (SELECT count(*) FROM pos h WHERE h.src = q.src AND h.tgt = q.tgt AND h.year BETWEEN q.year - w AND q.year - 1) AS past FROM asked q, (VALUES (2), (4), (8), (16)) v(w)"""
+_ASKED = "SELECT src, tgt, year, 1 AS label FROM dp UNION ALL SELECT src, tgt, year, 0 FROM swapped WHERE (src, tgt, year) NOT IN (SELECT src, tgt, year FROM known)"
+_CELLS = "SELECT w, t, sum(CAST(past >= t AND label = 1 AS BIGINT))::DOUBLE AS tp, sum(CAST(past >= t AND label = 0 AS BIGINT))::DOUBLE AS fp, sum(label)::DOUBLE AS p, sum(1 - label)::DOUBLE AS n FROM past, (VALUES (1), (2), (3)) u(t) GROUP BY w, t"
+
+
+@query(sql("""SELECT w AS window_years, t AS least, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(tp / p, 6) AS recall, round(fp / n, 6) AS fpr, round((1 + tp / p - fp / n) / 2, 6) AS auc,
+  round(tp / p * coalesce(tp / nullif(tp + fp, 0), 0) + (1 - tp / p) * p / (p + n), 6) AS ap, round((tp + n - fp) / (p + n), 6) AS acc FROM cells""", "pos", "ext", dp=S.DP, known=S.KNOWN, w=S.W_SQL, swapped=S.SWAP, asked=_ASKED, past=_PAST, cells=_CELLS))
 def edgebank(spark, d):
-    p, out = _pos(spark, d), None
-    for w in (2, 4):
-        for t in (1, 2):
-            r = G.edgebank(p, p.distinct().withColumn("label", F.lit(1)), w, t).agg(F.round(F.avg(F.col("predicted").cast("double")), 6).alias("predicted_share"), F.count("*").alias("n"))
-            r = r.select(F.lit(w).alias("window_years"), F.lit(t).alias("least"), "predicted_share", "n")
-            out = r if out is None else out.unionByName(r)
-    return out
+    """The baseline table: windows of 2 to 16 years by least counts of 1 to 3,
+    over positives and the same pairs in other years."""
+    p = _pos(spark, d)
+    asked = p.distinct().withColumn("label", F.lit(1)).unionByName(S.time_swap_negatives(spark, d).withColumn("label", F.lit(0)))
+    return rounded(G.edgebank_table(p, asked, [2, 4, 8, 16], [1, 2, 3]), "precision", "recall", "fpr", "auc", "ap", "acc")
 
 
-@query(sql("SELECT company_id AS node, round((embedding[1]::DOUBLE + 2 * embedding[2]::DOUBLE) / sqrt(5.0::DOUBLE), 6) AS score FROM nodes WHERE embedding IS NOT NULL ORDER BY score DESC, node LIMIT 20", "nodes"))
+@query(sql("SELECT company_id AS node, round(list_inner_product(list_transform(embedding, lambda x: x::DOUBLE), list_transform(range(1, len(embedding) + 1), lambda i: i::DOUBLE)) / sqrt(len(embedding) * (len(embedding) + 1) * (2 * len(embedding) + 1) / 6.0::DOUBLE), 6) AS score FROM nodes WHERE embedding IS NOT NULL ORDER BY score DESC, node LIMIT 20", "nodes"))
 def topk_nodes(spark, d):
-    return G.top_nodes(_features(spark, d, 2), [1.0, 2.0], 20)
+    x = _features(spark, d)
+    return G.top_nodes(x, [float(i + 1) for i in range(_width(x))], 20)
 
 
 HIDDEN = 6
@@ -212,9 +212,8 @@ def multi_model_inference(spark, d):
 
 @query()
 def seal_score(spark, d):
-    t, pairs = cut(_thin(spark, d)), cut(_pairs(spark, d))
-    members = G.k_hop(pairs, t)
-    sub = G.weighted_by_time(G.induced(members, t), 1998)
+    pairs, members = cut(_pairs(spark, d)), cut(_members(spark, d))
+    sub = G.weighted_by_time(G.induced(members, _pos(spark, d)), 1998)
     x = _features(spark, d)
     w = N.init(6, {"embed": (6, 4), "w0": (4 + _width(x), 8), "w1": (8, 4), "head": (8,)})
     return rounded(N.subgraph_scores(pairs, sub, G.role_labels(pairs, members, sub), x, w), "prob")

@@ -274,3 +274,23 @@ def degree_heatmap(spark, d):
 @query(sql("SELECT round(avg(s) FILTER (WHERE year <= 1997), 6) AS early, round(avg(s) FILTER (WHERE year >= 1999), 6) AS late FROM (SELECT year, avg(CAST(high_var AS INTEGER)) AS s FROM f GROUP BY year)", "scores", "samples", mat=MAT, f=FLAG))
 def year_thirds(spark, d):
     return rounded(V.thirds(_flagged(spark, d)), "early", "late")
+
+
+_AT = ", ".join(f"({i / 10}::DOUBLE)" for i in range(1, 10))
+
+
+@query(sql(f"SELECT t AS at, prob AS threshold, fpr, tpr FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY round(abs(prob - t), 9), prob DESC) AS rn FROM (SELECT prob, {_r('fp', 'fp + tn')} AS fpr, {_r('tp', 'tp + fn')} AS tpr FROM c), (VALUES {_AT}) v(t)) WHERE rn = 1", "scores", m0=M0, c=CUM))
+def roc_nearest_point(spark, d):
+    return rounded(M.nearest_points(M.roc_curve(_m0(spark, d)), [i / 10 for i in range(1, 10)]), "fpr", "tpr")
+
+
+@query(sql("SELECT round(min(gap), 6) AS gap FROM (SELECT lead(prob) OVER (ORDER BY prob) - prob AS gap FROM (SELECT DISTINCT prob FROM m0))", "scores", m0=M0))
+def least_score_gap(spark, d):
+    return rounded(M.least_gap(_m0(spark, d), "prob"), "gap")
+
+
+@query(sql("SELECT sample_id, model_id, prob, CASE WHEN label = 1 THEN e END AS ensemble FROM (SELECT s.*, n.prob AS e FROM scores s JOIN ensemble n USING (sample_id))", "scores", "ensemble"))
+def ensemble_lookup(spark, d):
+    """Model scores beside the ensemble's, which is known for positives only."""
+    side = _ens(spark, d).where("label = 1").withColumnRenamed("prob", "ensemble")
+    return M.with_side(T.scores(spark, d).select("sample_id", "model_id", "prob"), side, ["sample_id"], ["ensemble"])

@@ -115,3 +115,33 @@ def composite_score(spark, d):
 def duration_text(spark, d):
     rows = spark.range(0, 20000, 37).select(F.col("id").cast("double").alias("seconds"))
     return rows.withColumn("shown", duration_text_of(F.col("seconds")))
+
+
+_MEANS = "SELECT model, flag, " + ", ".join(f"avg(value) FILTER (WHERE tag = '{t}') AS {t.replace('/', '_')}" for t in TAGS) + " FROM log GROUP BY model, flag"
+_SCALED = ", ".join(f"round(CASE WHEN max({c}) OVER () = min({c}) OVER () THEN 0.5 ELSE ({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) END, 6) AS {c}" for c in (t.replace("/", "_") for t in TAGS))
+
+
+@query(sql(f"SELECT model, flag, {_SCALED} FROM m", "log", m=_MEANS))
+def metric_summary_scaled(spark, d):
+    s = R.summary_table(T.metric_log(spark, d), TAGS)
+    return rounded(R.min_max(s, s.columns[2:]), *s.columns[2:])
+
+
+@query(sql("SELECT model, flag, count(*) AS n FROM log WHERE NOT (model = 'click' AND flag = 'fff' AND run_id = 2) GROUP BY model, flag", "log"))
+def run_exclusion(spark, d):
+    return R.without_runs(T.metric_log(spark, d), {"model": "click", "flag": "fff", "run_id": 2}).groupBy("model", "flag").agg(F.count("*").alias("n"))
+
+
+_GAPS = "SELECT model, flag, epoch, wall_time - lag(wall_time) OVER w AS gap, abs(epoch - lag(epoch) OVER w) AS step FROM log WINDOW w AS (PARTITION BY model, flag, run_id, tag ORDER BY wall_time, epoch)"
+
+
+@query(sql("SELECT model, flag, round(avg(gap) FILTER (WHERE gap > 0 AND gap < 86400) * CASE WHEN model = 'click' THEN max(epoch) / 2.0::DOUBLE / avg(step) ELSE 1 END, 3) AS mean_seconds, count(*) FILTER (WHERE gap > 0 AND gap < 86400) AS n_gaps FROM g GROUP BY model, flag", "log", g=_GAPS))
+def epoch_duration_rescaled(spark, d):
+    log = T.metric_log(spark, d)
+    return rounded(R.rescaled_durations(R.epoch_durations(log), log, "click"), "mean_seconds", places=3)
+
+
+@query("SELECT strftime(ts, '%m%d-%H%M') AS stamp, count(*) AS n FROM events GROUP BY 1")
+def run_stamp(spark, d):
+    """The stamp that names a run, of each event's time."""
+    return T.table(spark, d, "events").groupBy(F.date_format("ts", "MMdd-HHmm").alias("stamp")).agg(F.count("*").alias("n"))

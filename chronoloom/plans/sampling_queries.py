@@ -61,7 +61,7 @@ def split_leakage(spark, d):
     return S.leakage(stratified_split(spark, d))
 
 
-def _draws(n: int) -> str:
+def _draws(n: int | str) -> str:
     pick = lambda size, *p: f"least(CAST(floor({unit(*p)} * {size}) AS BIGINT), {size} - 1)"
     size = "(SELECT count(*) FROM embedded)"
     return f"""SELECT draw, a.company_id AS src, b.company_id AS tgt, CAST(1996 + least(CAST(floor({unit("42", "'year'", "draw")} * 5) AS BIGINT), 4) AS INTEGER) AS year
@@ -69,17 +69,21 @@ def _draws(n: int) -> str:
 
 
 POOL = """SELECT src, tgt, year, min(draw) AS draw FROM draws WHERE (src, tgt, year) NOT IN (SELECT src, tgt, year FROM known)
-  GROUP BY src, tgt, year ORDER BY draw LIMIT 20000"""
+  GROUP BY src, tgt, year ORDER BY draw LIMIT (SELECT 10 * count(*) FROM dp)"""
+NEGATIVES = "(SELECT count(*) FROM dp)"
+POOL_DRAWS = "(SELECT 20 * count(*) FROM dp)"
 
 
-@query(sql("SELECT src, tgt, year, draw FROM pool", "pos", "ext", idx=IDX, known=KNOWN, draws=_draws(40000), pool=POOL))
+@query(sql("SELECT src, tgt, year, draw FROM pool", "pos", "ext", dp=DP, idx=IDX, known=KNOWN, draws=_draws(POOL_DRAWS), pool=POOL))
 def negative_pool(spark, d):
-    return S.negative_pool(_ids(spark, d), YEARS, _known(spark, d), 20_000, SEED)
+    """Ten times as many as there are distinct positives."""
+    return S.negative_pool(_ids(spark, d), YEARS, _known(spark, d), 10 * _pos(spark, d).distinct().count(), SEED)
 
 
-@query(sql(f"SELECT src, tgt, year FROM pool ORDER BY {key('7', 'src', 'tgt', 'year')} LIMIT 1500", "pos", "ext", idx=IDX, known=KNOWN, draws=_draws(40000), pool=POOL))
+@query(sql(f"SELECT src, tgt, year FROM pool ORDER BY {key('7', 'src', 'tgt', 'year')} LIMIT {NEGATIVES}", "pos", "ext", dp=DP, idx=IDX, known=KNOWN, draws=_draws(POOL_DRAWS), pool=POOL))
 def fixed_negatives(spark, d):
-    return S.fixed_negatives(negative_pool(spark, d), 1500, 7)
+    """One for each distinct positive."""
+    return S.fixed_negatives(negative_pool(spark, d), _pos(spark, d).distinct().count(), 7)
 
 
 @query(sql("SELECT src, tgt, year FROM known", "pos", "ext", known=KNOWN))
@@ -120,6 +124,36 @@ def industry_negatives(spark, d):
     return S.industry_negatives(_pos(spark, d).distinct(), E.industry_members(n), _ids(spark, d), _known(spark, d), 5000, SEED)
 
 
+_TRIES = f"""SELECT dp.src AS s, dp.tgt AS t, dp.year AS y, attempt, CASE WHEN {unit("42", "'end'", "dp.src", "dp.tgt", "dp.year", "attempt")} < 0.5::DOUBLE THEN a.company_id ELSE dp.src END AS src,
+    CASE WHEN {unit("42", "'end'", "dp.src", "dp.tgt", "dp.year", "attempt")} < 0.5::DOUBLE THEN dp.tgt ELSE a.company_id END AS tgt, dp.year
+  FROM dp, range(1, 11) r(attempt) JOIN idx a ON a.idx = least(CAST(floor({unit("42", "'any'", "dp.src", "dp.tgt", "dp.year", "attempt")} * (SELECT count(*) FROM embedded)) AS BIGINT), (SELECT count(*) FROM embedded) - 1)"""
+
+
+@query(sql("""SELECT src, tgt, year, CAST(attempt AS INTEGER) AS attempt FROM (SELECT *, row_number() OVER (PARTITION BY s, t, y ORDER BY attempt) AS rn FROM tries
+  WHERE src <> tgt AND (src, tgt, year) NOT IN (SELECT src, tgt, year FROM known)) WHERE rn = 1""", "pos", "ext", dp=DP, idx=IDX, known=KNOWN, tries=_TRIES))
+def retried_negatives(spark, d):
+    return S.retried_negatives(_pos(spark, d), _ids(spark, d), _known(spark, d), SEED)
+
+
+@query(sql("SELECT row_number() OVER (ORDER BY year, src, tgt) - 1 AS idx, src, tgt, year FROM dp", "pos", dp=DP))
+def ordered_triples(spark, d):
+    """Distinct triples with their place by year, source and target."""
+    rows = _pos(spark, d).distinct().withColumn("order", F.struct("year", "src", "tgt"))
+    return E.dense_index(rows, "order").select(F.col("idx").cast("long").alias("idx"), "src", "tgt", "year")
+
+
+@query(sql("SELECT src, tgt, year FROM dp ORDER BY year, src, tgt LIMIT 128", "pos", dp=DP))
+def toy_subset(spark, d):
+    """The toy mode: the first 128 triples."""
+    return _pos(spark, d).distinct().orderBy("year", "src", "tgt").limit(128)
+
+
+@query(sql(f"SELECT src, tgt, year, CASE WHEN year BETWEEN 1996 AND 2000 THEN year ELSE CAST(1996 + least(CAST(floor({unit('42', 'src', 'tgt', 'year')} * 5) AS INTEGER), 4) AS INTEGER) END AS clamped FROM (SELECT DISTINCT src, tgt, year FROM edges)", "nodes", "edges"))
+def clamped_years(spark, d):
+    rows = T.edges(spark, d).select("src", "tgt", "year").distinct()
+    return rows.withColumn("clamped", E.clamped(F.col("year"), YEARS, SEED, F.col("src"), F.col("tgt"), F.col("year")))
+
+
 W_SQL = "SELECT year, inv / sum(inv) OVER () AS weight FROM (SELECT year, sum(count(*)) OVER () / CAST(count(*) AS DOUBLE) AS inv FROM pos GROUP BY year)"
 SWAP = f"""SELECT DISTINCT src, tgt, coalesce(y, z) AS year FROM (
   SELECT src, tgt, year, min(o) FILTER (WHERE c > target) AS y, max(o) AS z FROM (
@@ -134,7 +168,7 @@ def time_swap_negatives(spark, d):
     return S.time_swaps(pos, S.year_weights(pos), _known(spark, d), SEED)
 
 
-@query(sql(f"SELECT src, tgt, year, 1 AS label, 'positive' AS kind FROM pos UNION ALL SELECT src, tgt, year, 0, 'dynamic' FROM (SELECT * FROM pool ORDER BY {key('7', 'src', 'tgt', 'year')} LIMIT 1500)", "pos", "ext", idx=IDX, known=KNOWN, draws=_draws(40000), pool=POOL))
+@query(sql(f"SELECT src, tgt, year, 1 AS label, 'positive' AS kind FROM pos UNION ALL SELECT src, tgt, year, 0, 'dynamic' FROM (SELECT * FROM pool ORDER BY {key('7', 'src', 'tgt', 'year')} LIMIT {NEGATIVES})", "pos", "ext", dp=DP, idx=IDX, known=KNOWN, draws=_draws(POOL_DRAWS), pool=POOL))
 def labelled_dataset(spark, d):
     return S.labelled(_pos(spark, d), fixed_negatives(spark, d))
 

@@ -83,3 +83,32 @@ def read_edges(spark: SparkSession, path: str, years: list[int] | None = None) -
 
 def dedup_edges(edges: DataFrame) -> DataFrame:
     return edges.dropDuplicates([*TRIPLE, "source", "model", "probability"])
+
+
+def checkpoints(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """path, number (the last digits of the file's name), modified of the files
+    below a folder; contents are not read. Order by number, or take the newest
+    by modified."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
+    number = F.try_to_number(F.nullif(F.regexp_extract(F.element_at(F.split("path", "/"), -1), r"(\d+)\D*$", 1), F.lit("")), F.lit("9999999999999")).cast("long")
+    return found.select("path", number.alias("number"), F.col("modificationTime").alias("modified"))
+
+
+def newest(files: DataFrame) -> DataFrame:
+    """The file with the latest time, ties to the greater path; one row."""
+    return files.agg(F.max(F.struct("modified", "path")).alias("x")).where("x is not null").select("x.path", "x.modified")
+
+
+def json_results(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of result files that are one JSON document each (thresholds, overlaps)."""
+    return spark.read.json(path, multiLine=True)
+
+
+def write_summary(rows: DataFrame, path: str, **meta: object) -> None:
+    """Rows of a summary as JSON lines, each with a ``_meta`` of run settings."""
+    rows.withColumn("_meta", F.lit(json.dumps(meta, sort_keys=True, default=str))).coalesce(1).write.mode("overwrite").json(path)
+
+
+def append_metrics(log: DataFrame, path: str) -> None:
+    """Metric records (model, run, tag, epoch, value) at the end of a log table."""
+    log.write.mode("append").partitionBy("model").parquet(path)

@@ -227,3 +227,35 @@ def test_stream(spark, tmp_path):
     q = scored_batches(spark.readStream.schema(links.schema).parquet(str(tmp_path / "in")), nodes, str(tmp_path / "out"), str(tmp_path / "cp"), 0.5)
     q.awaitTermination(120)
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("src", "tgt", "prob").collect()] == [(1, 2, 1.0)]
+
+
+def test_checkpoint_discovery(spark, tmp_path):
+    import os
+
+    for i, name in enumerate(["model_2.pt", "model_10.pt", "other.pt", "deep/model_3.pt"]):
+        path = tmp_path / name
+        path.parent.mkdir(exist_ok=True)
+        path.write_text("x")
+        os.utime(path, (1_700_000_000 + i * (1 if i != 1 else 100),) * 2)
+    found = files.checkpoints(spark, str(tmp_path), "*.pt")
+    assert sorted((r["path"].rsplit("/", 1)[1], r["number"]) for r in found.collect()) == [("model_10.pt", 10), ("model_2.pt", 2), ("model_3.pt", 3), ("other.pt", None)]
+    assert files.newest(found).first()["path"].endswith("model_10.pt")
+    assert files.newest(found.where("false")).isEmpty()
+
+
+def test_summaries_and_metric_log(spark, tmp_path):
+    rows = spark.createDataFrame([("m", 1, 0.5)], "model string, epoch int, value double")
+    files.write_summary(rows, str(tmp_path / "s"), seed=7)
+    assert spark.read.json(str(tmp_path / "s")).first()["_meta"] == '{"seed": 7}'
+    for _ in range(2):
+        files.append_metrics(rows, str(tmp_path / "log"))
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 2
+    (tmp_path / "t.json").write_text('{\n "best": 0.4,\n "auc": 0.9\n}')
+    assert files.json_results(spark, str(tmp_path / "t.json")).first()["best"] == 0.4
+
+
+def test_negatives_are_topped_up(spark):
+    pool = spark.createDataFrame([(1, 2, 1996), (1, 3, 1996)], "src long, tgt long, year int")
+    more = spark.createDataFrame([(1, 2, 1996), (5, 6, 1997), (7, 8, 1998), (9, 9, 1999)], "src long, tgt long, year int")
+    assert S.fixed_negatives(pool, 4, 1, more).distinct().count() == 4
+    assert S.fixed_negatives(pool, 9, 1, more).count() == 5 and S.fixed_negatives(pool, 1, 1, more).count() == 1
