@@ -63,9 +63,9 @@ def split_leakage(spark, d):
 
 def _draws(n: int | str) -> str:
     pick = lambda size, *p: f"least(CAST(floor({unit(*p)} * {size}) AS BIGINT), {size} - 1)"
-    size = "(SELECT count(*) FROM embedded)"
-    return f"""SELECT draw, a.company_id AS src, b.company_id AS tgt, CAST(1996 + least(CAST(floor({unit("42", "'year'", "draw")} * 5) AS BIGINT), 4) AS INTEGER) AS year
-  FROM range(0, {n}) r(draw) JOIN idx a ON a.idx = {pick(size, "42", "'src'", "draw")} JOIN idx b ON b.idx = {pick(size, "42", "'tgt'", "draw")}"""
+    return f"""SELECT draw, a.company_id AS src, b.company_id AS tgt, p.year
+  FROM (SELECT draw, {pick("size", "42", "'src'", "draw")} AS i, {pick("size", "42", "'tgt'", "draw")} AS j, CAST(1996 + least(CAST(floor({unit("42", "'year'", "draw")} * 5) AS BIGINT), 4) AS INTEGER) AS year
+    FROM range(0, {n}) r(draw), (SELECT count(*) AS size FROM embedded)) p JOIN idx a ON a.idx = p.i JOIN idx b ON b.idx = p.j"""
 
 
 POOL = """SELECT src, tgt, year, min(draw) AS draw FROM draws WHERE (src, tgt, year) NOT IN (SELECT src, tgt, year FROM known)
@@ -124,9 +124,9 @@ def industry_negatives(spark, d):
     return S.industry_negatives(_pos(spark, d).distinct(), E.industry_members(n), _ids(spark, d), _known(spark, d), 5000, SEED)
 
 
-_TRIES = f"""SELECT dp.src AS s, dp.tgt AS t, dp.year AS y, attempt, CASE WHEN {unit("42", "'end'", "dp.src", "dp.tgt", "dp.year", "attempt")} < 0.5::DOUBLE THEN a.company_id ELSE dp.src END AS src,
-    CASE WHEN {unit("42", "'end'", "dp.src", "dp.tgt", "dp.year", "attempt")} < 0.5::DOUBLE THEN dp.tgt ELSE a.company_id END AS tgt, dp.year
-  FROM dp, range(1, 11) r(attempt) JOIN idx a ON a.idx = least(CAST(floor({unit("42", "'any'", "dp.src", "dp.tgt", "dp.year", "attempt")} * (SELECT count(*) FROM embedded)) AS BIGINT), (SELECT count(*) FROM embedded) - 1)"""
+_TRIES = f"""SELECT p.src AS s, p.tgt AS t, p.year AS y, attempt, CASE WHEN swap THEN a.company_id ELSE p.src END AS src, CASE WHEN swap THEN p.tgt ELSE a.company_id END AS tgt, p.year
+  FROM (SELECT src, tgt, year, attempt, {unit("42", "'end'", "src", "tgt", "year", "attempt")} < 0.5::DOUBLE AS swap, least(CAST(floor({unit("42", "'any'", "src", "tgt", "year", "attempt")} * size) AS BIGINT), size - 1) AS i
+    FROM dp, range(1, 11) r(attempt), (SELECT count(*) AS size FROM embedded)) p JOIN idx a ON a.idx = p.i"""
 
 
 @query(sql("""SELECT src, tgt, year, CAST(attempt AS INTEGER) AS attempt FROM (SELECT *, row_number() OVER (PARTITION BY s, t, y ORDER BY attempt) AS rn FROM tries
