@@ -15,10 +15,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.functions.lineage import cut
+from chronoloom.functions.vectors import lists, map_batches, matrix, summed, width_of
 from chronoloom.operators.graph import propagate
 
 Weights = dict[str, np.ndarray]
@@ -42,77 +44,85 @@ def norm_rows(x: np.ndarray, eps: float = 1e-5) -> np.ndarray:
     return (x - x.mean(-1, keepdims=True)) / np.sqrt(x.var(-1, keepdims=True) + eps)
 
 
-def _stack(col: pd.Series) -> np.ndarray:
-    return np.array([np.asarray(list(v), np.float64) for v in col]) if len(col) else np.zeros((0, 0))
+def _kinds(rows: DataFrame, keys: tuple[str, ...]) -> str:
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return ", ".join(f"{k} {kinds[k]}" for k in keys)
 
 
 def dense(rows: DataFrame, fn: Callable[[np.ndarray, Weights], np.ndarray], weights: Weights, col: str = "x", keys: tuple[str, ...] = ("node",)) -> DataFrame:
     """rows (keys, col) with col replaced by fn of the stacked vectors."""
-    shared = rows.sparkSession.sparkContext.broadcast(weights)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                yield b.assign(**{col: list(fn(_stack(b[col]), shared.value))})
+    def run(batch: pa.RecordBatch, w: Weights) -> Iterator[dict]:
+        yield {k: batch.column(k) for k in keys} | {col: lists(fn(matrix(batch.column(col)), w))}
 
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.select(*keys, col).mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", {col} array<double>")
+    return map_batches(rows.select(*keys, col), run, weights, f"{_kinds(rows, keys)}, {col} array<double>")
 
 
 def _spread(features: DataFrame, years: list[int]) -> DataFrame:
     return features.withColumn("year", F.explode(F.array(*[F.lit(y) for y in years])))
 
 
+def _zeros(width: int):
+    return F.array(*[F.lit(0.0)] * width)
+
+
+def _received(adj: DataFrame, x: DataFrame, every: DataFrame, width: int) -> DataFrame:
+    """every (year, node) with x, what the node receives, zeros from nobody."""
+    return every.join(propagate(adj, x, width=width), ["year", "node"], "left").withColumn("x", F.coalesce("x", _zeros(width)))
+
+
+def reduce_shapes(dims: int, out: int) -> dict[str, tuple[int, ...]]:
+    return {"r_w0": (dims, 2 * out), "r_b0": (2 * out,), "r_w1": (2 * out, out), "r_b1": (out,), "r_w2": (out, out), "r_b2": (out,)}
+
+
+def reduce(features: DataFrame, weights: Weights) -> DataFrame:
+    """node, x: wide features through three dense layers, relu between them."""
+
+    def run(x: np.ndarray, p: Weights) -> np.ndarray:
+        return relu(relu(x @ p["r_w0"] + p["r_b0"]) @ p["r_w1"] + p["r_b1"]) @ p["r_w2"] + p["r_b2"]
+
+    return dense(features, run, {k: v for k, v in weights.items() if k.startswith("r_")})
+
+
 def gcn(adj: DataFrame, features: DataFrame, years: list[int], weights: Weights, layers: int = 2) -> DataFrame:
     """year, node, x. Each layer is A_t (X W) + b with relu between layers;
     nodes without edges get the bias. features: node, x (same in each year)."""
     every = _spread(features.select("node"), years)
-    x, out = features.select("node", "x"), None
+    x = features.select("node", "x")
     for i in range(layers):
         w, b, last = weights[f"w{i}"], weights[f"b{i}"], i + 1 == layers
-        keys = ("node",) if out is None else ("year", "node")
-        h = dense(x, lambda v, p: v @ p["w"], {"w": w}, keys=keys)
-        if out is None:
-            summed = propagate(adj, h)
-        else:
-            summed = _by_year(adj, h)
-        rows = every.join(summed, ["year", "node"], "left").withColumn("x", F.coalesce("x", F.array(*[F.lit(0.0)] * w.shape[1])))
-        out = dense(rows, (lambda v, p: v + p["b"]) if last else (lambda v, p: relu(v + p["b"])), {"b": b}, keys=("year", "node"))
-        x = out
-    return out
-
-
-def _by_year(adj: DataFrame, features: DataFrame) -> DataFrame:
-    """As graph.propagate, for features that differ by year."""
-    rows = adj.where("weight != 0").join(features.select("year", F.col("node").alias("tgt"), "x"), ["year", "tgt"])
-    flat = rows.select("year", F.col("src").alias("node"), "weight", F.posexplode("x").alias("pos", "v"))
-    sums = flat.groupBy("year", "node", "pos").agg(F.sum(F.col("weight") * F.col("v")).alias("v"))
-    return sums.groupBy("year", "node").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("c")).select("year", "node", F.transform("c", lambda c: c["v"]).alias("x"))
+        h = dense(x, lambda v, p: v @ p["w"], {"w": w}, keys=("year", "node") if i else ("node",))
+        rows = _received(adj, h, every, w.shape[1])
+        x = dense(rows, (lambda v, p: v + p["b"]) if last else (lambda v, p: relu(v + p["b"])), {"b": b}, keys=("year", "node"))
+    return x
 
 
 def gat_layer(edges: DataFrame, features: DataFrame, weights: Weights, heads: int, slope: float = 0.2) -> DataFrame:
     """year, node, x: multi-head attention from source to target with self
-    loops; heads side by side. features: year, node, x."""
-    features = cut(features)  # read once for each head
-    every = features.select("year", "node").distinct()
-    loops = every.select("year", F.col("node").alias("src"), F.col("node").alias("tgt"))
-    pairs = cut(edges.select("year", "src", "tgt").where("src != tgt").unionByName(loops))
-    out = None
-    for k in range(heads):
-        h = dense(features, lambda v, p: np.concatenate([v @ p["w"], (v @ p["w"] @ p["a"])[:, None], (v @ p["w"] @ p["d"])[:, None]], 1), {"w": weights[f"w{k}"], "a": weights[f"a{k}"], "d": weights[f"d{k}"]}, keys=("year", "node"))
-        n = weights[f"w{k}"].shape[1]
-        h = cut(h).select("year", "node", F.slice("x", 1, n).alias("h"), F.get("x", F.lit(n)).alias("es"), F.get("x", F.lit(n + 1)).alias("ed"))
-        e = pairs.join(h.select("year", F.col("node").alias("src"), "h", "es"), ["year", "src"]).join(h.select("year", F.col("node").alias("tgt"), "ed"), ["year", "tgt"])
-        s = F.col("es") + F.col("ed")
-        e = cut(e.select("year", "tgt", "h", F.when(s > 0, s).otherwise(s * slope).alias("l")))
-        top = e.groupBy("year", "tgt").agg(F.max("l").alias("m"))
-        e = e.join(top, ["year", "tgt"]).withColumn("u", F.exp(F.col("l") - F.col("m")))
-        whole = e.groupBy("year", "tgt").agg(F.sum("u").alias("z"))
-        flat = e.select("year", "tgt", "u", F.posexplode("h").alias("pos", "v")).groupBy("year", "tgt", "pos").agg(F.sum(F.col("u") * F.col("v")).alias("v"))
-        cells = flat.join(whole, ["year", "tgt"]).groupBy("year", F.col("tgt").alias("node")).agg(F.array_sort(F.collect_list(F.struct("pos", (F.col("v") / F.col("z")).alias("v")))).alias("c"))
-        one = cells.select("year", "node", F.transform("c", lambda c: c["v"]).alias("x"))
-        out = one if out is None else out.join(one.withColumnRenamed("x", "y"), ["year", "node"]).select("year", "node", F.concat("x", "y").alias("x"))
-    return out
+    loops; heads side by side. features: year, node, x.
+
+    All heads share one join and one aggregation: an edge carries a logit for
+    each head, and the sums of a target are columns of all heads."""
+    n = weights["w0"].shape[1]
+    features = cut(features)
+    loops = features.select("year", F.col("node").alias("src"), F.col("node").alias("tgt")).distinct()
+    pairs = edges.select("year", "src", "tgt").where("src != tgt").unionByName(loops)
+
+    def project(x: np.ndarray, p: Weights) -> np.ndarray:
+        h = [x @ p[f"w{k}"] for k in range(heads)]
+        return np.concatenate([*h, *[(v @ p[f"{side}{k}"])[:, None] for side in "ad" for k, v in enumerate(h)]], 1)
+
+    h = cut(dense(features, project, weights, keys=("year", "node")))
+    at = lambda k: F.get("x", F.lit(heads * n + k))
+    source = h.select("year", F.col("node").alias("src"), F.slice("x", 1, heads * n).alias("h"), *[at(k).alias(f"s{k}") for k in range(heads)])
+    target = h.select("year", F.col("node").alias("tgt"), *[at(heads + k).alias(f"d{k}") for k in range(heads)])
+    logit = lambda s: F.when(s > 0, s).otherwise(s * slope)
+    e = pairs.join(source, ["year", "src"]).join(target, ["year", "tgt"])
+    e = cut(e.select("year", F.col("tgt").alias("node"), "h", *[logit(F.col(f"s{k}") + F.col(f"d{k}")).alias(f"l{k}") for k in range(heads)]))
+    top = e.groupBy("year", "node").agg(*[F.max(f"l{k}").alias(f"m{k}") for k in range(heads)])
+    e = e.join(top, ["year", "node"]).withColumns({f"u{k}": F.exp(F.col(f"l{k}") - F.col(f"m{k}")) for k in range(heads)})
+    sums = e.groupBy("year", "node").agg(*[F.sum(F.col(f"u{i // n}") * F.col("h")[i]).alias(f"v{i}") for i in range(heads * n)], *[F.sum(f"u{k}").alias(f"z{k}") for k in range(heads)])
+    return sums.select("year", "node", F.array(*[F.col(f"v{i}") / F.col(f"z{i // n}") for i in range(heads * n)]).alias("x"))
 
 
 def gat(edges: DataFrame, features: DataFrame, years: list[int], weights: Weights, heads: int = 4) -> DataFrame:
@@ -147,17 +157,14 @@ def bi_gru(x: np.ndarray, p: Weights) -> np.ndarray:
 
 def over_years(seqs: DataFrame, fn: Callable[[np.ndarray, Weights], np.ndarray], weights: Weights) -> DataFrame:
     """node, pos, z: fn over the stacked sequences of a batch of nodes."""
-    shared = seqs.sparkSession.sparkContext.broadcast(weights)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                x = np.array([[list(v) for v in s] for s in b["xs"]], np.float64)
-                z = fn(x, shared.value)
-                n, t, _ = z.shape
-                yield pd.DataFrame({"node": np.repeat(b["node"].to_numpy(), t), "pos": np.tile(np.arange(t, dtype=np.int32), n), "z": list(z.reshape(n * t, -1))})
+    def run(batch: pa.RecordBatch, w: Weights) -> Iterator[dict]:
+        xs = batch.column("xs")
+        z = fn(matrix(xs.flatten()).reshape(len(xs), len(xs[0]), -1), w)
+        n, t, _ = z.shape
+        yield {"node": batch.column("node").take(pa.array(np.repeat(np.arange(n), t))), "pos": pa.array(np.tile(np.arange(t, dtype=np.int32), n)), "z": lists(z.reshape(n * t, -1))}
 
-    return seqs.mapInPandas(run, "node long, pos int, z array<double>")
+    return map_batches(seqs.select("node", "xs"), run, weights, "node long, pos int, z array<double>")
 
 
 def gru_shapes(dims: int, hidden: int, prefixes: tuple[str, ...] = ("f_", "b_")) -> dict[str, tuple[int, ...]]:
@@ -169,17 +176,33 @@ def node_gru(encoded: DataFrame, weights: Weights, bidirectional: bool = True) -
     return over_years(sequences(encoded), bi_gru if bidirectional else (lambda x, p: gru_states(x, p, "f_")), weights)
 
 
+def tna_shapes(dims: int, hidden: int, out: int) -> dict[str, tuple[int, ...]]:
+    """Two blocks; each gives vectors of twice its width, which the next takes."""
+    shapes = {}
+    for i, (n, c) in enumerate(((dims, hidden), (2 * hidden, out)), 1):
+        one = {"w": (n, c), "b": (c,), **gru_shapes(c, c), "skip": (3 * c, 2 * c), "skip_b": (2 * c,)}
+        shapes |= {f"{i}_{k}": s for k, s in one.items()}
+    return shapes
+
+
 def tna_block(x: np.ndarray, p: Weights) -> np.ndarray:
-    """relu, layer norm, two-way recurrence, skip, leaky relu, layer norm."""
-    h = norm_rows(relu(x))
-    y = np.concatenate([bi_gru(h, p), h], 2)
+    """Bias, relu, layer norm; two-way recurrence; skip, leaky relu, layer norm."""
+    h = norm_rows(relu(x + p["b"]))
+    y = np.concatenate([bi_gru(h, p), h], 2) @ p["skip"] + p["skip_b"]
     return norm_rows(np.where(y >= 0, y, 0.01 * y))
 
 
 def tna(adj: DataFrame, features: DataFrame, years: list[int], weights: Weights) -> DataFrame:
-    """One temporal neighbourhood aggregation block: convolution, then the
-    block above over the years."""
-    return over_years(sequences(gcn(adj, features, years, weights, layers=1)), tna_block, weights)
+    """node, pos, z of stacked temporal neighbourhood aggregation: each block
+    convolves every year's graph and then runs over the years, and what it
+    gives a node in a year is that year's input of the next block."""
+    every, x, z = cut(_spread(features.select("node"), years)), features.select("node", "x"), None
+    for i in range(1, 1 + sum(k.endswith("_skip") for k in weights)):
+        p = {k[2:]: v for k, v in weights.items() if k.startswith(f"{i}_")}
+        h = dense(x, lambda v, q: v @ q["w"], {"w": p["w"]}, keys=tuple(c for c in ("year", "node") if c in x.columns))
+        z = cut(over_years(sequences(_received(adj, h, every, p["w"].shape[1])), tna_block, p))
+        x = z.select("node", F.element_at(F.array(*[F.lit(y) for y in years]), F.col("pos") + 1).alias("year"), F.col("z").alias("x"))
+    return z
 
 
 def evolve(weight: np.ndarray, summary: np.ndarray, p: Weights) -> np.ndarray:
@@ -191,19 +214,37 @@ def evolve(weight: np.ndarray, summary: np.ndarray, p: Weights) -> np.ndarray:
     return (1 - u) * weight + u * h
 
 
+def egcn_shapes(widths: list[int]) -> dict[str, tuple[int, ...]]:
+    """Layers between neighbouring widths."""
+    shapes = {}
+    for i, (n, c) in enumerate(zip(widths, widths[1:], strict=False), 1):
+        shapes |= {f"{i}_{k}": (n, n) for k in ("wu", "uu", "wr", "ur", "wc", "uc")} | {f"{i}_{k}": (n, c) for k in ("bu", "br", "bc", "w")}
+    return shapes
+
+
 def egcn(adj: DataFrame, features: DataFrame, years: list[int], weights: Weights) -> DataFrame:
-    """year, node, x: relu(A X W_t + X W_t), W_t evolving from year to year by
-    the mean node vector (one row of features' width on the driver)."""
-    mean = features.select(F.posexplode("x").alias("pos", "v")).groupBy("pos").agg(F.avg("v").alias("v")).orderBy("pos").collect()
-    summary, w, out = np.array([r["v"] for r in mean]), weights["w"], None
-    summed = propagate(adj, features)
-    for y in years:
-        w = evolve(w, summary, weights)
-        both = features.join(summed.where(F.col("year") == y).select("node", F.col("x").alias("a")), "node", "left")
-        both = both.select("node", F.when(F.col("a").isNull(), F.col("x")).otherwise(F.zip_with("x", "a", lambda p, q: p + q)).alias("x"))
-        one = dense(both, lambda v, p: relu(v @ p["w"]), {"w": w}).select(F.lit(y).alias("year"), "node", "x")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """year, node, x. Each layer is relu(A_t X_t W_t + X_t W_t); its W_t evolves
+    from year to year by the mean of the vectors that it gets in that year (a
+    row of features' width for each year on the driver)."""
+    x = _spread(features.select("node", "x"), years)
+    for i in range(1, 1 + sum(k.endswith("_w") for k in weights)):
+        p = {k[2:]: v for k, v in weights.items() if k.startswith(f"{i}_")}
+        x, (n, c), w, by_year = cut(x), p["w"].shape, p["w"], {}
+        means = {r["year"]: r for r in summed(x, ["year"], F.lit(1.0), "x", n, F.count("*").alias("n")).collect()}
+        for y in years:
+            w = by_year[y] = evolve(w, np.array(means[y]["x"]) / means[y]["n"] if y in means else np.zeros(n), p)
+
+        def project(batch: pa.RecordBatch, ws: dict[int, np.ndarray], c: int = c) -> Iterator[dict]:
+            v, year = matrix(batch.column("x")), batch.column("year").to_numpy()
+            out = np.zeros((len(v), c))
+            for y in np.unique(year):
+                out[year == y] = v[year == y] @ ws[int(y)]
+            yield {"year": batch.column("year"), "node": batch.column("node"), "x": lists(out)}
+
+        h = cut(map_batches(x.select("year", "node", "x"), project, by_year, "year int, node long, x array<double>"))
+        both = h.join(propagate(adj, h, width=c).withColumnRenamed("x", "a"), ["year", "node"], "left")
+        x = both.select("year", "node", F.transform(F.when(F.col("a").isNull(), F.col("x")).otherwise(F.zip_with("x", "a", lambda s, t: s + t)), lambda v: F.greatest(v, F.lit(0.0))).alias("x"))
+    return x
 
 
 def mlp(x: np.ndarray, p: Weights) -> np.ndarray:
@@ -225,16 +266,13 @@ def gather(pairs: DataFrame, encoded: DataFrame, n_years: int) -> DataFrame:
 
 def predict(rows: DataFrame, models: list[Weights]) -> DataFrame:
     """src, tgt, pos, model_id, prob: every model on every row, in one pass."""
-    shared = rows.sparkSession.sparkContext.broadcast(models)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                x = _stack(b["x"])
-                for i, p in enumerate(shared.value):
-                    yield pd.DataFrame({"src": b["src"], "tgt": b["tgt"], "pos": b["pos"], "model_id": np.int32(i), "prob": mlp(x, p)})
+    def run(batch: pa.RecordBatch, ps: list[Weights]) -> Iterator[dict]:
+        x = matrix(batch.column("x"))
+        for i, p in enumerate(ps):
+            yield {k: batch.column(k) for k in ("src", "tgt", "pos")} | {"model_id": pa.array(np.full(len(x), i, np.int32)), "prob": pa.array(mlp(x, p))}
 
-    return rows.select("src", "tgt", "pos", "x").mapInPandas(run, "src long, tgt long, pos int, model_id int, prob double")
+    return map_batches(rows.select("src", "tgt", "pos", "x"), run, models, "src long, tgt long, pos int, model_id int, prob double")
 
 
 def subgraph_scores(pairs: DataFrame, sub: DataFrame, labels: DataFrame, features: DataFrame, weights: Weights) -> DataFrame:

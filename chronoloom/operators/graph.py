@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions.lineage import cut
 from chronoloom.functions.scalars import dot, inverse_sqrt, norm, temporal_weight
+from chronoloom.functions.vectors import summed, width_of
 from chronoloom.operators.edges import degrees
 
 
@@ -41,18 +42,18 @@ def looped_adjacency(edges: DataFrame) -> DataFrame:
     return rows.select("year", "src", "tgt", (F.col("n") * inverse_sqrt(F.col("ds")) * inverse_sqrt(F.col("dt"))).alias("weight"))
 
 
-def propagate(adj: DataFrame, features: DataFrame, to_src: bool = True) -> DataFrame:
+def propagate(adj: DataFrame, features: DataFrame, to_src: bool = True, width: int | None = None) -> DataFrame:
     """year, node, x: weighted sums of neighbours' vectors. to_src: a source
-    receives from its targets; else the other way.
+    receives from its targets; else the other way. features: node, x, and year
+    where vectors differ by year; width: their length, if it is known.
 
-    Vectors are summed position by position in the aggregation, which combines
-    on the map side."""
+    Components are summed as columns, combined on the map side.
+    """
     me, other = ("src", "tgt") if to_src else ("tgt", "src")
-    rows = adj.where("weight != 0").join(features.select(F.col("node").alias(other), "x"), other)
-    flat = rows.select("year", F.col(me).alias("node"), "weight", F.posexplode("x").alias("pos", "v"))
-    sums = flat.groupBy("year", "node", "pos").agg(F.sum(F.col("weight") * F.col("v")).alias("v"))
-    cells = sums.groupBy("year", "node").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("c"))
-    return cells.select("year", "node", F.transform("c", lambda c: c["v"]).alias("x"))
+    on = [c for c in ("year", "node") if c in features.columns]
+    sides = features.select(*[F.col(c).alias(other if c == "node" else c) for c in on], "x")
+    rows = adj.where("weight != 0").join(sides, [other if c == "node" else c for c in on])
+    return summed(rows.withColumn("node", F.col(me)), ["year", "node"], F.col("weight"), "x", width or width_of(features))
 
 
 def k_hop(pairs: DataFrame, edges: DataFrame, k: int = 2, undirected: bool = True) -> DataFrame:

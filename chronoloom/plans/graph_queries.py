@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.catalog import query
 from chronoloom.functions.lineage import cut
+from chronoloom.functions.vectors import width_of
 from chronoloom.operators import edges as E
 from chronoloom.operators import encoders as N
 from chronoloom.operators import graph as G
@@ -24,8 +25,7 @@ def _features(spark, d):
     return E.embedded(T.nodes(spark, d)).select(F.col("company_id").alias("node"), F.col("embedding").alias("x"))
 
 
-def _width(features) -> int:
-    return features.agg(F.max(F.size("x"))).first()[0] or 1
+_width = width_of
 
 
 @query(sql("SELECT year, src, count(*) AS degree FROM pos GROUP BY year, src", "pos"))
@@ -179,17 +179,24 @@ def unigru_encode(spark, d):
 
 @query()
 def tna_encode(spark, d):
+    """Two stacked blocks."""
     x = _features(spark, d)
-    w = N.init(4, {"w0": (_width(x), HIDDEN), "b0": (HIDDEN,), **N.gru_shapes(HIDDEN, 4)})
-    return _flat(N.tna(G.adjacency(_both(spark, d)), x, YEARS, w), "z")
+    return _flat(N.tna(G.adjacency(_both(spark, d)), x, YEARS, N.init(4, N.tna_shapes(_width(x), HIDDEN, 4))), "z")
 
 
 @query()
 def egcn_encode(spark, d):
+    """Two layers."""
     x = _features(spark, d)
-    n = _width(x)
-    square = {k: (n, n) for k in ("wu", "uu", "wr", "ur", "wc", "uc")} | {k: (n, HIDDEN) for k in ("bu", "br", "bc", "w")}
-    return _flat(N.egcn(G.adjacency(_both(spark, d)), x, YEARS, N.init(5, square)), "x")
+    return _flat(N.egcn(G.adjacency(_both(spark, d)), x, YEARS, N.init(5, N.egcn_shapes([_width(x), HIDDEN, 4]))), "x")
+
+
+@query()
+def reduced_gcn_encode(spark, d):
+    """Three dense layers before the convolutions."""
+    x = _features(spark, d)
+    w = N.init(8, N.reduce_shapes(_width(x), 12) | {"w0": (12, HIDDEN), "b0": (HIDDEN,), "w1": (HIDDEN, HIDDEN), "b1": (HIDDEN,)})
+    return _flat(N.gcn(G.adjacency(_both(spark, d)), N.reduce(x, w), YEARS, w), "x")
 
 
 def _samples(spark, d):
