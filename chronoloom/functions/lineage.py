@@ -3,18 +3,57 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a folder of our own only
+    where the setting is missing and Spark runs on this machine alone, as in
+    tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="chronoloom-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed in the shared folder that spark.checkpoint.dir names; a
-    folder of our own only where the setting is missing and Spark runs on this
-    machine alone, as in tests."""
+    """df checkpointed in the shared folder."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        if not found and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="chronoloom-"))
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Workspace:
+    """Tables of an iteration, in the shared folder, each deleted as soon as it
+    is dropped, and all of them at the end of the with block."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.made = spark, f"{shared_dir(spark)}/workspace-{uuid.uuid4().hex}", 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.made += 1
+        path = f"{self.path}/{self.made}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            for file in df.inputFiles()[:1]:
+                delete(self.spark, file.rpartition("/")[0])
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *error) -> None:
+        delete(self.spark, self.path)

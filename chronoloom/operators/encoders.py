@@ -264,6 +264,15 @@ def gather(pairs: DataFrame, encoded: DataFrame, n_years: int) -> DataFrame:
     return pairs.join(u, ["src", "pos"]).join(v, ["tgt", "pos"]).select("src", "tgt", "pos", F.concat("zu", "zv", F.array(F.col("pos") / F.lit(float(n_years)))).alias("x"))
 
 
+def gather_states(pairs: DataFrame, states: DataFrame, n_years: int) -> DataFrame:
+    """As gather, for states (node, zs) with a row a node, such as the cached
+    ones: bucketed by node, they join both ends without being shuffled."""
+    z = lambda side: F.element_at(side, F.col("pos") + 1)
+    rows = pairs.where((F.col("pos") >= 0) & (F.col("pos") < n_years))
+    rows = rows.join(states.select(F.col("node").alias("src"), F.col("zs").alias("zu")), "src").join(states.select(F.col("node").alias("tgt"), F.col("zs").alias("zv")), "tgt")
+    return rows.select(*pairs.columns, F.concat(z(F.col("zu")), z(F.col("zv")), F.array(F.col("pos") / F.lit(float(n_years)))).alias("x"))
+
+
 def predict(rows: DataFrame, models: list[Weights]) -> DataFrame:
     """src, tgt, pos, model_id, prob: every model on every row, in one pass."""
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.functions.scalars import clamp, cosine
+from chronoloom.functions.vectors import map_batches
 from chronoloom.operators.edges import industry_members
+from chronoloom.operators.encoders import Weights, relu, sigmoid
 from chronoloom.schema import IMPUTED, TRIPLE
 
 
@@ -50,6 +56,60 @@ def impute(nodes: DataFrame, network: DataFrame, observed: DataFrame, years: lis
     return unobserved(rows, observed) if skip_existing else rows
 
 
+def _packed(members: DataFrame, encoded: DataFrame, role: str, rows: int) -> DataFrame:
+    """industry, <role>, <role>_z: members' ids and encodings in blocks of about
+    that many, so that a large industry is many blocks."""
+    sizes = members.groupBy("industry").agg(F.ceil(F.count("*") / rows).alias("blocks"))
+    dealt = members.join(sizes, "industry").withColumn("block", F.pmod(F.xxhash64("company_id"), F.col("blocks")))
+    both = dealt.join(encoded.withColumnRenamed("node", "company_id"), "company_id")
+    packs = both.groupBy("industry", "block").agg(F.collect_list(F.struct("company_id", "zs")).alias("m"))
+    return packs.select("industry", "block", F.col("m.company_id").alias(role), F.col("m.zs").alias(f"{role}_z"))
+
+
+def _score_block(batch: pa.RecordBatch, shared: tuple[Weights, float]) -> Iterator[dict]:
+    """Links over the threshold between the members of two blocks. The first
+    layer of [z_src, z_tgt, year] is a sum of three parts, two of which are made
+    once for each member."""
+    p, threshold = shared
+    for i in range(batch.num_rows):
+        src, tgt = (np.array(batch.column(c)[i].as_py(), np.int64) for c in ("src", "tgt"))
+        zu, zv = (np.array(batch.column(c)[i].values.flatten().flatten().to_numpy()).reshape(n, -1, p["w1"].shape[0] // 2) for c, n in (("src_z", len(src)), ("tgt_z", len(tgt))))
+        k, years = zu.shape[2], zu.shape[1]
+        for t in range(years):
+            a = zu[:, t] @ p["w1"][:k] + p["b1"] + t / years * p["w1"][2 * k]
+            b = zv[:, t] @ p["w1"][k : 2 * k]
+            step = max(1, (1 << 21) // (b.shape[1] * len(tgt)))
+            for at in range(0, len(src), step):
+                h = relu(a[at : at + step, None, :] + b[None, :, :]).reshape(-1, b.shape[1])
+                prob = sigmoid(relu(h @ p["w2"] + p["b2"]) @ p["w3"] + p["b3"])[:, 0]
+                hit = np.flatnonzero(prob > threshold)
+                if len(hit):
+                    u, v = np.divmod(hit, len(tgt))
+                    yield {"src": pa.array(src[at + u]), "tgt": pa.array(tgt[v]), "pos": pa.array(np.full(len(hit), t, np.int32)), "prob": pa.array(prob[hit])}
+
+
+def impute_by_model(nodes: DataFrame, network: DataFrame, encoded: DataFrame, predictor: Weights, observed: DataFrame, years: list[int], threshold: float, skip_existing: bool = True, block: int = 256) -> DataFrame:
+    """src, tgt, year, prob of the candidates that a trained predictor puts over
+    the threshold. encoded: node, zs (a vector for each of the years).
+
+    Candidates are never rows: blocks of sources meet blocks of targets of the
+    industries that the network joins, every pair of members is scored for all
+    years in the task that holds the two blocks, and only links over the
+    threshold come out. A pair that several industries allow comes out once.
+    """
+    m = industry_members(nodes)
+    net = network.distinct()
+    up = _packed(m.join(net.select(F.col("upstream").alias("industry")).distinct(), "industry"), encoded, "src", block)
+    down = _packed(m.join(net.select(F.col("downstream").alias("industry")).distinct(), "industry"), encoded, "tgt", block)
+    pairs = net.join(up.withColumnsRenamed({"industry": "upstream", "block": "bu"}), "upstream").join(down.withColumnsRenamed({"industry": "downstream", "block": "bv"}), "downstream")
+    # blocks of one industry are spread over all tasks, few rows a batch
+    pairs = pairs.repartition("upstream", "downstream", "bu", "bv").select("src", "src_z", "tgt", "tgt_z")
+    found = map_batches(pairs, _score_block, (predictor, threshold), "src long, tgt long, pos int, prob double")
+    rows = found.groupBy("src", "tgt", "pos").agg(F.max("prob").alias("prob"))
+    rows = rows.select("src", "tgt", F.element_at(F.array(*[F.lit(y) for y in years]), F.col("pos") + 1).alias("year"), "prob")
+    return unobserved(rows, observed) if skip_existing else rows
+
+
 def upsert(current: DataFrame, new: DataFrame, model: str, source: str = IMPUTED, threshold: float = 0.5) -> DataFrame:
     """The edge table after merging scored links: one row for each (src, tgt,
     year, source, model), new probabilities (4 places) replacing old ones."""

@@ -8,10 +8,13 @@ from chronoloom.functions.vectors import width_of
 from chronoloom.operators import edges as E
 from chronoloom.operators import encoders as N
 from chronoloom.operators import graph as G
+from chronoloom.operators import graph_training as TR
+from chronoloom.operators import imputation as I
 from chronoloom.operators import training as L
 from chronoloom.oracle import sql
 from chronoloom.plans import sampling_queries as S
 from chronoloom.plans.metric_queries import rounded
+from chronoloom.sources import stores as ST
 from chronoloom.sources import tables as T
 
 YEARS = [1996, 1997, 1998, 1999, 2000]
@@ -199,10 +202,27 @@ def reduced_gcn_encode(spark, d):
     return _flat(N.gcn(G.adjacency(_both(spark, d)), N.reduce(x, w), YEARS, w), "x")
 
 
+def _labelled(spark, d):
+    return S.labelled_dataset(spark, d).select("src", "tgt", (F.col("year") - YEARS[0]).cast("int").alias("pos"), "label").distinct()
+
+
+def _states(spark, d):
+    """Encoded nodes from the store, made at the first use."""
+    adj, x = G.adjacency(_both(spark, d)), _features(spark, d)
+    n = _width(x)
+    w = N.init(1, {"w0": (n, n), "b0": (n,), "w1": (n, HIDDEN), "b1": (HIDDEN,)}) | {f"r_{k}": v for k, v in N.init(2, N.gru_shapes(HIDDEN, 4)).items()}
+    key = ST.joint_key(ST.rows_key(adj.withColumn("weight", F.round("weight", 9))), ST.rows_key(x), ST.weights_key(w), YEARS)
+
+    def make():
+        z = N.node_gru(N.gcn(adj, x, YEARS, w), TR.part(w, "r_"))
+        return z.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("pos", "z"))).alias("s")).select("node", F.transform("s", lambda v: v["z"]).alias("zs"))
+
+    return ST.EncodingStore(spark).get(key, make)
+
+
 def _samples(spark, d):
     """Labelled pairs with the positions of their years and encoded features."""
-    rows = S.labelled_dataset(spark, d).withColumn("pos", (F.col("year") - YEARS[0]).cast("int")).select("src", "tgt", "pos", "label").distinct()
-    return cut(N.gather(rows, _z(spark, d), len(YEARS)).join(rows, ["src", "tgt", "pos"]))
+    return N.gather_states(_labelled(spark, d), _states(spark, d), len(YEARS))
 
 
 @query()
@@ -217,6 +237,56 @@ def multi_model_inference(spark, d):
     return rounded(N.predict(_samples(spark, d), models), "prob")
 
 
+EPOCHS = 4
+
+
+def _trained(spark, d):
+    """The model of convolutions, recurrence and predictor, trained on the
+    labelled pairs, and its history. Checkpoints go to the store; a model that
+    is there is not trained again."""
+    adj, x, rows = G.adjacency(_both(spark, d)), _features(spark, d), _labelled(spark, d)
+    start = TR.init_model(21, _width(x), 8, HIDDEN, 4, 16, 8)
+    key = ST.joint_key("trained", ST.rows_key(rows), ST.rows_key(adj.withColumn("weight", F.round("weight", 9))), ST.rows_key(x), ST.weights_key(start), EPOCHS)
+    store, model = ST.ModelStore(spark), TR.GraphModel(adj, x, YEARS)
+    train, valid = TR.split_samples(rows, 0.8, 11)
+    done = store.best(key)
+    if store.checkpoints(key) is None or store.checkpoints(key).agg(F.countDistinct("epoch")).first()[0] < EPOCHS:
+        model.fit(train, start, EPOCHS, rate=0.02, valid=valid, on_epoch=lambda e, s, p: store.save(key, e, s, p))
+        done = store.best(key)
+    return model, done, store.checkpoints(key), train, valid
+
+
+@query()
+def train_encoder(spark, d):
+    """epoch, valid_loss of a whole model's training, and which epoch is best."""
+    model, (best, _, _), found, _, _ = _trained(spark, d)
+    with model:
+        return found.groupBy("epoch").agg(F.round(F.max("score"), 5).alias("valid_loss")).withColumn("best", F.col("epoch") == best)
+
+
+@query()
+def evaluate_encoder(spark, d):
+    """Loss and rates of the best checkpoint on training and validation pairs."""
+    model, (_, _, p), _, train, valid = _trained(spark, d)
+    with model:
+        both = model.evaluate(train, p).withColumn("part", F.lit("train")).unionByName(model.evaluate(valid, p).withColumn("part", F.lit("valid")))
+        return cut(rounded(both, *[c for c in both.columns if c != "part"]))
+
+
+@query()
+def model_imputation(spark, d):
+    """Candidates of all years that the trained model puts over its own median
+    score of the positives, from cached encodings."""
+    model, (_, _, p), _, _, _ = _trained(spark, d)
+    with model:
+        states = ST.EncodingStore(spark).get(ST.joint_key("encoder", ST.weights_key(p), ST.rows_key(model.input)), lambda: model.encode(p))
+    known = _labelled(spark, d).where("label = 1")
+    score = N.predict(N.gather_states(known, states, len(YEARS)), [TR.part(p, "p_")])
+    threshold = score.agg(F.percentile_approx("prob", 0.5, 10_000)).first()[0] or 0.5
+    n = T.nodes(spark, d)
+    return rounded(I.impute_by_model(n, T.industry_network(spark, d), states, TR.part(p, "p_"), _pos(spark, d), YEARS, threshold), "prob")
+
+
 @query()
 def seal_score(spark, d):
     pairs, members = cut(_pairs(spark, d)), cut(_members(spark, d))
