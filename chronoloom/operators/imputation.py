@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.functions.scalars import clamp, cosine
+from chronoloom.functions.scan import scan
 from chronoloom.functions.vectors import map_batches
 from chronoloom.operators.edges import industry_members
 from chronoloom.operators.encoders import Weights, relu, sigmoid
@@ -155,8 +156,8 @@ def overlap_sweep(links: DataFrame, thresholds: DataFrame, external: DataFrame,
     d = t.groupBy("prob").agg(F.count("*").alias("n"), F.sum("external").cast("long").alias("e"), F.sum("observed").cast("long").alias("o")).withColumn("grid", F.lit(0))
     zero = F.lit(0).cast("long")
     g = thresholds.select(F.col("threshold").alias("prob"), zero.alias("n"), zero.alias("e"), zero.alias("o"), F.lit(1).alias("grid"))
-    down = Window.partitionBy().orderBy(F.col("prob").desc(), "grid").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.unionByName(g).select("prob", "grid", *[F.sum(c).over(down).alias(c) for c in ("n", "e", "o")]).where("grid = 1")
+    d = scan(d.unionByName(g), (), [("prob", True), ("grid", False)], ["n", "e", "o"])
+    d = d.where("grid = 1").select("prob", *[F.col(f"upto_{c}").alias(c) for c in ("n", "e", "o")])
     sizes = external.select(*TRIPLE).distinct().agg(F.count("*").alias("ne")).join(observed.select(*TRIPLE).distinct().agg(F.count("*").alias("no")), how="cross")  # one row each
     d = d.join(F.broadcast(sizes), how="cross")
     share = lambda a, b: F.round(F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0)), 6)

@@ -1,8 +1,8 @@
 """Evaluation of scores: confusion, curves, thresholds, distances, losses.
 
 Scores come as rows (label 0/1, prob), possibly with grouping columns (by). NaN
-and null scores are left out. Curves group by distinct score first, so what
-windows sort is the distinct scores of a group, not its rows.
+and null scores are left out. Curves group by distinct score first, and sums
+along the sorted scores are ``functions.scan``, range by range.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.functions.lineage import cut
+from chronoloom.functions.scan import scan
 
 
 def clean(scores: DataFrame, prob: str = "prob") -> DataFrame:
@@ -41,34 +42,30 @@ def by_score(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return clean(scores).groupBy(*by, "prob").agg(F.sum((F.col("label") == 1).cast("long")).alias("pos"), F.sum((F.col("label") != 1).cast("long")).alias("neg"))
 
 
-def cumulative(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """For each distinct score: tp, fp, fn, tn of prob >= score."""
-    d = by_score(scores, by)
-    down = Window.partitionBy(*by).orderBy(F.col("prob").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(*by)
-    d = d.withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum("neg").over(down))
-    return d.withColumn("fn", F.sum("pos").over(every) - F.col("tp")).withColumn("tn", F.sum("neg").over(every) - F.col("fp"))
+def cumulative(scores: DataFrame, by: tuple[str, ...] = (), ahead: tuple[str, ...] = ()) -> DataFrame:
+    """For each distinct score: pos, neg, and tp, fp, fn, tn of prob >= score."""
+    d = scan(by_score(scores, by), by, [("prob", True)], ["pos", "neg"], ahead)
+    return d.withColumns({"tp": F.col("upto_pos"), "fp": F.col("upto_neg"), "fn": F.col("all_pos") - F.col("upto_pos"), "tn": F.col("all_neg") - F.col("upto_neg")}).drop("upto_pos", "upto_neg", "all_pos", "all_neg")
 
 
 def roc_auc(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Area under the ROC curve by ranks, ties half; 0.5 with one class only."""
-    d = by_score(scores, by)
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*by).orderBy("prob").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    d = d.withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
+    d = scan(by_score(scores, by), by, [("prob", False)], ["neg"])
+    d = d.withColumn("won", F.col("pos") * (F.col("upto_neg") - F.col("neg") / 2))
     return d.groupBy(*by).agg(F.sum("won").alias("w"), F.sum("pos").alias("p"), F.sum("neg").alias("n")).select(*by, F.coalesce(F.try_divide(F.col("w"), F.col("p").cast("double") * F.col("n")), F.lit(0.5)).alias("auc"))
 
 
 def roc_curve(scores: DataFrame, by: tuple[str, ...] = (), drop_collinear: bool = False) -> DataFrame:
     """threshold, fpr, tpr by descending threshold, from (0, 0) at infinity."""
-    d = cumulative(scores, by).select(*by, F.col("prob").alias("threshold"), "tp", "fp", (F.col("tp") + F.col("fn")).alias("p"), (F.col("fp") + F.col("tn")).alias("n"))
-    start = d.groupBy(*by).agg(F.max("p").alias("p"), F.max("n").alias("n")).where("p is not null").select(*by, F.lit(float("inf")).alias("threshold"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"), "p", "n")
-    d = d.unionByName(start)
+    d = cumulative(scores, by, ("pos", "neg") if drop_collinear else ())
+    d = d.withColumns({"threshold": F.col("prob"), "p": F.col("tp") + F.col("fn"), "n": F.col("fp") + F.col("tn")})
     if drop_collinear:
-        w = Window.partitionBy(*by).orderBy(F.col("threshold").desc())
-        step = lambda c: F.lead(c).over(w) - F.col(c) == F.col(c) - F.lag(c).over(w)
-        bend = ~(F.coalesce(step("tp"), F.lit(False)) & F.coalesce(step("fp"), F.lit(False)))
-        d = d.withColumn("keep", bend).where("keep").drop("keep")
-    return d.select(*by, "threshold", _ratio(F.col("fp"), F.col("n")).alias("fpr"), _ratio(F.col("tp"), F.col("p")).alias("tpr"))
+        # the step to the next point is as long as the step to this one
+        straight = (F.col("next_pos") == F.col("pos")) & (F.col("next_neg") == F.col("neg"))
+        d = d.where(~F.coalesce(straight, F.lit(False)))
+    d = d.select(*by, "threshold", "tp", "fp", "p", "n")
+    start = d.groupBy(*by).agg(F.max("p").alias("p"), F.max("n").alias("n")).where("p is not null").select(*by, F.lit(float("inf")).alias("threshold"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"), "p", "n")
+    return d.unionByName(start).select(*by, "threshold", _ratio(F.col("fp"), F.col("n")).alias("fpr"), _ratio(F.col("tp"), F.col("p")).alias("tpr"))
 
 
 def pr_curve(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -79,10 +76,14 @@ def pr_curve(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def pr_auc(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Trapezoids under the precision-recall curve (not average precision)."""
-    w = Window.partitionBy(*by).orderBy(F.col("threshold").desc_nulls_first())
-    d = pr_curve(scores, by).withColumn("r0", F.lag("recall").over(w)).withColumn("p0", F.lag("precision").over(w))
-    return d.groupBy(*by).agg(F.coalesce(F.sum((F.col("recall") - F.col("r0")) * (F.col("precision") + F.col("p0")) / 2), F.lit(0.0)).alias("pr_auc"))
+    """Trapezoids under the precision-recall curve (not average precision).
+    The point before a score's has its counts without the score's own; before
+    the first lies (1, 0)."""
+    d = rates(cumulative(scores, by))
+    tp, fp = (F.col("tp") - F.col("pos")).cast("double"), (F.col("fp") - F.col("neg")).cast("double")
+    before = F.when(tp + fp == 0, F.lit(1.0)).otherwise(_ratio(tp, tp + fp))
+    part = (F.col("recall") - _ratio(tp, F.col("tp") + F.col("fn"))) * (F.col("precision") + before) / 2
+    return d.groupBy(*by).agg(F.coalesce(F.sum(part), F.lit(0.0)).alias("pr_auc"))
 
 
 def youden(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -105,11 +106,9 @@ def sweep(scores: DataFrame, thresholds: DataFrame, by: tuple[str, ...] = ()) ->
     groups = d.select(*by).distinct() if by else None
     g = thresholds if groups is None else thresholds.join(F.broadcast(groups), how="cross")  # thresholds for each group
     g = g.select(*by, F.col("threshold").alias("prob"), F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("neg"), F.lit(1).alias("grid"))
-    down = Window.partitionBy(*by).orderBy(F.col("prob").desc(), "grid").rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(*by)
-    d = d.unionByName(g).withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum("neg").over(down))
-    d = d.withColumn("fn", F.sum("pos").over(every) - F.col("tp")).withColumn("tn", F.sum("neg").over(every) - F.col("fp"))
-    return rates(d.where("grid = 1").select(*by, F.col("prob").alias("threshold"), "tp", "fp", "fn", "tn"))
+    d = scan(d.unionByName(g), by, [("prob", True), ("grid", False)], ["pos", "neg"]).where("grid = 1")
+    tp, fp = F.col("upto_pos"), F.col("upto_neg")
+    return rates(d.select(*by, F.col("prob").alias("threshold"), tp.alias("tp"), fp.alias("fp"), (F.col("all_pos") - tp).alias("fn"), (F.col("all_neg") - fp).alias("tn")))
 
 
 def best_on_grid(scores: DataFrame, thresholds: DataFrame, metric: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -168,8 +167,8 @@ def quantile_of(scores: DataFrame, reference: DataFrame) -> DataFrame:
     n = clean(reference).groupBy("prob").agg(F.count("*").alias("ref")).withColumn("ask", F.lit(0).cast("long"))
     m = clean(scores).groupBy("prob").agg(F.count("*").alias("ask")).withColumn("ref", F.lit(0).cast("long"))
     d = n.unionByName(m).groupBy("prob").agg(F.sum("ref").alias("ref"), F.sum("ask").alias("ask"))
-    below = F.coalesce(F.sum("ref").over(Window.partitionBy().orderBy("prob").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    d = d.withColumn("quantile", F.try_divide(below.cast("double"), F.sum("ref").over(Window.partitionBy())))
+    d = scan(d, (), [("prob", False)], ["ref"])
+    d = d.withColumn("quantile", F.try_divide((F.col("upto_ref") - F.col("ref")).cast("double"), F.col("all_ref")))
     return d.where("ask > 0").select("prob", "quantile", "ask")
 
 
@@ -181,10 +180,9 @@ def wasserstein(a: DataFrame, b: DataFrame, col: str = "prob") -> DataFrame:
     """Exact first Wasserstein distance of two samples."""
     side = lambda d, x, y: clean(d, col).groupBy(F.col(col).alias("v")).agg(F.count("*").alias(x)).withColumn(y, F.lit(0).cast("long"))
     d = side(a, "na", "nb").unionByName(side(b, "nb", "na")).groupBy("v").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
-    upto, every = Window.partitionBy().orderBy("v").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    gap = F.abs(F.sum("na").over(upto) / F.sum("na").over(every) - F.sum("nb").over(upto) / F.sum("nb").over(every))
-    d = d.withColumn("part", gap * (F.lead("v").over(Window.partitionBy().orderBy("v")) - F.col("v")))
-    return d.agg(F.coalesce(F.sum("part"), F.lit(0.0)).alias("distance"))
+    d = scan(d, (), [("v", False)], ["na", "nb"], ["v"])
+    gap = F.abs(F.col("upto_na") / F.col("all_na") - F.col("upto_nb") / F.col("all_nb"))
+    return d.agg(F.coalesce(F.sum(gap * (F.col("next_v") - F.col("v"))), F.lit(0.0)).alias("distance"))
 
 
 def bce(scores: DataFrame, floor: float = -100.0) -> DataFrame:
@@ -202,9 +200,8 @@ def margin_loss(scores: DataFrame, margin: float = 0.1) -> DataFrame:
     d = by_score(scores)
     neg = d.where("neg > 0").select(F.col("prob").alias("at"), "neg", (F.col("prob") * F.col("neg")).alias("s"), F.lit(0).cast("long").alias("pos"), F.lit(1).alias("kind"))
     pos = d.where("pos > 0").select((F.col("prob") - margin).alias("at"), F.lit(0).cast("long").alias("neg"), F.lit(0.0).alias("s"), "pos", F.lit(0).alias("kind"))
-    down = Window.partitionBy().orderBy(F.col("at").desc(), F.col("kind").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    u = neg.unionByName(pos).withColumn("n", F.sum("neg").over(down)).withColumn("t", F.sum("s").over(down))
-    total = u.agg(F.sum(F.when(F.col("kind") == 0, F.col("pos") * (F.col("t") - F.col("n") * F.col("at")))).alias("loss"), F.sum("pos").alias("np"), F.sum("neg").alias("nn"))
+    u = scan(neg.unionByName(pos), (), [("at", True), ("kind", True)], ["neg", "s"])
+    total = u.agg(F.sum(F.when(F.col("kind") == 0, F.col("pos") * (F.col("upto_s") - F.col("upto_neg") * F.col("at")))).alias("loss"), F.sum("pos").alias("np"), F.sum("neg").alias("nn"))
     return total.select(F.coalesce(F.try_divide("loss", F.col("np").cast("double") * F.col("nn")), F.lit(0.0)).alias("margin_loss"))
 
 
@@ -218,8 +215,7 @@ def histogram(scores: DataFrame, bins: int = 50, by: tuple[str, ...] = ()) -> Da
 def empirical_cdf(scores: DataFrame) -> DataFrame:
     """prob, cdf: share of scores up to each distinct one."""
     d = clean(scores).groupBy("prob").agg(F.count("*").alias("n"))
-    upto = Window.partitionBy().orderBy("prob").rowsBetween(Window.unboundedPreceding, 0)
-    return d.select("prob", (F.sum("n").over(upto) / F.sum("n").over(Window.partitionBy())).alias("cdf"))
+    return scan(d, (), [("prob", False)], ["n"]).select("prob", (F.col("upto_n") / F.col("all_n")).alias("cdf"))
 
 
 def nearest_points(curve: DataFrame, wanted: list[float]) -> DataFrame:
