@@ -284,35 +284,159 @@ def predict(rows: DataFrame, models: list[Weights]) -> DataFrame:
     return map_batches(rows.select("src", "tgt", "pos", "x"), run, models, "src long, tgt long, pos int, model_id int, prob double")
 
 
-def subgraph_scores(pairs: DataFrame, sub: DataFrame, labels: DataFrame, features: DataFrame, weights: Weights) -> DataFrame:
-    """pair_id, prob: two convolutions over each pair's enclosing subgraph with
-    role-label embeddings, then a predictor on the two ends. A group is one
-    subgraph; sub carries a time weight."""
+BN = ("g", "o", "m", "v")
+
+
+def seal_shapes(dims: int, hidden: int, labels: int, embed: int = 8) -> dict[str, tuple[int, ...]]:
+    """Twin encoders s_ (edges alike) and d_ (edges weighted by time), two
+    convolutions each, and the predictor p_ on both ends and the time. Each
+    batch norm has scale g, offset o and the statistics m and v."""
+    one = {"w1": (embed + dims, hidden), "b1": (hidden,), "w2": (hidden, hidden), "b2": (hidden,)} | {f"{k}{i}": (hidden,) for i in (1, 2) for k in BN}
+    shapes = {"embed": (labels, embed)} | {f"{side}_{k}": v for side in "sd" for k, v in one.items()}
+    head = {"w1": (4 * hidden + 1, 2 * hidden), "b1": (2 * hidden,), "w2": (2 * hidden, hidden), "b2": (hidden,), "w3": (hidden, 1), "b3": (1,)} | {f"{k}1": (2 * hidden,) for k in BN}
+    return shapes | {f"p_{k}": v for k, v in head.items()}
+
+
+def init_seal(seed: int, dims: int, hidden: int, labels: int, embed: int = 8) -> Weights:
+    """Drawn weights with neutral batch norms."""
+    p = init(seed, seal_shapes(dims, hidden, labels, embed))
+    neutral = {"g": 1.0, "o": 0.0, "m": 0.0, "v": 1.0}
+    return {k: np.full_like(v, neutral[k[2]]) if k[1] == "_" and k[2] in BN and k[3:] in ("1", "2") else v for k, v in p.items()}
+
+
+def _batch_norm(x: np.ndarray, p: Weights, at: str, eps: float = 1e-5) -> np.ndarray:
+    return (x - p[at.format("m")]) / np.sqrt(p[at.format("v")] + eps) * p[at.format("g")] + p[at.format("o")]
+
+
+def sparse_conv(h: np.ndarray, src: np.ndarray, tgt: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Messages along edges into targets, a loop of weight 1 at every node,
+    weights scaled by the degrees of both ends at the target."""
+    degree = np.bincount(tgt, weight, len(h)) + 1
+    scaled = weight / np.sqrt(degree[src] * degree[tgt])
+    out = h / degree[:, None]
+    order = np.argsort(tgt, kind="stable")
+    if len(order):
+        at = np.flatnonzero(np.diff(tgt[order], prepend=-1))
+        out[tgt[order][at]] += np.add.reduceat(scaled[order, None] * h[src[order]], at)
+    return out
+
+
+def _seal_layers(x: np.ndarray, src: np.ndarray, tgt: np.ndarray, weight: np.ndarray, p: Weights, side: str) -> Iterator[np.ndarray]:
+    """The inputs of both batch norms, then the encoding."""
+    w = weight if side == "d" else np.ones_like(weight)
+    first = sparse_conv(x @ p[f"{side}_w1"], src, tgt, w) + p[f"{side}_b1"]
+    yield first
+    h = relu(_batch_norm(first, p, side + "_{}1"))
+    second = sparse_conv(h @ p[f"{side}_w2"], src, tgt, w) + p[f"{side}_b2"]
+    yield second
+    yield _batch_norm(second, p, side + "_{}2")
+
+
+class _Block:
+    """The subgraphs of a batch of pairs as one graph that is not connected
+    between pairs."""
+
+    def __init__(self, n: pd.DataFrame, e: pd.DataFrame, p: Weights):
+        ids, node = np.unique(np.concatenate([n["node"], n["a"], n["b"], e["src"], e["tgt"]]), return_inverse=True)
+        pairs, pair = np.unique(np.concatenate([n["pair_id"], e["pair_id"]]), return_inverse=True)
+        m, k = len(n), len(ids)
+        at = pair[:m] * k
+        keys = at + node[:m]
+        order = np.argsort(keys)
+        keys = keys[order]
+
+        def find(wanted: np.ndarray) -> np.ndarray:
+            """Rows of pair and node, -1 where the pair does not have it."""
+            i = np.minimum(np.searchsorted(keys, wanted), m - 1)
+            return np.where(keys[i] == wanted, order[i], -1)
+
+        self.pairs, first = np.unique(pair[:m], return_index=True)
+        self.pair_ids = pairs[self.pairs]
+        self.a, self.b = find(at[first] + node[m : 2 * m][first]), find(at[first] + node[2 * m : 3 * m][first])
+        self.time = n["at"].to_numpy(float)[first]
+        src, tgt = find(pair[m:] * k + node[3 * m : 3 * m + len(e)]), find(pair[m:] * k + node[3 * m + len(e) :])
+        inside = (src >= 0) & (tgt >= 0)
+        self.src, self.tgt, self.weight = src[inside], tgt[inside], e["weight"].to_numpy(float)[inside]
+        dims = p["s_w1"].shape[0] - p["embed"].shape[1]
+        x = np.zeros((m, dims))
+        there = n["x"].notna().to_numpy()
+        if there.any():
+            x[there] = np.stack(n["x"][there].to_numpy())
+        self.x = np.concatenate([p["embed"][n["label"].to_numpy(int)], x], 1)
+
+    def layers(self, p: Weights, side: str) -> Iterator[np.ndarray]:
+        return _seal_layers(self.x, self.src, self.tgt, self.weight, p, side)
+
+    def head_input(self, p: Weights) -> np.ndarray:
+        """[a, b, time] of the pairs, each end static and then weighted by time."""
+        z = np.concatenate([list(self.layers(p, side))[2] for side in "sd"], 1)
+        z = np.concatenate([z, np.zeros((1, z.shape[1]))])  # an end outside its subgraph
+        return np.concatenate([z[self.a], z[self.b], self.time[:, None]], 1) @ p["p_w1"] + p["p_b1"]
+
+
+def _in_batches(pairs: DataFrame, sub: DataFrame, labels: DataFrame, features: DataFrame, pairs_at_once: int):
+    """Nodes and edges of subgraphs, grouped by batches of pairs dealt by hash."""
+    n = max(1, -(-pairs.count() // pairs_at_once))
+    batch = F.pmod(F.xxhash64("pair_id"), F.lit(n)).alias("batch")
+    nodes = labels.join(features, "node", "left").select("pair_id", "node", "label", "x").join(pairs.select("pair_id", "a", "b", "at"), "pair_id")
+    edges = sub.join(pairs.select("pair_id"), "pair_id", "left_semi")
+    nodes = nodes.select(batch, *[F.col(c).alias(c) for c in ("pair_id", "node", "label", "x", "a", "b", "at")])
+    edges = edges.select(batch, *[F.col(c).alias(c) for c in ("pair_id", "src", "tgt", "weight")])
+    return nodes.groupBy("batch").cogroup(edges.groupBy("batch"))
+
+
+def _sums_of(layer: int, shared) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """Counts, sums and sums of squares of what a batch norm gets."""
+
+    def run(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        if not len(n):
+            return pd.DataFrame({"name": [], "i": [], "n": [], "s": [], "q": []})
+        p = shared.value
+        block = _Block(n, e, p)
+        seen = {"p_1": block.head_input(p)} if layer == 3 else {f"{side}_{layer}": list(block.layers(p, side))[layer - 1] for side in "sd"}
+        return pd.concat([pd.DataFrame({"name": k, "i": np.arange(v.shape[1]), "n": len(v), "s": v.sum(0), "q": (v * v).sum(0)}) for k, v in seen.items()])
+
+    return run
+
+
+def seal_statistics(pairs: DataFrame, sub: DataFrame, labels: DataFrame, features: DataFrame, weights: Weights, most: int = 2_000, pairs_at_once: int = 256) -> Weights:
+    """weights with the batch norms' means and variances over the subgraphs of
+    at most that many pairs, taken by hash: the norms one after the other, as
+    each needs those before it, by sums that an aggregation adds up."""
+    some = cut(pairs.orderBy(F.xxhash64(F.lit(1), "pair_id"), "pair_id").limit(most))
+    spark, p = pairs.sparkSession, dict(weights)
+    for layer in (1, 2, 3):
+        run = _sums_of(layer, spark.sparkContext.broadcast(p))
+        sums = _in_batches(some, sub, labels, features, pairs_at_once).applyInPandas(run, "name string, i long, n long, s double, q double")
+        for r in sums.groupBy("name", "i").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).collect():
+            side, i = r["name"].split("_")
+            for k, v in (("m", r["s"] / r["n"]), ("v", max(r["q"] / r["n"] - (r["s"] / r["n"]) ** 2, 0.0))):
+                name = f"{side}_{k}{i}"
+                p[name] = p[name].copy()
+                p[name][r["i"]] = v
+    return p
+
+
+def subgraph_scores(pairs: DataFrame, sub: DataFrame, labels: DataFrame, features: DataFrame, weights: Weights, pairs_at_once: int = 256) -> DataFrame:
+    """pair_id, prob: twin encoders over each pair's enclosing subgraph, one
+    with its edges alike, one with their time weights, role labels embedded
+    beside the features; then a predictor on both ends and the pair's time.
+
+    pairs: pair_id, a, b, at; sub: pair_id, src, tgt, weight. A group is the
+    subgraphs of about that many pairs, which a task holds as one sparse graph.
+    """
     shared = sub.sparkSession.sparkContext.broadcast(weights)
-    nodes = labels.join(features, "node", "left").select("pair_id", "node", "label", "x")
-    edges = sub.select(*[F.col(c).alias(c) for c in ("pair_id", "src", "tgt", "weight")])
-    whole = nodes.join(pairs, "pair_id").select(*[F.col(c).alias(c) for c in ("pair_id", "node", "label", "x", "a", "b")])
 
-    def run(key: tuple, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        p = shared.value
+    def run(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         if not len(n):
             return pd.DataFrame({"pair_id": [], "prob": []})
-        at = {v: i for i, v in enumerate(n["node"])}
-        dims = p["w0"].shape[0] - p["embed"].shape[1]
-        x = np.array([np.zeros(dims) if v is None else np.asarray(v, float) for v in n["x"]])
-        h = np.concatenate([p["embed"][n["label"].to_numpy(int)], x], 1)
-        a = np.eye(len(n))
-        for s, t, w in zip(e["src"], e["tgt"], e["weight"], strict=True):
-            if s in at and t in at:
-                a[at[t], at[s]] += w
-        d = 1 / np.sqrt(a.sum(1))
-        a = a * d[:, None] * d[None, :]
-        h = a @ relu(a @ (h @ p["w0"])) @ p["w1"]
-        first = n.iloc[0]
-        ends = np.concatenate([h[at[first["a"]]] if first["a"] in at else np.zeros(h.shape[1]), h[at[first["b"]]] if first["b"] in at else np.zeros(h.shape[1])])
-        return pd.DataFrame({"pair_id": [key[0]], "prob": [float(sigmoid(ends @ p["head"]))]})
-
-    return whole.groupBy("pair_id").cogroup(edges.groupBy("pair_id")).applyInPandas(run, "pair_id long, prob double")
+        p = shared.value
+        block = _Block(n, e, p)
+        h = relu(_batch_norm(block.head_input(p), p, "p_{}1"))
+        prob = sigmoid(relu(h @ p["p_w2"] + p["p_b2"]) @ p["p_w3"] + p["p_b3"])[:, 0]
+        return pd.DataFrame({"pair_id": block.pair_ids, "prob": prob})
+
+    return _in_batches(pairs, sub, labels, features, pairs_at_once).applyInPandas(run, "pair_id long, prob double")
 
 
 def positions(years: DataFrame) -> DataFrame:

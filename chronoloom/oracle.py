@@ -79,5 +79,6 @@ def sql(body: str, *names: str, **more: str) -> str:
 
     for n in names:
         need(n)
-    parts = [CTES[n] for n in order] + [f"{k} AS ({v})" for k, v in more.items()]
+    # each is used several times further on: evaluated once, not once for each use
+    parts = [CTES[n].replace(" AS (", " AS MATERIALIZED (", 1) for n in order] + [f"{k} AS MATERIALIZED ({v})" for k, v in more.items()]
     return f"WITH {', '.join(parts)} {body}"

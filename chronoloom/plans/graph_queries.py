@@ -289,11 +289,12 @@ def model_imputation(spark, d):
 
 @query()
 def seal_score(spark, d):
-    pairs, members = cut(_pairs(spark, d)), cut(_members(spark, d))
-    sub = G.weighted_by_time(G.induced(members, _pos(spark, d)), 1998)
-    x = _features(spark, d)
-    w = N.init(6, {"embed": (6, 4), "w0": (4 + _width(x), 8), "w1": (8, 4), "head": (8,)})
-    return rounded(N.subgraph_scores(pairs, sub, G.role_labels(pairs, members, sub), x, w), "prob")
+    """Every distinct pair of the positives, seen from the middle year."""
+    pairs, members = cut(_pairs(spark, d).withColumn("at", F.lit(0.5))), cut(_members(spark, d))
+    sub = cut(G.weighted_by_time(G.induced(members, _pos(spark, d)), 1998))
+    labels, x = cut(G.role_labels(pairs, members, sub)), _features(spark, d)
+    w = N.seal_statistics(pairs, sub, labels, x, N.init_seal(6, _width(x), 8, 6))
+    return rounded(N.subgraph_scores(pairs, sub, labels, x, w), "prob")
 
 
 @query()
