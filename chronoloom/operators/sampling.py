@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions.hashing import key, pick, unit
 from chronoloom.functions.lineage import cut
+from chronoloom.functions.scan import scan
 from chronoloom.operators.edges import dense_index
 from chronoloom.schema import TRIPLE
 
@@ -172,6 +173,82 @@ def poisson_bootstrap(triples: DataFrame, seed: int) -> DataFrame:
     return triples.withColumn("n", n).where("n > 0").select(*TRIPLE, F.explode(F.sequence(F.lit(1), F.col("n")))).select(*TRIPLE)
 
 
+def placed_members(members: DataFrame) -> DataFrame:
+    """industry, company_id, pos (from 0 by company), n_in; an industry of any
+    size is placed range by range."""
+    d = scan(members.select("industry", "company_id", F.lit(1).cast("long").alias("one")), ("industry",), [("company_id", False)], ["one"])
+    return d.select("industry", "company_id", (F.col("upto_one") - 1).alias("pos"), F.col("all_one").alias("n_in"))
+
+
+def paired_negatives(positives: DataFrame, ids: DataFrame, known: DataFrame, seed: int, members: DataFrame | None = None, attempts: int = 10, shares: tuple[float, float, float] = (0.2, 0.5, 0.7)) -> DataFrame:
+    """src, tgt, year of every distinct positive with new_src, new_tgt, rule,
+    attempt: its own negative, which is unknown and changes one end.
+
+    With members, the end and the way go by shares as in industry_negatives:
+    the first attempts replace it within the source's industry, and where all
+    of them fail, or the source has none, as many more take any company. Without
+    members, the target or the source, half and half, becomes any company.
+    Positives for which every attempt fails are left out. Only those whose first
+    attempt fails are tried further, all at once.
+    """
+    size = max(1, ids.count())
+    index = dense_index(ids.select("company_id"), "company_id")
+    rows = positives.select(*TRIPLE).distinct()
+    u = unit(seed, "rule", *map(F.col, TRIPLE))
+    near = lambda rule: F.col(rule).startswith("industry")
+    if members is not None:
+        first = members.groupBy("company_id").agg(F.min("industry").alias("industry"))
+        rows = rows.join(first.withColumnRenamed("company_id", "src"), "src", "left")
+        rule = F.when(u < shares[0], "industry_tgt").when(u < shares[1], "industry_src").when(u < shares[2], "random_tgt").otherwise("random_src")
+        listed = placed_members(members)
+        rows = rows.join(listed.groupBy("industry").agg(F.max("n_in").alias("n_in")), "industry", "left")
+    else:
+        rule, listed = F.when(u < 0.5, "random_tgt").otherwise("random_src"), None
+    rows = cut(rows.withColumn("rule", rule))
+    taken = known.select(*TRIPLE).distinct()
+
+    def tried(some: DataFrame, low: int, high: int) -> DataFrame:
+        t = some.withColumn("attempt", F.explode(F.sequence(F.lit(low), F.lit(high))))
+        of = [F.col(c) for c in (*TRIPLE, "attempt")]
+        t = _picked(t, index, size, "any", pick(size, seed, "any", *of))
+        new = F.col("any")
+        if listed is not None:
+            inside = near("rule") & (F.col("attempt") <= attempts) & F.col("n_in").isNotNull()
+            t = t.withColumn("pos", F.when(inside, F.least(pick(F.col("n_in"), seed, "near", *of), F.col("n_in") - 1)))
+            t = t.join(listed.select("industry", "pos", F.col("company_id").alias("near")), ["industry", "pos"], "left")
+            new = F.when(inside, F.col("near")).otherwise(F.when(~(near("rule") & (F.col("attempt") <= attempts)), F.col("any")))
+        at_tgt = F.col("rule").endswith("tgt")
+        t = t.withColumn("new", new).where(F.col("new").isNotNull() & (F.col("new") != F.when(at_tgt, F.col("tgt")).otherwise(F.col("src"))))
+        t = t.select(F.struct(*TRIPLE).alias("of"), "rule", "attempt", F.when(at_tgt, F.col("src")).otherwise(F.col("new")).alias("src"), F.when(at_tgt, F.col("new")).otherwise(F.col("tgt")).alias("tgt"), "year")
+        good = t.join(taken, TRIPLE, "left_anti")
+        best = good.groupBy("of").agg(F.min_by(F.struct(F.col("src").alias("new_src"), F.col("tgt").alias("new_tgt"), "rule", "attempt"), "attempt").alias("x"))
+        return best.select("of.*", "x.*")
+
+    done = cut(tried(rows, 1, 1))
+    rest = rows.join(done.select(*TRIPLE), TRIPLE, "left_anti")
+    return done.unionByName(tried(rest, 2, 2 * attempts))
+
+
+def loaders(nodes: DataFrame, edges: DataFrame, negatives: DataFrame, seed: int, external: DataFrame | None = None) -> dict[str, DataFrame]:
+    """What a training run needs, by name: graph (the training triples that are
+    positive), train, val and test (src, tgt, year, label), and full.
+
+    negatives: negatives for all parts; each part gets as large a share of them
+    as it has of the positives. external: triples that no part may have as
+    negatives."""
+    split = cut(stratified_split(edges, seed))
+    pool = negatives.select(*TRIPLE).distinct()
+    pool = pool if external is None else pool.join(external.select(*TRIPLE).distinct(), TRIPLE, "left_anti")
+    counts = {r["split"]: r["n"] for r in split.groupBy("split").agg(F.count("*").alias("n")).collect()}
+    total = max(1, sum(counts.values()))
+    at = unit(seed, "part", *map(F.col, TRIPLE))
+    edge = [counts.get("test", 0) / total, (counts.get("test", 0) + counts.get("val", 0)) / total]
+    drawn = pool.withColumn("split", F.when(at < edge[0], "test").when(at < edge[1], "val").otherwise("train"))
+    rows = cut(split.select(*TRIPLE, "split", F.lit(1).alias("label")).unionByName(drawn.select(*TRIPLE, "split", F.lit(0).alias("label"))))
+    parts = {name: rows.where(F.col("split") == name).drop("split") for name in ("train", "val", "test")}
+    return {"graph": parts["train"].where("label = 1").drop("label"), **parts, "full": rows}
+
+
 def industry_negatives(positives: DataFrame, members: DataFrame, ids: DataFrame, known: DataFrame, n: int, seed: int, shares: tuple[float, float, float] = (0.2, 0.5, 0.7)) -> DataFrame:
     """draw, src, tgt, year, rule: negatives near a random positive. Below
     shares[0] the target, below shares[1] the source becomes a company of the
@@ -185,10 +262,9 @@ def industry_negatives(positives: DataFrame, members: DataFrame, ids: DataFrame,
     has = F.col("industry").isNotNull()
     rule = F.when(has & (u < shares[0]), "industry_tgt").when(has & (u < shares[1]), "industry_src").when(u < shares[2], "random_tgt").otherwise("random_src")
     rows = rows.withColumn("rule", rule)
-    w = Window.partitionBy("industry")
-    listed = members.withColumn("pos", F.row_number().over(w.orderBy("company_id")) - 1).withColumn("n_in", F.count("*").over(w))
+    listed = placed_members(members)
     sizes = listed.groupBy("industry").agg(F.max("n_in").alias("n_in"))
-    rows = rows.join(sizes, "industry", "left").withColumn("pos", F.when(F.col("rule").startswith("industry"), F.least(pick(F.col("n_in"), seed, "member", F.col("draw")), F.col("n_in") - 1)).cast("int"))
+    rows = rows.join(sizes, "industry", "left").withColumn("pos", F.when(F.col("rule").startswith("industry"), F.least(pick(F.col("n_in"), seed, "member", F.col("draw")), F.col("n_in") - 1)))
     rows = rows.join(listed.select("industry", "pos", F.col("company_id").alias("near")), ["industry", "pos"], "left")
     size = ids.count()
     index = dense_index(ids.select("company_id"), "company_id")

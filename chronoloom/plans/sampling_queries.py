@@ -91,13 +91,14 @@ def blacklist(spark, d):
     return _known(spark, d)
 
 
-@query(sql("SELECT src, tgt, year FROM draws WHERE (src, tgt, year) NOT IN (SELECT src, tgt, year FROM known) GROUP BY src, tgt, year", "pos", "ext", idx=IDX, known=KNOWN, draws=_draws(5000)))
+@query(sql("SELECT src, tgt, year FROM draws WHERE (src, tgt, year) NOT IN (SELECT src, tgt, year FROM known) GROUP BY src, tgt, year", "pos", "ext", dp=DP, idx=IDX, known=KNOWN, draws=_draws("(SELECT count(*) FROM dp)")))
 def random_negatives(spark, d):
-    return S.negative_pool(_ids(spark, d), YEARS, _known(spark, d), 5000, SEED, oversample=1.0).select("src", "tgt", "year")
+    """As many draws as there are distinct positives."""
+    return S.negative_pool(_ids(spark, d), YEARS, _known(spark, d), _pos(spark, d).distinct().count(), SEED, oversample=1.0).select("src", "tgt", "year")
 
 
-BOOT = f"""SELECT draw, src, tgt, year FROM range(0, {{n}}) r(draw)
-  JOIN (SELECT *, row_number() OVER (ORDER BY year, src, tgt) - 1 AS i FROM dp) ON i = least(CAST(floor({unit("42", "draw")} * (SELECT count(*) FROM dp)) AS BIGINT), (SELECT count(*) FROM dp) - 1)"""
+BOOT = f"""SELECT draw, src, tgt, year FROM (SELECT draw, least(CAST(floor({unit("42", "draw")} * size) AS BIGINT), size - 1) AS i FROM range(0, {{n}}) r(draw), (SELECT count(*) AS size FROM dp))
+  JOIN (SELECT *, row_number() OVER (ORDER BY year, src, tgt) - 1 AS i FROM dp) USING (i)"""
 
 
 @query(sql(BOOT.format(n="(SELECT count(*) FROM dp)"), "pos", dp=DP))
@@ -109,19 +110,21 @@ _RULE = unit("42", "'rule'", "draw")
 _NEAR = f"""SELECT draw, b.src, b.tgt, b.year, rule, CASE WHEN rule LIKE 'industry%' THEN m.company_id ELSE a.company_id END AS new FROM (
     SELECT b.*, f.industry, s.n_in, CASE WHEN f.industry IS NOT NULL AND {_RULE} < 0.2::DOUBLE THEN 'industry_tgt' WHEN f.industry IS NOT NULL AND {_RULE} < 0.5::DOUBLE THEN 'industry_src'
       WHEN {_RULE} < 0.7::DOUBLE THEN 'random_tgt' ELSE 'random_src' END AS rule
-    FROM boot b LEFT JOIN (SELECT company_id, min(industry) AS industry FROM members GROUP BY company_id) f ON f.company_id = b.src
+    , least(CAST(floor({unit("42", "'any'", "draw")} * size) AS BIGINT), size - 1) AS any_i, least(CAST(floor({unit("42", "'member'", "draw")} * s.n_in) AS BIGINT), s.n_in - 1) AS near_i
+    FROM (SELECT * FROM boot, (SELECT count(*) AS size FROM embedded)) b LEFT JOIN (SELECT company_id, min(industry) AS industry FROM members GROUP BY company_id) f ON f.company_id = b.src
     LEFT JOIN (SELECT industry, count(*) AS n_in FROM members GROUP BY industry) s ON s.industry = f.industry) b
   LEFT JOIN (SELECT industry, company_id, row_number() OVER (PARTITION BY industry ORDER BY company_id) - 1 AS pos FROM members) m
-    ON m.industry = b.industry AND m.pos = least(CAST(floor({unit("42", "'member'", "draw")} * b.n_in) AS BIGINT), b.n_in - 1)
-  JOIN idx a ON a.idx = least(CAST(floor({unit("42", "'any'", "draw")} * a.n) AS BIGINT), a.n - 1)"""
+    ON m.industry = b.industry AND m.pos = b.near_i
+  JOIN idx a ON a.idx = b.any_i"""
 
 
 @query(sql("""SELECT min(draw) AS draw, src, tgt, year, arg_min(rule, draw) AS rule FROM (
     SELECT draw, CASE WHEN rule LIKE '%src' THEN new ELSE src END AS src, CASE WHEN rule LIKE '%tgt' THEN new ELSE tgt END AS tgt, year, rule FROM near)
-  WHERE (src, tgt, year) NOT IN (SELECT src, tgt, year FROM known) GROUP BY src, tgt, year""", "pos", "ext", "members", dp=DP, known=KNOWN, idx=IDX, boot=BOOT.format(n=5000), near=_NEAR))
+  WHERE (src, tgt, year) NOT IN (SELECT src, tgt, year FROM known) GROUP BY src, tgt, year""", "pos", "ext", "members", dp=DP, known=KNOWN, idx=IDX, boot=BOOT.format(n="(SELECT count(*) FROM dp)"), near=_NEAR))
 def industry_negatives(spark, d):
-    n = T.nodes(spark, d)
-    return S.industry_negatives(_pos(spark, d).distinct(), E.industry_members(n), _ids(spark, d), _known(spark, d), 5000, SEED)
+    """As many draws as there are distinct positives."""
+    pos = _pos(spark, d).distinct()
+    return S.industry_negatives(pos, E.industry_members(T.nodes(spark, d)), _ids(spark, d), _known(spark, d), pos.count(), SEED)
 
 
 _TRIES = f"""SELECT p.src AS s, p.tgt AS t, p.year AS y, attempt, CASE WHEN swap THEN a.company_id ELSE p.src END AS src, CASE WHEN swap THEN p.tgt ELSE a.company_id END AS tgt, p.year
@@ -135,6 +138,46 @@ def retried_negatives(spark, d):
     return S.retried_negatives(_pos(spark, d), _ids(spark, d), _known(spark, d), SEED)
 
 
+def _paired(rule: str, near: str) -> dict[str, str]:
+    of = ("src", "tgt", "year", "attempt")
+    tries = f"""SELECT p.src AS s, p.tgt AS t, p.year AS y, rule, attempt, CASE WHEN rule LIKE '%tgt' THEN p.src ELSE new END AS src, CASE WHEN rule LIKE '%tgt' THEN new ELSE p.tgt END AS tgt, p.year,
+    CASE WHEN rule LIKE '%tgt' THEN p.tgt ELSE p.src END AS old, new
+  FROM (SELECT p.*, {near} AS new FROM (
+      SELECT p.*, attempt, least(CAST(floor({unit("42", "'any'", *of)} * size) AS BIGINT), size - 1) AS any_i, least(CAST(floor({unit("42", "'near'", *of)} * n_in) AS BIGINT), n_in - 1) AS near_i
+      FROM (SELECT dp.*, {rule} AS rule, f.industry, s.n_in FROM dp LEFT JOIN (SELECT company_id, min(industry) AS industry FROM members GROUP BY company_id) f ON f.company_id = dp.src
+        LEFT JOIN (SELECT industry, count(*) AS n_in FROM members GROUP BY industry) s ON s.industry = f.industry) p, range(1, 21) r(attempt), (SELECT count(*) AS size FROM embedded)) p
+    JOIN idx a ON a.idx = p.any_i LEFT JOIN (SELECT industry, company_id, row_number() OVER (PARTITION BY industry ORDER BY company_id) - 1 AS pos FROM members) m ON m.industry = p.industry AND m.pos = p.near_i) p"""
+    return {"dp": DP, "known": KNOWN, "idx": IDX, "tries": tries}
+
+
+_FIRST = """SELECT s AS src, t AS tgt, y AS year, src AS new_src, tgt AS new_tgt, rule, CAST(attempt AS INTEGER) AS attempt FROM (
+  SELECT *, row_number() OVER (PARTITION BY s, t, y ORDER BY attempt) AS rn FROM tries WHERE new <> old AND (src, tgt, year) NOT IN (SELECT src, tgt, year FROM known)) WHERE rn = 1"""
+_PAIR_RULE = unit("42", "'rule'", "src", "tgt", "year")
+
+
+@query(sql(_FIRST, "pos", "ext", "members", **_paired(f"CASE WHEN {_PAIR_RULE} < 0.2::DOUBLE THEN 'industry_tgt' WHEN {_PAIR_RULE} < 0.5::DOUBLE THEN 'industry_src' WHEN {_PAIR_RULE} < 0.7::DOUBLE THEN 'random_tgt' ELSE 'random_src' END", "CASE WHEN rule LIKE 'industry%' AND attempt <= 10 THEN m.company_id ELSE a.company_id END")))
+def paired_industry_negatives(spark, d):
+    """A negative for each positive: within the industry, else from anywhere."""
+    return S.paired_negatives(_pos(spark, d), _ids(spark, d), _known(spark, d), SEED, E.industry_members(T.nodes(spark, d)))
+
+
+@query(sql(_FIRST, "pos", "ext", "members", **_paired(f"CASE WHEN {_PAIR_RULE} < 0.5::DOUBLE THEN 'random_tgt' ELSE 'random_src' END", "a.company_id")))
+def paired_random_negatives(spark, d):
+    """A negative for each positive: either end, half and half."""
+    return S.paired_negatives(_pos(spark, d), _ids(spark, d), _known(spark, d), SEED)
+
+
+@query(sql(f"""SELECT part, label, count(*) AS n FROM (SELECT split AS part, 1 AS label FROM s UNION ALL
+    SELECT CASE WHEN u < nt / n::DOUBLE THEN 'test' WHEN u < (nt + nv) / n::DOUBLE THEN 'val' ELSE 'train' END, 0 FROM (SELECT *, {unit("42", "'part'", "src", "tgt", "year")} AS u FROM fixed),
+      (SELECT count(*) FILTER (split = 'test') AS nt, count(*) FILTER (split = 'val') AS nv, count(*) AS n FROM s)
+    UNION ALL SELECT 'graph', 1 FROM s WHERE split = 'train') GROUP BY part, label""", "pos", "ext", dp=DP, idx=IDX, known=KNOWN, draws=_draws(POOL_DRAWS), pool=POOL, s=SPLIT, fixed=f"SELECT src, tgt, year FROM pool ORDER BY {key('7', 'src', 'tgt', 'year')} LIMIT {NEGATIVES}"))
+def loader_sizes(spark, d):
+    """Rows of each part and label that a training run loads."""
+    parts = S.loaders(T.nodes(spark, d), _pos(spark, d), fixed_negatives(spark, d), SEED)
+    rows = parts["full"].select(F.col("split").alias("part"), "label").unionByName(parts["graph"].select(F.lit("graph").alias("part"), F.lit(1).alias("label")))
+    return rows.groupBy("part", "label").agg(F.count("*").alias("n"))
+
+
 @query(sql("SELECT row_number() OVER (ORDER BY year, src, tgt) - 1 AS idx, src, tgt, year FROM dp", "pos", dp=DP))
 def ordered_triples(spark, d):
     """Distinct triples with their place by year, source and target."""
@@ -189,11 +232,12 @@ def edge_dropout(spark, d):
 
 
 @query(sql("""SELECT mode, count(*) FILTER (WHERE NOT (filter_external AND (src, tgt, year) IN (SELECT src, tgt, year FROM ext))) AS n_negatives
-  FROM (VALUES ('ftt', false), ('ftf', true), ('fff', false), ('tff', true)) m(mode, filter_external), (SELECT DISTINCT src, tgt, year FROM draws WHERE (src, tgt, year) NOT IN (SELECT src, tgt, year FROM pos)) GROUP BY mode""", "pos", "ext", idx=IDX, draws=_draws(5000)))
+  FROM (VALUES ('ftt', false), ('ftf', true), ('fff', false), ('tff', true)) m(mode, filter_external), (SELECT DISTINCT src, tgt, year FROM draws WHERE (src, tgt, year) NOT IN (SELECT src, tgt, year FROM pos)) GROUP BY mode""", "pos", "ext", dp=DP, idx=IDX, draws=_draws("(SELECT count(*) FROM dp)")))
 def sampling_mode_matrix(spark, d):
-    """How many of the same draws each mode admits as negatives."""
+    """How many of the same draws, one for each distinct positive, each mode
+    admits as negatives."""
     e = T.edges(spark, d)
-    rows = S.random_triples(_ids(spark, d), YEARS, 5000, SEED).select("src", "tgt", "year").distinct()
+    rows = S.random_triples(_ids(spark, d), YEARS, _pos(spark, d).distinct().count(), SEED).select("src", "tgt", "year").distinct()
     rows = rows.join(_pos(spark, d).distinct(), ["src", "tgt", "year"], "left_anti")
     ext = E.scan_edges(T.nodes(spark, d), e, "external").distinct().withColumn("external", F.lit(True))
     rows = rows.join(ext, ["src", "tgt", "year"], "left").join(F.broadcast(S.mode_table(spark)), how="cross")  # four modes
