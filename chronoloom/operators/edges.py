@@ -84,6 +84,14 @@ def dual_source(edges: DataFrame, first: str = EXTERNAL, second: str = OBSERVED)
     return seen.where("a = 1 and b = 1").select("company_id")
 
 
+def store_flags(table, edges: DataFrame) -> DataFrame:
+    """The companies of dual_source written as the next version of a stored
+    table and read back from it; table: a sources.stores.VersionedTable. Flags
+    are always made anew from the edges, so a stale one cannot be trusted."""
+    table.swap(dual_source(edges).withColumn("merged", F.lit(True)))
+    return table.read()
+
+
 def dense_index(rows: DataFrame, col: str, out: str = "idx") -> DataFrame:
     """rows with their position from 0 in the order of col (nulls first).
 

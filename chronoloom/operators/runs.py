@@ -87,6 +87,15 @@ def trailing(log: DataFrame, size: int = 10, every: int = 10) -> DataFrame:
     return d.where(F.col("batch") % every == 0).select("model", "flag", "run_id", "tag", "batch", "mean")
 
 
+def buffered(log: DataFrame, size: int = 50, every: int = 10) -> DataFrame:
+    """Training metrics every so many batches of a run: mean of the last size
+    values, and the mean of all so far, as a loss is reported."""
+    w = Window.partitionBy("model", "flag", "run_id", "tag").orderBy("epoch", "wall_time", "value")
+    d = log.withColumn("batch", F.row_number().over(w)).withColumn("recent", F.avg("value").over(w.rowsBetween(1 - size, 0)))
+    d = d.withColumn("so_far", F.avg("value").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return d.where(F.col("batch") % every == 0).select("model", "flag", "run_id", "tag", "batch", "recent", "so_far")
+
+
 def early_stop(log: DataFrame, patience: int) -> DataFrame:
     """epoch, value, best so far, waited (epochs without gain), stopped."""
     w = Window.partitionBy("model", "flag").orderBy("epoch")
@@ -136,6 +145,22 @@ def last_events(hists: DataFrame, by: tuple[str, ...]) -> DataFrame:
     return hists.groupBy(*by).agg(F.max_by(F.struct("limits", "counts"), "step").alias("h")).select(*by, "h.limits", "h.counts")
 
 
+def distance_table(hists: DataFrame, external: str, positive: str, negative: str, by: tuple[str, ...] = ("model", "flag")) -> DataFrame:
+    """by, w_fp, w_fn, w_pn, delta: distances between the last histograms of
+    external, positive and negative scores, and by how much external scores are
+    nearer to the positive ones. Groups that lack one, or whose counts are all
+    0, are left out. hists: by, tag, step, limits, counts."""
+    tags = [external, positive, negative]
+    last = last_events(hists.where(F.col("tag").isin(tags)), (*by, "tag"))
+    last = last.where(F.aggregate("counts", F.lit(0.0), lambda s, x: s + x) > 0)
+    whole = last.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") == 3).drop("n")
+    lines = rebin(last.join(whole, list(by)), (*by, "tag"))
+    of = lambda t: lines.where(F.col("tag") == t)
+    one = lambda a, b, name: histogram_distance(of(a), of(b), by).withColumnRenamed("distance", name)
+    d = one(external, positive, "w_fp").join(one(external, negative, "w_fn"), list(by)).join(one(positive, negative, "w_pn"), list(by))
+    return d.withColumn("delta", F.col("w_fn") - F.col("w_fp"))
+
+
 def without_runs(log: DataFrame, *excluded: dict[str, object]) -> DataFrame:
     """The log without single runs, each named by its columns' values."""
     for one in excluded:

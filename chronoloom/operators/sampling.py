@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from chronoloom.functions.hashing import key, pick, unit
 from chronoloom.functions.lineage import cut
 from chronoloom.functions.scan import scan
-from chronoloom.operators.edges import dense_index
+from chronoloom.operators.edges import dense_index, static_graph
 from chronoloom.schema import TRIPLE
 
 
@@ -230,8 +230,8 @@ def paired_negatives(positives: DataFrame, ids: DataFrame, known: DataFrame, see
 
 
 def loaders(nodes: DataFrame, edges: DataFrame, negatives: DataFrame, seed: int, external: DataFrame | None = None) -> dict[str, DataFrame]:
-    """What a training run needs, by name: graph (the training triples that are
-    positive), train, val and test (src, tgt, year, label), and full.
+    """What a training run needs, by name: graph (the positive training triples
+    on the dense index of nodes), train, val and test (src, tgt, year, label), and full.
 
     negatives: negatives for all parts; each part gets as large a share of them
     as it has of the positives. external: triples that no part may have as
@@ -246,7 +246,7 @@ def loaders(nodes: DataFrame, edges: DataFrame, negatives: DataFrame, seed: int,
     drawn = pool.withColumn("split", F.when(at < edge[0], "test").when(at < edge[1], "val").otherwise("train"))
     rows = cut(split.select(*TRIPLE, "split", F.lit(1).alias("label")).unionByName(drawn.select(*TRIPLE, "split", F.lit(0).alias("label"))))
     parts = {name: rows.where(F.col("split") == name).drop("split") for name in ("train", "val", "test")}
-    return {"graph": parts["train"].where("label = 1").drop("label"), **parts, "full": rows}
+    return {"graph": static_graph(nodes, parts["train"].where("label = 1").drop("label")), **parts, "full": rows}
 
 
 def industry_negatives(positives: DataFrame, members: DataFrame, ids: DataFrame, known: DataFrame, n: int, seed: int, shares: tuple[float, float, float] = (0.2, 0.5, 0.7)) -> DataFrame:

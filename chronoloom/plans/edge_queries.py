@@ -1,12 +1,16 @@
 """Queries over nodes and edges."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from chronoloom import schema
 from chronoloom.catalog import query
+from chronoloom.functions.lineage import shared_dir
 from chronoloom.operators import edges as E
 from chronoloom.oracle import sql
 from chronoloom.sources import tables as T
+from chronoloom.sources.stores import VersionedTable
 
 LEAST_DEGREE = 8
 
@@ -70,6 +74,15 @@ def dual_source_nodes(spark, d):
     return E.dual_source(T.edges(spark, d))
 
 
+@query(sql("SELECT node AS company_id, true AS merged FROM (SELECT src AS node, source FROM edges UNION ALL SELECT tgt, source FROM edges) GROUP BY node HAVING bool_or(source = 'external') AND bool_or(source = 'observed')", "edges"))
+def stored_flags(spark, d):
+    """Flags written twice, the second version in the first one's place."""
+    table = VersionedTable(spark, f"{shared_dir(spark)}/flags-{uuid.uuid4().hex}")
+    edges = T.edges(spark, d)
+    E.store_flags(table, edges.where("source = 'external'"))
+    return E.store_flags(table, edges)
+
+
 @query(sql("SELECT year, count(*) AS n_edges FROM edges WHERE year IS NULL OR year NOT BETWEEN 1996 AND 2000 GROUP BY year", "edges"))
 def year_range_violations(spark, d):
     return schema.year_violations(T.edges(spark, d))

@@ -3,13 +3,14 @@
 from pyspark.sql import functions as F
 
 from chronoloom.catalog import query
-from chronoloom.functions.lineage import cut
+from chronoloom.functions.lineage import cut, shared_dir
 from chronoloom.functions.vectors import width_of
 from chronoloom.operators import edges as E
 from chronoloom.operators import encoders as N
 from chronoloom.operators import graph as G
 from chronoloom.operators import graph_training as TR
 from chronoloom.operators import imputation as I
+from chronoloom.operators import scorers as SC
 from chronoloom.operators import training as L
 from chronoloom.oracle import sql
 from chronoloom.plans import sampling_queries as S
@@ -297,6 +298,16 @@ def seal_score(spark, d):
     return rounded(N.subgraph_scores(pairs, sub, labels, x, w), "prob")
 
 
+@query()
+def scored_by_all(spark, d):
+    """Test pairs scored by a model of states and by one of subgraphs."""
+    p, x, states = _pos(spark, d), _features(spark, d), _states(spark, d)
+    width = states.select(F.max(F.size(F.get("zs", F.lit(0)))).alias("n")).first()["n"] or 1
+    models = [SC.StateScorer("states", states, N.init(10, N.mlp_shapes(2 * width + 1, 32, 16)), len(YEARS)), SC.SubgraphScorer("subgraphs", p, x, N.init_seal(6, _width(x), 8, 6), YEARS)]
+    pairs = S.stratified_split(spark, d).where("split = 'test'").select("src", "tgt", (F.col("year") - YEARS[0]).cast("int").alias("pos"))
+    return rounded(SC.score_all(models, pairs), "prob")
+
+
 @query()
 def train_head(spark, d):
     return L.train_heads(_samples(spark, d), [42], most=4000, epochs=5).select("seed", "name", "shape", F.round("loss", 6).alias("loss"))
@@ -304,16 +315,27 @@ def train_head(spark, d):
 
 @query()
 def bootstrap_train(spark, d):
-    return L.train_heads(_samples(spark, d), [42, 43, 44], most=2000, epochs=3).select("seed", "name", "shape", F.round("loss", 6).alias("loss"))
+    """Ten heads, each on its own resample, in parallel."""
+    return L.train_heads(_samples(spark, d), list(range(42, 52)), most=2000, epochs=3).select("seed", "name", "shape", F.round("loss", 6).alias("loss"))
 
 
 @query()
 def sampling_mode_train(spark, d):
-    """One head for each sampling mode: external edges in or out of negatives."""
-    rows, out = _samples(spark, d), None
-    ext = E.scan_edges(T.nodes(spark, d), T.edges(spark, d), "external").select("src", "tgt", (F.col("year") - YEARS[0]).cast("int").alias("pos")).distinct()
-    for mode, filtered in (("fff", False), ("tff", True)):
-        r = rows.join(ext, ["src", "tgt", "pos"], "left_anti") if filtered else rows
-        r = L.train_heads(r, [42], most=2000, epochs=3).agg(F.round(F.max("loss"), 6).alias("loss")).select(F.lit(mode).alias("mode"), "loss")
-        out = r if out is None else out.unionByName(r)
-    return out
+    """mode, seed, loss, n_negatives of heads trained on the negatives of each
+    sampling mode: external edges in or out, within industries or anywhere. The
+    first run of a mode starts anew, later ones from its weights; runs are kept
+    in a ledger, and one that is there is not repeated."""
+    pos, ids, n = S._pos(spark, d).distinct(), S._ids(spark, d), T.nodes(spark, d)
+    known, states, members = S._known(spark, d), _states(spark, d), E.industry_members(n)
+    ledger = ST.Ledger(spark, f"{shared_dir(spark)}/modes-{ST.joint_key(ST.rows_key(pos), ST.rows_key(known), ST.rows_key(states))[:40]}")
+    year = (F.col("year") - YEARS[0]).cast("int").alias("pos")
+    for mode, (filtered, inside) in sorted(S.S.MODES.items()):
+        if all(ledger.has(mode=mode, seed=seed) for seed in (42, 43)):
+            continue
+        bad = S.S.paired_negatives(pos, ids, known if filtered else pos, S.SEED, members if inside else None)
+        rows = pos.select("src", "tgt", year, F.lit(1).alias("label")).unionByName(bad.select(F.col("new_src").alias("src"), F.col("new_tgt").alias("tgt"), year, F.lit(0).alias("label")))
+        rows, count, donor = cut(N.gather_states(rows, states, len(YEARS))), bad.count(), None
+        for seed in (42, 43):
+            ledger.run(lambda: cut(L.train_heads(rows, [seed], most=2000, epochs=3, start=donor)).drop("seed").withColumn("n_negatives", F.lit(count)), mode=mode, seed=seed)  # noqa: B023
+            donor = donor or L.weights_of(ledger.rows("mode", "seed").where((F.col("mode") == mode) & (F.col("seed") == seed)).collect())
+    return ledger.rows("mode", "seed").groupBy("mode", "seed").agg(F.round(F.max("loss"), 6).alias("loss"), F.max("n_negatives").cast("long").alias("n_negatives"))

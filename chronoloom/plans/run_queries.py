@@ -1,12 +1,16 @@
 """Queries over training logs."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from chronoloom.catalog import query
+from chronoloom.functions.lineage import cut, shared_dir
 from chronoloom.functions.scalars import duration_text as duration_text_of
 from chronoloom.operators import runs as R
 from chronoloom.oracle import sql
 from chronoloom.plans.metric_queries import rounded
+from chronoloom.sources import event_files as V
 from chronoloom.sources import tables as T
 
 TAGS = ["Test/Epoch_AUC", "Test/Epoch_F1", "Train/Epoch_Loss"]
@@ -110,11 +114,75 @@ def composite_score(spark, d):
     return rounded(R.composite(s, "Train_Epoch_Loss", "Test_Epoch_AUC", "Test_Epoch_F1").select("model", "flag", "score"), "score")
 
 
-@query("""SELECT x AS seconds, CASE WHEN x < 60 THEN printf('%.1fs', x) WHEN x < 3600 THEN printf('%dm%02ds', CAST(x AS BIGINT) // 60, CAST(x AS BIGINT) % 60)
-  ELSE printf('%dh%02dm', CAST(x AS BIGINT) // 3600, CAST(x AS BIGINT) % 3600 // 60) END AS shown FROM (SELECT CAST(i AS DOUBLE) AS x FROM range(0, 20000, 37) r(i))""")
+@query("""SELECT user_id, x AS seconds, CASE WHEN x < 60 THEN printf('%.1fs', x) WHEN x < 3600 THEN printf('%dm%02ds', CAST(x AS BIGINT) // 60, CAST(x AS BIGINT) % 60)
+  ELSE printf('%dh%02dm', CAST(x AS BIGINT) // 3600, CAST(x AS BIGINT) % 3600 // 60) END AS shown
+  FROM (SELECT user_id, CAST((epoch_us(max(ts)) - epoch_us(min(ts))) // 1000000 // (1 + user_id % 3000) AS DOUBLE) AS x FROM events GROUP BY user_id)""")
 def duration_text(spark, d):
-    rows = spark.range(0, 20000, 37).select(F.col("id").cast("double").alias("seconds"))
-    return rows.withColumn("shown", duration_text_of(F.col("seconds")))
+    """The time of each user's events, by a step that differs by user, as text."""
+    us = lambda c: F.unix_micros(c.cast("timestamp"))
+    span = T.table(spark, d, "events").groupBy("user_id").agg((us(F.max("ts")) - us(F.min("ts"))).alias("us"))
+    step = F.expr("us div 1000000 div (1 + user_id % 3000)").cast("double")
+    return span.select("user_id", step.alias("seconds")).withColumn("shown", duration_text_of(F.col("seconds")))
+
+
+@query(sql("SELECT model, flag, run_id, tag, CAST(batch AS INTEGER) AS batch, round(recent, 6) AS recent, round(so_far, 6) AS so_far FROM (SELECT *, row_number() OVER w AS batch, avg(value) OVER (w ROWS 49 PRECEDING) AS recent, avg(value) OVER (w ROWS UNBOUNDED PRECEDING) AS so_far FROM log WINDOW w AS (PARTITION BY model, flag, run_id, tag ORDER BY epoch, wall_time, value)) WHERE batch % 10 = 0", "log"))
+def buffered_train_metrics(spark, d):
+    return rounded(R.buffered(T.metric_log(spark, d)), "recent", "so_far")
+
+
+TAGGED = {0: "Test/Neg", 1: "Test/Pos"}
+
+
+def _tagged_hists(spark, d):
+    """Histograms of the scores of both labels and of a tenth of the samples,
+    which stand for external ones, by model and flag."""
+    s = T.scores(spark, d).withColumn("flag", F.when(F.col("sample_id") % 2 == 0, "fff").otherwise("tff"))
+    tag = F.when(F.col("sample_id") % 10 < 2, "Test/External").when(F.col("label") == 1, TAGGED[1]).otherwise(TAGGED[0])
+    bins = s.groupBy(F.concat(F.lit("m"), "model_id").alias("model"), "flag", tag.alias("tag"), F.least(F.floor(F.round(F.col("prob") * 20, 9)), F.lit(19)).cast("int").alias("b")).agg(F.count("*").alias("n"))
+    full = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long")).cast("double"))
+    limits = F.array(*[F.lit((i + 1) / 20) for i in range(20)])
+    rows = bins.groupBy("model", "flag", "tag").agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))
+    return rows.select("model", "flag", "tag", F.lit(1).cast("long").alias("step"), limits.alias("limits"), full.alias("counts"))
+
+
+_TH = """SELECT 'm' || model_id AS model, CASE WHEN sample_id % 2 = 0 THEN 'fff' ELSE 'tff' END AS flag, CASE WHEN sample_id % 10 < 2 THEN 'F' WHEN label = 1 THEN 'P' ELSE 'N' END AS tag,
+  CAST(least(floor(round(prob * 20, 9)), 19) AS INTEGER) AS b, count(*) AS n FROM scores GROUP BY ALL"""
+_TH50 = """SELECT h.model, h.flag, h.tag, CAST(k AS INTEGER) AS bin, sum(h.n * greatest(0, least((k + 1) / 50.0::DOUBLE, (b + 1) / 20.0::DOUBLE) - greatest(k / 50.0::DOUBLE, b / 20.0::DOUBLE)) * 20) / max(t.n) AS n
+  FROM h, range(0, 50) r(k), (SELECT model, flag, tag, sum(n) AS n FROM h GROUP BY ALL) t WHERE t.model = h.model AND t.flag = h.flag AND t.tag = h.tag GROUP BY h.model, h.flag, h.tag, k"""
+_THC = "SELECT model, flag, bin, " + ", ".join(f"sum(coalesce(n, 0)) FILTER (tag = '{t}') AS {t.lower()}n" for t in "FPN") + " FROM r50 GROUP BY model, flag, bin"
+_THS = "SELECT model, flag, " + ", ".join(f"sum({t}n) OVER (PARTITION BY model, flag ORDER BY bin) AS {t}" for t in "fpn") + " FROM c50"
+
+
+_TABLE = "SELECT model, flag, round(w_fp, 6) AS w_fp, round(w_fn, 6) AS w_fn, round(w_pn, 6) AS w_pn, round(w_fn - w_fp, 6) AS delta FROM (SELECT model, flag, sum(abs(f - p)) * 0.02 AS w_fp, sum(abs(f - n)) * 0.02 AS w_fn, sum(abs(p - n)) * 0.02 AS w_pn FROM s50 GROUP BY model, flag)"
+
+
+@query(sql(_TABLE, "scores", h=_TH, r50=_TH50, c50=_THC, s50=_THS))
+def wasserstein_table(spark, d):
+    return rounded(R.distance_table(_tagged_hists(spark, d), "Test/External", TAGGED[1], TAGGED[0]), "w_fp", "w_fn", "w_pn", "delta")
+
+
+def _event_files(spark, rows):
+    folder = f"{shared_dir(spark)}/events-{uuid.uuid4().hex}"
+    cut(V.write_events(rows, folder if "://" in folder else f"file://{folder}"))
+    return V.read_events(spark, folder, "events.out")
+
+
+@query(sql("SELECT model, CAST(run_id AS VARCHAR) AS run_id, flag, epoch, tag, round(CAST(value AS FLOAT)::DOUBLE, 6) AS value, round(wall_time, 6) AS wall_time FROM log", "log"))
+def event_file_scalars(spark, d):
+    """The metric log written as event files and read back."""
+    none = F.lit(None).cast("array<double>")
+    rows = T.metric_log(spark, d).select("model", "run_id", "flag", "wall_time", F.col("epoch").alias("step"), "tag", "value", none.alias("limits"), none.alias("counts"))
+    return rounded(V.scalars(_event_files(spark, rows)), "value", "wall_time")
+
+
+@query(sql(_TABLE, "scores", h=_TH, r50=_TH50, c50=_THC, s50=_THS))
+def event_file_histograms(spark, d):
+    """The distances of histograms written as event files and read back."""
+    h = _tagged_hists(spark, d)
+    none = F.lit(None).cast("double")
+    rows = h.select("model", F.lit("0").alias("run_id"), "flag", F.lit(0.0).alias("wall_time"), "step", "tag", none.alias("value"), "limits", "counts")
+    back = V.histograms(_event_files(spark, rows), ["Test/External", *TAGGED.values()])
+    return rounded(R.distance_table(back, "Test/External", TAGGED[1], TAGGED[0]), "w_fp", "w_fn", "w_pn", "delta")
 
 
 _MEANS = "SELECT model, flag, " + ", ".join(f"avg(value) FILTER (WHERE tag = '{t}') AS {t.replace('/', '_')}" for t in TAGS) + " FROM log GROUP BY model, flag"

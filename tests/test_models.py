@@ -10,6 +10,7 @@ from chronoloom.operators import encoders as N
 from chronoloom.operators import graph as G
 from chronoloom.operators import graph_training as T
 from chronoloom.operators import imputation as I
+from chronoloom.operators import scorers as SC
 from chronoloom.sources import stores as ST
 
 YEARS, NODES = [2000, 2001, 2002], 7
@@ -231,6 +232,25 @@ def test_subgraph_twins_against_dense_matrices(spark):
     assert got == {q[0]: pytest.approx(v) for q, v in zip(pairs, want, strict=True)}
 
 
+def test_all_scorers_answer_alike(spark, graph):
+    _, x, samples = graph
+    edges = spark.createDataFrame([(a, b, y) for y, a, b, _ in EDGES], "src long, tgt long, year int")
+    zs = RNG.normal(size=(NODES, 3, 2))
+    states = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(zs)], "node long, zs array<array<double>>")
+    p, w = N.init(3, N.mlp_shapes(5, 6, 4)), N.init_seal(4, 3, 4, 6)
+    got = {(r["model"], r["src"], r["tgt"], r["pos"]): r["prob"] for r in SC.score_all([SC.StateScorer("s", states, p, 3), SC.SubgraphScorer("g", edges, x, w, YEARS)], samples).collect()}
+    asked = {s[:3] for s in SAMPLES}
+    assert set(got) == {(m, *s) for m in "sg" for s in asked}
+    for a, b, t in asked:
+        assert got["s", a, b, t] == pytest.approx(N.mlp(np.concatenate([zs[a, t], zs[b, t], [t / 3]])[None], p)[0])
+    a, b, t = min(asked)
+    pair = spark.createDataFrame([(1, a, b, t / 3)], "pair_id long, a long, b long, at double")
+    members = G.k_hop(pair, edges, undirected=False)
+    sub = G.induced(members, edges)
+    one = N.subgraph_scores(pair, G.weighted_by_time(sub, YEARS[t]), G.role_labels(pair, members, sub), x, w).first()
+    assert got["g", a, b, t] == pytest.approx(one["prob"])
+
+
 def test_best_checkpoint_and_unfinished_ones(spark, tmp_path):
     store = ST.ModelStore(spark, f"file://{tmp_path}/m")
     assert store.best("k") is None
