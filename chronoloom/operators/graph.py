@@ -56,26 +56,59 @@ def propagate(adj: DataFrame, features: DataFrame, to_src: bool = True, width: i
     return summed(rows.withColumn("node", F.col(me)), ["year", "node"], F.col("weight"), "x", width or width_of(features))
 
 
-def k_hop(pairs: DataFrame, edges: DataFrame, k: int = 2, undirected: bool = True) -> DataFrame:
+#: Neighbours in one piece of a node's list, and frontier rows of one node and
+#: piece that go to one task.
+PIECE, SHARE = 1_024, 4_096
+
+
+def neighbour_pieces(step: DataFrame, piece: int = PIECE) -> DataFrame:
+    """node, pieces, piece, nexts: each node's neighbours packed into lists of
+    about that many, a hub's into several, dealt by hash."""
+    sizes = step.groupBy("node").agg(F.ceil(F.count("*") / piece).alias("pieces"))
+    dealt = step.join(sizes, "node").withColumn("piece", F.pmod(F.xxhash64("next"), F.col("pieces")))
+    return dealt.groupBy("node", "pieces", "piece").agg(F.collect_list("next").alias("nexts"))
+
+
+def expand(front: DataFrame, pieces: DataFrame, keys: list[str], share: int = SHARE) -> DataFrame:
+    """keys, next: the distinct neighbours of every frontier row (keys, node).
+
+    A frontier row meets each piece of its node on its own, and where a node is
+    in very many rows, its pieces are copied and the rows dealt among the
+    copies. So neither a hub nor a node that everybody is near to comes to one
+    task; only the counts of nodes travel to say how much there is to split.
+    """
+    asked = front.groupBy("node").agg(F.ceil(F.count("*") / share).alias("copies"))
+    counts = cut(pieces.select("node", "pieces").distinct().join(asked, "node").where("pieces > 1 or copies > 1"))  # only what is split
+    split = front.join(counts, "node", "left").withColumns({"piece": F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("pieces", F.lit(1)) - 1)), "copy": F.pmod(F.xxhash64(*keys), F.coalesce("copies", F.lit(1)))})
+    parts = pieces.select("node", "piece", "nexts").join(counts.select("node", "copies"), "node", "left").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1)) - 1)))
+    both = split.select(*keys, "node", "piece", "copy").join(parts.select("node", "piece", "copy", "nexts"), ["node", "piece", "copy"])
+    return both.select(*keys, F.explode("nexts").alias("next")).distinct()
+
+
+def k_hop(pairs: DataFrame, edges: DataFrame, k: int = 2, undirected: bool = True, piece: int = PIECE, share: int = SHARE) -> DataFrame:
     """pair_id, node, hop: nodes within k steps of either end of each pair
-    (pair_id, a, b). Frontiers of all pairs advance together."""
+    (pair_id, a, b). Frontiers of all pairs advance together, hubs in pieces."""
     one = edges.select(F.col("tgt").alias("node"), F.col("src").alias("next"))
     if undirected:
         one = one.unionByName(edges.select(F.col("src").alias("node"), F.col("tgt").alias("next")))
-    step = cut(one.distinct())
+    pieces = cut(neighbour_pieces(one.distinct(), piece))
     seen = cut(pairs.select("pair_id", F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("hop", F.lit(0)))
     front = seen.select("pair_id", "node")
     for hop in range(1, k + 1):
-        front = cut(front.join(step, "node").select("pair_id", F.col("next").alias("node")).distinct().join(seen, ["pair_id", "node"], "left_anti"))
+        front = cut(expand(front, pieces, ["pair_id"], share).withColumnRenamed("next", "node").join(seen, ["pair_id", "node"], "left_anti"))
         seen = seen.unionByName(front.withColumn("hop", F.lit(hop)))
     return seen
 
 
-def induced(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """pair_id, src, tgt, year: edges with both ends in the pair's node set."""
-    m = members.select("pair_id", F.col("node").alias("src"))
-    rows = m.join(edges.select("src", "tgt", "year"), "src")
-    return rows.join(members.select("pair_id", F.col("node").alias("tgt")), ["pair_id", "tgt"], "left_semi").select("pair_id", "src", "tgt", "year")
+def induced(members: DataFrame, edges: DataFrame, piece: int = PIECE, share: int = SHARE) -> DataFrame:
+    """pair_id, src, tgt, year: edges with both ends in the pair's node set.
+    Distinct links are found by pieces of neighbour lists, as in k_hop; years
+    and repeats come back by an equi-join of what is left."""
+    links = edges.select(F.col("src").alias("node"), F.col("tgt").alias("next")).distinct()
+    m = members.select("pair_id", "node")
+    found = expand(m.withColumn("src", F.col("node")), cut(neighbour_pieces(links, piece)), ["pair_id", "src"], share)
+    found = found.join(m.withColumnRenamed("node", "next"), ["pair_id", "next"], "left_semi").withColumnRenamed("next", "tgt")
+    return found.join(edges.select("src", "tgt", "year"), ["src", "tgt"]).select("pair_id", "src", "tgt", "year")
 
 
 def weighted_by_time(rows: DataFrame, year: int | None = None) -> DataFrame:

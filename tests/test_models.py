@@ -232,6 +232,34 @@ def test_subgraph_twins_against_dense_matrices(spark):
     assert got == {q[0]: pytest.approx(v) for q, v in zip(pairs, want, strict=True)}
 
 
+@pytest.mark.parametrize("undirected", [True, False])
+def test_subgraphs_with_split_hubs_by_brute_force(spark, undirected):
+    """A hub of 40 neighbours in lists of four, rows of a node dealt by three."""
+    rng = np.random.default_rng(12)
+    rows = [(0, n, 2000) for n in range(1, 41)] + [(n, 0, 2001) for n in range(20, 41)] + [(int(a), int(b), 2000 + int(y)) for a, b, y in rng.integers(0, 60, (50, 3))]
+    rows.append(rows[0])
+    asked = [(i, int(a), int(b)) for i, (a, b) in enumerate(rng.integers(0, 41, (12, 2)))]
+    edges, pairs = spark.createDataFrame(rows, "src long, tgt long, year int"), spark.createDataFrame(asked, "pair_id long, a long, b long")
+    near = {}
+    for s, t, _ in rows:
+        near.setdefault(t, set()).add(s)
+        if undirected:
+            near.setdefault(s, set()).add(t)
+    want, members = [], {}
+    for pair, a, b in asked:
+        hops = {a: 0, b: 0}
+        for hop in (1, 2):
+            for n in [n for n, h in hops.items() if h == hop - 1]:
+                for m in near.get(n, ()):
+                    hops.setdefault(m, hop)
+        members[pair] = set(hops)
+        want += [(pair, n, h) for n, h in hops.items()]
+    got = G.k_hop(pairs, edges, undirected=undirected, piece=4, share=3)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    inside = sorted((p, s, t, y) for p, m in members.items() for s, t, y in rows if s in m and t in m)
+    assert sorted(map(tuple, G.induced(got, edges, piece=4, share=3).collect())) == inside
+
+
 def test_all_scorers_answer_alike(spark, graph):
     _, x, samples = graph
     edges = spark.createDataFrame([(a, b, y) for y, a, b, _ in EDGES], "src long, tgt long, year int")
