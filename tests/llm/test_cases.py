@@ -585,6 +585,47 @@ def test_each_form_alone(spark):
     assert all(got[100 + i] == (x, 0) for i, x in enumerate(plain))
 
 
+def test_names_of_many_forms(spark):
+    rows = [
+        (1, "Mr. McDonald"), (2, "Ms Smith-Lee came."), (3, "Mrs Mary Ann Jones called. Jones left, Ann's hat stayed."), (4, "Mr O'Brien"), (5, "MR JOHN SMITH saw Smith"),
+        (6, "Dr. Jane Doe"), (7, "Prof Karl May"), (8, "Mr Will Bill said: the Bill was paid. Will you come? Will Bill left."), (9, "Prof. Dr. Ludwig van der Berg-Huber und Herr J. S. Bach"),
+        (10, "the Baxter of Mr Baxter"), (11, "miss the train, mr and Mrs. The end"),
+    ]
+    got = {r["doc_id"]: (r["text"], r["n_entities"]) for r in surrogates.replace_entities(docs(spark, rows), "k").collect()}
+    word = r"(\p{Lu}\p{Ll}+)"
+    want = {
+        1: rf"Mr\. {word}", 2: rf"Ms {word} came\.", 3: rf"Mrs {word} {word} {word} called\. {word} left, {word}'s hat stayed\.", 4: rf"Mr {word}", 5: rf"MR (\p{{Lu}}+) (\p{{Lu}}+) saw {word}",
+        6: rf"Dr\. {word} {word}", 7: rf"Prof {word} {word}", 8: rf"Mr {word} {word} said: the Bill was paid\. Will you come\? {word} {word} left\.",
+        9: rf"Prof\. Dr\. {word} van der {word} und Herr (\p{{Lu}})\. (\p{{Lu}})\. {word}", 10: rf"the Baxter of Mr {word}",
+    }
+    import regex
+
+    m = {i: regex.fullmatch(p, got[i][0]) for i, p in want.items()}
+    assert all(m.values()), got
+    old = " ".join(t for _, t in rows)
+    for i, found in m.items():
+        assert not any(len(g) > 1 and regex.search(rf"\b{g}\b", old) for g in found.groups()), got[i]
+    assert m[3][3] == m[3][4] and m[3][2] == m[3][5] and m[5][2] == m[5][3].upper() and m[8][1] == m[8][3] and m[8][2] == m[8][4]
+    assert got[11] == (rows[10][1].replace("Mrs. The", got[11][0].split(" and ")[1].removesuffix(" end")), 1)  # a capital after a title counts as a name
+
+
+def test_further_forms_alone(spark):
+    forms = ["josé@example.com", "2001:db8:85a3::8a2e:370:7334", "::1", "fe80:0:0:0:1:2:3:4", "5551234567", "378282246310005", "3782 822463 10005", "ghp_abcdefghijABCDEFGHIJ0123456789abcdef", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"]
+    plain = ["std::vector and a::b", "at 10:30:45 in 1700000000 s", "id=5551234567 and 5551234567.5"]
+    rows = [(i, f"ask {x} now") for i, x in enumerate(forms)] + [(100 + i, x) for i, x in enumerate(plain)]
+    got = {r["doc_id"]: (r["text"], r["n_entities"]) for r in surrogates.replace_entities(docs(spark, rows), "k").collect()}
+    shape = lambda t: re.sub(r"[A-Z]", "A", re.sub(r"[a-zé]", "a", re.sub(r"[0-9]", "0", t)))
+    for i, x in enumerate(forms):
+        new = got[i][0].removeprefix("ask ").removesuffix(" now")
+        assert got[i][1] == 1 and new != x and shape(new) == shape(x), (x, got[i])
+    for i, x in enumerate(plain):
+        assert got[100 + i] == (x, 0)
+    for i in (8, 9):
+        code = got[i][0].removeprefix("ask ").removesuffix(" now").replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1 and code[:2] == forms[i][:2]
+    assert got[7][0].startswith("ask ghp_")
+
+
 def test_surrogates_stay_distinct(spark):
     """Few forms and many entities: collisions must be redrawn."""
     rows = [(i, f"Mr {chr(65 + i // 26 % 26)}{chr(97 + i % 26)}x{'a' * (i // 676)}") for i in range(900)]
