@@ -11,6 +11,7 @@ position of the year among n_years.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,6 +33,13 @@ def init(seed: int, shapes: dict[str, tuple[int, ...]]) -> Weights:
     return {k: rng.uniform(-1, 1, s) / np.sqrt(s[0]) for k, s in sorted(shapes.items())}
 
 
+def hashed(seed: int, shapes: dict[str, tuple[int, ...]]) -> Weights:
+    """As init, with the random numbers of ``functions.hashing``, which SQL can
+    repeat: each weight is drawn by seed, name and position."""
+    one = lambda *parts: int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16) / 4294967296.0
+    return {k: np.array([2 * one(seed, k, *i) - 1 for i in np.ndindex(s)]).reshape(s) / np.sqrt(s[0]) for k, s in shapes.items()}
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 

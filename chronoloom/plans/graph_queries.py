@@ -12,7 +12,8 @@ from chronoloom.operators import graph_training as TR
 from chronoloom.operators import imputation as I
 from chronoloom.operators import scorers as SC
 from chronoloom.operators import training as L
-from chronoloom.oracle import sql
+from chronoloom.oracle import key, sql
+from chronoloom.plans import encoder_sql as Q
 from chronoloom.plans import sampling_queries as S
 from chronoloom.plans.metric_queries import rounded
 from chronoloom.sources import stores as ST
@@ -144,41 +145,49 @@ def topk_nodes(spark, d):
 HIDDEN = 6
 
 
-def _encoded(spark, d):
-    x = _features(spark, d)
-    n = _width(x)
-    w = N.init(1, {"w0": (n, n), "b0": (n,), "w1": (n, HIDDEN), "b1": (HIDDEN,)})
-    return N.gcn(G.adjacency(_both(spark, d)), x, YEARS, w)
+def _encoder_weights(n: int):
+    return N.hashed(1, {"w0": (n, n), "b0": (n,), "w1": (n, HIDDEN), "b1": (HIDDEN,)})
 
 
-def _z(spark, d):
-    return N.node_gru(_encoded(spark, d), N.init(2, N.gru_shapes(HIDDEN, 4)))
+def _encoded(spark, d):
+    x = _features(spark, d)
+    return N.gcn(G.adjacency(_both(spark, d)), x, YEARS, _encoder_weights(_width(x)))
 
 
 def _flat(df, col):
     return df.withColumn(col, F.transform(col, lambda v: F.round(v, 6)))
 
 
-@query()
+def _components(df, col):
+    """One component of a vector in a row."""
+    keys = [c for c in df.columns if c != col]
+    return df.select(*keys, F.posexplode(col).alias("component", "value")).withColumn("value", F.round("value", 6))
+
+
+_GRAPH = {"both_ways": BOTH, "deg": OUT, "adj": ADJ}
+
+
+@query(sql(Q.rows("enc", "year, node", "x"), "pos", **_GRAPH, **Q.gcn(HIDDEN)))
 def gcn_encode(spark, d):
-    return _flat(_encoded(spark, d), "x")
+    return _components(_encoded(spark, d), "x")
 
 
-@query()
+@query(sql(Q.rows("enc", "year, node", "x"), "pos", both_ways=BOTH, **Q.gat(4, HIDDEN)))
 def gat_encode(spark, d):
+    """Two heads, then one."""
     x = _features(spark, d)
     shapes = {f"1_{k}{h}": s for h in range(2) for k, s in {"w": (_width(x), 4), "a": (4,), "d": (4,)}.items()} | {"2_w0": (8, HIDDEN), "2_a0": (HIDDEN,), "2_d0": (HIDDEN,)}
-    return _flat(N.gat(_both(spark, d), x, YEARS, N.init(3, shapes), heads=2), "x")
+    return _components(N.gat(_both(spark, d), x, YEARS, N.hashed(3, shapes), heads=2), "x")
 
 
-@query()
+@query(sql(Q.rows("states", "node, pos", "z"), "pos", **_GRAPH, **Q.gcn(HIDDEN), **Q.gru(HIDDEN, 4)))
 def bigru_encode(spark, d):
-    return _flat(_z(spark, d), "z")
+    return _components(N.node_gru(_encoded(spark, d), N.hashed(2, N.gru_shapes(HIDDEN, 4))), "z")
 
 
-@query()
+@query(sql(Q.rows("states", "node, pos", "z"), "pos", **_GRAPH, **Q.gcn(HIDDEN), **Q.gru(HIDDEN, 4, both=False)))
 def unigru_encode(spark, d):
-    return _flat(N.node_gru(_encoded(spark, d), N.init(2, N.gru_shapes(HIDDEN, 4)), bidirectional=False), "z")
+    return _components(N.node_gru(_encoded(spark, d), N.hashed(2, N.gru_shapes(HIDDEN, 4, ("f_",))), bidirectional=False), "z")
 
 
 @query()
@@ -210,8 +219,7 @@ def _labelled(spark, d):
 def _states(spark, d):
     """Encoded nodes from the store, made at the first use."""
     adj, x = G.adjacency(_both(spark, d)), _features(spark, d)
-    n = _width(x)
-    w = N.init(1, {"w0": (n, n), "b0": (n,), "w1": (n, HIDDEN), "b1": (HIDDEN,)}) | {f"r_{k}": v for k, v in N.init(2, N.gru_shapes(HIDDEN, 4)).items()}
+    w = _encoder_weights(_width(x)) | {f"r_{k}": v for k, v in N.hashed(2, N.gru_shapes(HIDDEN, 4)).items()}
     key = ST.joint_key(ST.rows_key(adj.withColumn("weight", F.round("weight", 9))), ST.rows_key(x), ST.weights_key(w), YEARS)
 
     def make():
@@ -226,15 +234,23 @@ def _samples(spark, d):
     return N.gather_states(_labelled(spark, d), _states(spark, d), len(YEARS))
 
 
-@query()
+_ASKED_PAIRS = f"""SELECT DISTINCT src, tgt, CAST(year - 1996 AS INTEGER) AS pos, label FROM (SELECT src, tgt, year, 1 AS label FROM pos UNION ALL
+  SELECT src, tgt, year, 0 FROM (SELECT * FROM pool ORDER BY {key("7", "src", "tgt", "year")} LIMIT {S.NEGATIVES}))"""
+_SCORED = "SELECT src, tgt, pos, CAST(model_id AS INTEGER) AS model_id, round(prob, 6) AS prob FROM scored"
+
+
+def _scored(models: int) -> str:
+    return sql(_SCORED, "pos", "ext", dp=S.DP, idx=S.IDX, known=S.KNOWN, draws=S._draws(S.POOL_DRAWS), pool=S.POOL, asked=_ASKED_PAIRS, **_GRAPH, **Q.gcn(HIDDEN), **Q.gru(HIDDEN, 4), **Q.mlp(17, 32, 16, models))
+
+
+@query(_scored(1))
 def predictor_score(spark, d):
-    models = [N.init(10, N.mlp_shapes(17, 32, 16))]
-    return rounded(N.predict(_samples(spark, d), models), "prob")
+    return rounded(N.predict(_samples(spark, d), [N.hashed(10, N.mlp_shapes(17, 32, 16))]), "prob")
 
 
-@query()
+@query(_scored(T.MODELS))
 def multi_model_inference(spark, d):
-    models = [N.init(10 + i, N.mlp_shapes(17, 32, 16)) for i in range(T.MODELS)]
+    models = [N.hashed(10 + i, N.mlp_shapes(17, 32, 16)) for i in range(T.MODELS)]
     return rounded(N.predict(_samples(spark, d), models), "prob")
 
 

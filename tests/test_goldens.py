@@ -105,7 +105,7 @@ def test_gcn_against_numpy(spark):
 def test_encoders_read_the_last_component(spark, monkeypatch, name):
     from chronoloom.plans import graph_queries as Q
 
-    codes = lambda: {(r["node"], r["year"] if "year" in r else r["pos"]): r["x" if "x" in r else "z"] for r in Q.__dict__[name](spark, "/root/testdata/sf0.001").collect()}
+    codes = lambda: {(r["node"], r["year"] if "year" in r else r["pos"], r["component"] if "component" in r else 0): r["value" if "value" in r else "x" if "x" in r else "z"] for r in Q.__dict__[name](spark, "/root/testdata/sf0.001").collect()}
     before, nodes = codes(), Q.T.nodes
     last = F.transform("embedding", lambda v, i: F.when(i == F.size("embedding") - 1, v + 5).otherwise(v))
     monkeypatch.setattr(Q.T, "nodes", lambda s, d: nodes(s, d).withColumn("embedding", last))
