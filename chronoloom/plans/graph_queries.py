@@ -154,10 +154,6 @@ def _encoded(spark, d):
     return N.gcn(G.adjacency(_both(spark, d)), x, YEARS, _encoder_weights(_width(x)))
 
 
-def _flat(df, col):
-    return df.withColumn(col, F.transform(col, lambda v: F.round(v, 6)))
-
-
 def _components(df, col):
     """One component of a vector in a row."""
     keys = [c for c in df.columns if c != col]
@@ -190,26 +186,26 @@ def unigru_encode(spark, d):
     return _components(N.node_gru(_encoded(spark, d), N.hashed(2, N.gru_shapes(HIDDEN, 4, ("f_",))), bidirectional=False), "z")
 
 
-@query()
+@query(sql(Q.rows("(SELECT node, CAST(year - 1996 AS INTEGER) AS pos, x FROM t2)", "node, pos", "x"), "pos", **_GRAPH, **Q.tna(HIDDEN, 4)))
 def tna_encode(spark, d):
     """Two stacked blocks."""
     x = _features(spark, d)
-    return _flat(N.tna(G.adjacency(_both(spark, d)), x, YEARS, N.init(4, N.tna_shapes(_width(x), HIDDEN, 4))), "z")
+    return _components(N.tna(G.adjacency(_both(spark, d)), x, YEARS, N.hashed(4, N.tna_shapes(_width(x), HIDDEN, 4))), "z")
 
 
-@query()
+@query(sql(Q.rows("e2", "year, node", "x"), "pos", **_GRAPH, **Q.egcn([Q.DIMS, HIDDEN, 4])))
 def egcn_encode(spark, d):
     """Two layers."""
     x = _features(spark, d)
-    return _flat(N.egcn(G.adjacency(_both(spark, d)), x, YEARS, N.init(5, N.egcn_shapes([_width(x), HIDDEN, 4]))), "x")
+    return _components(N.egcn(G.adjacency(_both(spark, d)), x, YEARS, N.hashed(5, N.egcn_shapes([_width(x), HIDDEN, 4]))), "x")
 
 
-@query()
+@query(sql(Q.rows("enc", "year, node", "x"), "pos", **_GRAPH, **Q.reduced_gcn(12, HIDDEN)))
 def reduced_gcn_encode(spark, d):
     """Three dense layers before the convolutions."""
     x = _features(spark, d)
-    w = N.init(8, N.reduce_shapes(_width(x), 12) | {"w0": (12, HIDDEN), "b0": (HIDDEN,), "w1": (HIDDEN, HIDDEN), "b1": (HIDDEN,)})
-    return _flat(N.gcn(G.adjacency(_both(spark, d)), N.reduce(x, w), YEARS, w), "x")
+    w = N.hashed(8, N.reduce_shapes(_width(x), 12) | {"w0": (12, HIDDEN), "b0": (HIDDEN,), "w1": (HIDDEN, HIDDEN), "b1": (HIDDEN,)})
+    return _components(N.gcn(G.adjacency(_both(spark, d)), N.reduce(x, w), YEARS, w), "x")
 
 
 def _labelled(spark, d):
