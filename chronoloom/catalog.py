@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from chronoloom.plans import edge_queries, graph_queries, imputation_queries, metric_queries, run_queries, sampling_queries  # noqa: F401
+    from chronoloom.plans import edge_queries, file_queries, graph_queries, imputation_queries, metric_queries, run_queries, sampling_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
