@@ -89,11 +89,13 @@ def _with_capitals(words: str) -> str:
 
 
 _TITLE = _with_capitals(f"{MALE}|{FEMALE}|{NEUTRAL}")
+#: A title begins a word; its first letter is looked at before all titles are tried.
+_TITLED = rf"(?<!\p{{L}})(?=[{''.join(sorted({t[0] for t in _TITLE.split('|')}))}])(?:{_TITLE})\.? "
 _WORD = r"(?:\p{Lu}\.(?= ?\p{Lu})|\p{Lu}(?:[\p{L}\p{M}]|['’\-](?=\p{L}{2}))*+)"
-_NAME = rf"(?<!\p{{L}})(?:(?:{_TITLE})\.? ){{1,3}}(?:(?:{PARTICLES}) ){{0,2}}{_WORD}(?: (?:(?:{PARTICLES}) ){{0,2}}{_WORD}){{0,4}}"
+_NAME = rf"(?:{_TITLED}){{1,3}}(?:(?:{PARTICLES}) ){{0,2}}{_WORD}(?: (?:(?:{PARTICLES}) ){{0,2}}{_WORD}){{0,4}}"
 PATTERN = "|".join([_SECRET, _EMAIL, _KEY, _TOKEN, _IBAN, _PHONE, _CARD, _SSN, _IP, _IP6, _NAME])
 #: Every entity holds one of these; a text without any is not searched.
-QUICK = rf"[@0-9]|AKIA|gh[pousr]_|github_pat_|sk-|xox|AIza|glpat-|[=:]\s{{0,2}}[\"']?[A-Za-z0-9_\-+/.!@#$%^&*]|(?:{_TITLE})\.? [\p{{Lu}}\p{{Ll}}]"
+QUICK = rf"[@0-9]|AKIA|gh[pousr]_|github_pat_|sk-|xox|AIza|glpat-|[=:]\s{{0,2}}[\"']?[A-Za-z0-9_\-+/.!@#$%^&*]|{_TITLED}\p{{L}}"
 _DIGITS = ["phone", "card", "ssn"]
 #: Attempts from which on replacements grow.
 GROWN = 6
