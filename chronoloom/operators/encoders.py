@@ -110,7 +110,9 @@ def gat_layer(edges: DataFrame, features: DataFrame, weights: Weights, heads: in
     loops; heads side by side. features: year, node, x.
 
     All heads share one join and one aggregation: an edge carries a logit for
-    each head, and the sums of a target are columns of all heads."""
+    each head, and the sums of a target are columns of all heads. A logit rises
+    with the source's part, so a target's largest one is known from the largest
+    part among its sources, before any vector moves along an edge."""
     n = weights["w0"].shape[1]
     features = cut(features)
     loops = features.select("year", F.col("node").alias("src"), F.col("node").alias("tgt")).distinct()
@@ -125,10 +127,10 @@ def gat_layer(edges: DataFrame, features: DataFrame, weights: Weights, heads: in
     source = h.select("year", F.col("node").alias("src"), F.slice("x", 1, heads * n).alias("h"), *[at(k).alias(f"s{k}") for k in range(heads)])
     target = h.select("year", F.col("node").alias("tgt"), *[at(heads + k).alias(f"d{k}") for k in range(heads)])
     logit = lambda s: F.when(s > 0, s).otherwise(s * slope)
-    e = pairs.join(source, ["year", "src"]).join(target, ["year", "tgt"])
-    e = cut(e.select("year", F.col("tgt").alias("node"), "h", *[logit(F.col(f"s{k}") + F.col(f"d{k}")).alias(f"l{k}") for k in range(heads)]))
-    top = e.groupBy("year", "node").agg(*[F.max(f"l{k}").alias(f"m{k}") for k in range(heads)])
-    e = e.join(top, ["year", "node"]).withColumns({f"u{k}": F.exp(F.col(f"l{k}") - F.col(f"m{k}")) for k in range(heads)})
+    top = pairs.join(source.drop("h"), ["year", "src"]).groupBy("year", "tgt").agg(*[F.max(f"s{k}").alias(f"m{k}") for k in range(heads)])
+    target = cut(target.join(top, ["year", "tgt"]))
+    e = pairs.join(source, ["year", "src"]).join(target, ["year", "tgt"]).withColumnRenamed("tgt", "node")
+    e = e.withColumns({f"u{k}": F.exp(logit(F.col(f"s{k}") + F.col(f"d{k}")) - logit(F.col(f"m{k}") + F.col(f"d{k}"))) for k in range(heads)})
     sums = e.groupBy("year", "node").agg(*[F.sum(F.col(f"u{i // n}") * F.col("h")[i]).alias(f"v{i}") for i in range(heads * n)], *[F.sum(f"u{k}").alias(f"z{k}") for k in range(heads)])
     return sums.select("year", "node", F.array(*[F.col(f"v{i}") / F.col(f"z{i // n}") for i in range(heads * n)]).alias("x"))
 
