@@ -11,7 +11,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.functions.lineage import cut
+from chronoloom.functions.lineage import Workspace, cut
 from chronoloom.operators import encoders as N
 from chronoloom.operators import graph as G
 
@@ -44,17 +44,19 @@ class SubgraphScorer:
     def score(self, pairs: DataFrame) -> DataFrame:
         year = F.get(F.array(*[F.lit(y) for y in self.years]), F.col("pos"))
         rows = pairs.select("src", "tgt", "pos").distinct().where((F.col("pos") >= 0) & (F.col("pos") < len(self.years)))
-        rows = cut(rows.withColumns({"pair_id": F.xxhash64("src", "tgt", "pos"), "a": F.col("src"), "b": F.col("tgt"), "at": F.col("pos") / F.lit(float(len(self.years))), "at_year": year}))
-        # all years of a pair share one subgraph
-        ends = rows.select(F.xxhash64("a", "b").alias("pair_id"), "a", "b").distinct()
-        members = cut(G.k_hop(ends, self.edges, self.hops, undirected=False))
-        sub = cut(G.induced(members, self.edges))
-        labels = cut(G.role_labels(ends, members, sub))
-        own = rows.select("pair_id", "at_year", F.xxhash64("a", "b").alias("ends"))
-        of = lambda d: d.withColumnRenamed("pair_id", "ends").join(own, "ends").drop("ends")
-        sub = G.weighted_by_time(of(sub))
-        found = N.subgraph_scores(rows, sub, of(labels).drop("at_year"), self.features, self.weights)
-        return rows.join(found, "pair_id").select("src", "tgt", "pos", "prob")
+        rows = rows.withColumns({"pair_id": F.xxhash64("src", "tgt", "pos"), "a": F.col("src"), "b": F.col("tgt"), "at": F.col("pos") / F.lit(float(len(self.years))), "at_year": year})
+        with Workspace(pairs.sparkSession) as tables:  # only the scores outlive it
+            rows, keep = tables.keep(rows), tables.keep
+            # all years of a pair share one subgraph
+            ends = rows.select(F.xxhash64("a", "b").alias("pair_id"), "a", "b").distinct()
+            members = keep(G.k_hop(ends, self.edges, self.hops, undirected=False, keep=keep))
+            sub = keep(G.induced(members, self.edges, keep=keep))
+            labels = keep(G.role_labels(ends, members, sub, keep=keep))
+            tables.drop(members)
+            own = rows.select("pair_id", "at_year", F.xxhash64("a", "b").alias("ends"))
+            of = lambda d: d.withColumnRenamed("pair_id", "ends").join(own, "ends").drop("ends")
+            found = N.subgraph_scores(rows, G.weighted_by_time(of(sub)), of(labels).drop("at_year"), self.features, self.weights)
+            return cut(keep(rows.join(found, "pair_id").select("src", "tgt", "pos", "prob")))
 
 
 def score_all(scorers: list[Scorer], pairs: DataFrame) -> DataFrame:
