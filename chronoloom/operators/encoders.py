@@ -96,13 +96,12 @@ def gcn(adj: DataFrame, features: DataFrame, years: list[int], weights: Weights,
     """year, node, x. Each layer is A_t (X W) + b with relu between layers;
     nodes without edges get the bias. features: node, x (same in each year)."""
     every = _spread(features.select("node"), years)
-    x = features.select("node", "x")
+    h = dense(features, lambda v, p: v @ p["w"], {"w": weights["w0"]})
     for i in range(layers):
-        w, b, last = weights[f"w{i}"], weights[f"b{i}"], i + 1 == layers
-        h = dense(x, lambda v, p: v @ p["w"], {"w": w}, keys=("year", "node") if i else ("node",))
-        rows = _received(adj, h, every, w.shape[1])
-        x = dense(rows, (lambda v, p: v + p["b"]) if last else (lambda v, p: relu(v + p["b"])), {"b": b}, keys=("year", "node"))
-    return x
+        b, rows = weights[f"b{i}"], _received(adj, h, every, weights[f"w{i}"].shape[1])
+        if i + 1 < layers:  # one Python process for a task, not one for each step
+            h = dense(rows, lambda v, p: relu(v + p["b"]) @ p["w"], {"b": b, "w": weights[f"w{i + 1}"]}, keys=("year", "node"))
+    return rows.select("year", "node", F.zip_with("x", F.array(*[F.lit(float(v)) for v in b]), lambda v, c: v + c).alias("x"))
 
 
 def gat_layer(edges: DataFrame, features: DataFrame, weights: Weights, heads: int, slope: float = 0.2) -> DataFrame:
