@@ -20,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoloom.functions.lineage import cut
+from chronoloom.functions.lineage import cut, shuffles_dropped
 from chronoloom.functions.vectors import lists, map_batches, matrix, summed, width_of
-from chronoloom.operators.graph import propagate
+from chronoloom.operators.graph import Enclosed, around, enclosed, induced, k_hop, propagate, role_labels, weighted_by_time
 
 Weights = dict[str, np.ndarray]
 
@@ -332,10 +332,10 @@ def sparse_conv(h: np.ndarray, src: np.ndarray, tgt: np.ndarray, weight: np.ndar
     return out
 
 
-def _seal_layers(x: np.ndarray, src: np.ndarray, tgt: np.ndarray, weight: np.ndarray, p: Weights, side: str) -> Iterator[np.ndarray]:
+def _seal_layers(x: np.ndarray, src: np.ndarray, tgt: np.ndarray, weight: np.ndarray, p: Weights, side: str, count: np.ndarray | None = None) -> Iterator[np.ndarray]:
     """The inputs of both batch norms, then the encoding. x: after the first
-    layer's weights."""
-    w = weight if side == "d" else np.ones_like(weight)
+    layer's weights; count: the edges that a row stands for, their weights added up."""
+    w = weight if side == "d" else np.ones_like(weight) if count is None else count
     first = sparse_conv(x, src, tgt, w) + p[f"{side}_b1"]
     yield first
     h = relu(_batch_norm(first, p, side + "_{}1"))
@@ -369,16 +369,29 @@ class _Block:
         src, tgt = find(pair[m:] * k + node[3 * m : 3 * m + len(e)]), find(pair[m:] * k + node[3 * m + len(e) :])
         inside = (src >= 0) & (tgt >= 0)
         self.src, self.tgt, self.weight = src[inside], tgt[inside], e["weight"].to_numpy(float)[inside]
-        embed, hidden = p["embed"].shape[1], p["s_w1"].shape[1]
-        x = np.zeros((m, 2 * hidden))
+        self.count = np.ones_like(self.weight)
+        x = np.zeros((m, 2 * p["s_w1"].shape[1]))
         there = n["x"].notna().to_numpy()
         if there.any():
             x[there] = np.stack(n["x"][there].to_numpy())
-        labels = n["label"].to_numpy(int)
+        self._start(x, n["label"].to_numpy(int), p)
+
+    @classmethod
+    def of_rows(cls, batch: pa.RecordBatch, sub: Enclosed, p: Weights) -> _Block:
+        """The same from pairs that have their subgraphs beside them."""
+        self, links = cls.__new__(cls), sub.links
+        self.pair_ids, self.time, self.a, self.b, self.src, self.tgt = np.asarray(batch.column("pair_id")), np.asarray(batch.column("at"), float), sub.a, sub.b, sub.src, sub.tgt
+        self.weight, self.count = (np.asarray(links.field(c).to_numpy(zero_copy_only=False), float)[sub.link_place] for c in ("w", "n"))
+        x, place = sub.nodes.field("x"), pa.array(sub.place)
+        self._start(matrix(x.take(place)).reshape(len(place), 2 * p["s_w1"].shape[1]), sub.labels(), p)
+        return self
+
+    def _start(self, x: np.ndarray, labels: np.ndarray, p: Weights) -> None:
+        embed, hidden = p["embed"].shape[1], p["s_w1"].shape[1]
         self.x = {side: (p["embed"] @ p[f"{side}_w1"][:embed])[labels] + x[:, at : at + hidden] for side, at in (("s", 0), ("d", hidden))}
 
     def layers(self, p: Weights, side: str) -> Iterator[np.ndarray]:
-        return _seal_layers(self.x[side], self.src, self.tgt, self.weight, p, side)
+        return _seal_layers(self.x[side], self.src, self.tgt, self.weight, p, side, self.count)
 
     def head_input(self, p: Weights) -> np.ndarray:
         """[a, b, time] of the pairs, each end static and then weighted by time."""
@@ -386,6 +399,15 @@ class _Block:
         z = np.concatenate([z, np.zeros((1, z.shape[1]))])  # an end outside its subgraph
         return np.concatenate([z[self.a], z[self.b], self.time[:, None]], 1) @ p["p_w1"] + p["p_b1"]
 
+    def sums(self, p: Weights, layer: int) -> pd.DataFrame:
+        """Counts, sums and sums of squares of what a batch norm gets."""
+        seen = {"p_1": self.head_input(p)} if layer == 3 else {f"{side}_{layer}": list(self.layers(p, side))[layer - 1] for side in "sd"}
+        return pd.concat([pd.DataFrame({"name": k, "i": np.arange(v.shape[1]), "n": len(v), "s": v.sum(0), "q": (v * v).sum(0)}) for k, v in seen.items()])
+
+    def probs(self, p: Weights) -> np.ndarray:
+        h = relu(_batch_norm(self.head_input(p), p, "p_{}1"))
+        return sigmoid(relu(h @ p["p_w2"] + p["p_b2"]) @ p["p_w3"] + p["p_b3"])[:, 0]
+
 
 def _first_layer(features: DataFrame, p: Weights) -> DataFrame:
     """node, x: the features' part of both twins' first layer, side by side, so
@@ -406,30 +428,18 @@ def _in_batches(pairs: DataFrame, sub: DataFrame, labels: DataFrame, features: D
     return nodes.groupBy("batch").cogroup(edges.groupBy("batch"))
 
 
-def _sums_of(layer: int, shared) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    """Counts, sums and sums of squares of what a batch norm gets."""
-
-    def run(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        if not len(n):
-            return pd.DataFrame({"name": [], "i": [], "n": [], "s": [], "q": []})
-        p = shared.value
-        block = _Block(n, e, p)
-        seen = {"p_1": block.head_input(p)} if layer == 3 else {f"{side}_{layer}": list(block.layers(p, side))[layer - 1] for side in "sd"}
-        return pd.concat([pd.DataFrame({"name": k, "i": np.arange(v.shape[1]), "n": len(v), "s": v.sum(0), "q": (v * v).sum(0)}) for k, v in seen.items()])
-
-    return run
+SUMS = "name string, i long, n long, s double, q double"
 
 
-def seal_statistics(pairs: DataFrame, sub: DataFrame, labels: DataFrame, features: DataFrame, weights: Weights, most: int = 2_000, pairs_at_once: int = 256) -> Weights:
-    """weights with the batch norms' means and variances over the subgraphs of
-    at most that many pairs, taken by hash: the norms one after the other, as
-    each needs those before it, by sums that an aggregation adds up."""
-    some = cut(pairs.orderBy(F.xxhash64(F.lit(1), "pair_id"), "pair_id").limit(most))
-    spark, p, features = pairs.sparkSession, dict(weights), cut(_first_layer(features, weights))
+def _fitted(weights: Weights, sums_of: Callable[[int, Weights], DataFrame]) -> Weights:
+    """weights with the means and variances of the batch norms, one after the
+    other, as each needs those before it. sums_of: the sums of a layer's norms."""
+    p = dict(weights)
     for layer in (1, 2, 3):
-        run = _sums_of(layer, spark.sparkContext.broadcast(p))
-        sums = _in_batches(some, sub, labels, features, pairs_at_once).applyInPandas(run, "name string, i long, n long, s double, q double")
-        for r in sums.groupBy("name", "i").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).collect():
+        sums = sums_of(layer, p)
+        with shuffles_dropped(sums.sparkSession):
+            found = sums.groupBy("name", "i").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).collect()
+        for r in found:
             side, i = r["name"].split("_")
             for k, v in (("m", r["s"] / r["n"]), ("v", max(r["q"] / r["n"] - (r["s"] / r["n"]) ** 2, 0.0))):
                 name = f"{side}_{k}{i}"
@@ -438,6 +448,55 @@ def seal_statistics(pairs: DataFrame, sub: DataFrame, labels: DataFrame, feature
     return p
 
 
+def _frame_sums(pairs: DataFrame, sub: DataFrame, labels: DataFrame, first: DataFrame, p: Weights, layer: int, pairs_at_once: int) -> DataFrame:
+    shared = sub.sparkSession.sparkContext.broadcast(p)
+
+    def run(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        return _Block(n, e, shared.value).sums(shared.value, layer) if len(n) else pd.DataFrame({c: [] for c in ("name", "i", "n", "s", "q")})
+
+    return _in_batches(pairs, sub, labels, first, pairs_at_once).applyInPandas(run, SUMS)
+
+
+def seal_statistics(pairs: DataFrame, sub: DataFrame, labels: DataFrame, features: DataFrame, weights: Weights, pairs_at_once: int = 256) -> Weights:
+    """weights with the batch norms' means and variances over the subgraphs of
+    all pairs, by sums that an aggregation adds up."""
+    first = cut(_first_layer(features, weights))
+    return _fitted(weights, lambda layer, p: _frame_sums(pairs, sub, labels, first, p, layer, pairs_at_once))
+
+
+def fitted_scores(pairs: DataFrame, edges: DataFrame, features: DataFrame, weights: Weights, year: int, near: int = 1_024, pairs_at_once: int = 256) -> DataFrame:
+    """pair_id, prob: as subgraph_scores of all pairs (pair_id, a, b, at) after
+    seal_statistics over all of them, edges weighted from one year.
+
+    A pair's subgraph is made in its row, from lists of its ends, by every pass;
+    only pairs of ends with more than ``near`` walks have subgraphs as rows."""
+    first = cut(_first_layer(features, weights))
+    zeros = _zeros(2 * weights["s_w1"].shape[1])
+    every = cut(edges.select(F.explode(F.array("src", "tgt")).alias("node")).unionByName(pairs.select(F.explode(F.array("a", "b")).alias("node"))).distinct().join(first, "node", "left").withColumn("x", F.coalesce("x", zeros)))
+    rows, far = around(pairs, edges, year=year, features=every, near=near)
+    rows = rows.select("pair_id", "a", "b", "at", "a_nodes", "b_nodes", "a_links", "b_links")
+    if far is not None:
+        members = cut(k_hop(far, edges, undirected=False))
+        sub = cut(weighted_by_time(induced(members, edges), year))
+        labels = cut(role_labels(far, members, sub))
+
+    def sums(layer: int, p: Weights) -> DataFrame:
+        def run(batch: pa.RecordBatch, q: Weights) -> Iterator[dict]:
+            for part, inside in enclosed(batch):
+                yield {k: pa.array(v) for k, v in _Block.of_rows(part, inside, q).sums(q, layer).items()}
+
+        out = map_batches(rows, run, p, SUMS)
+        return out if far is None else out.unionByName(_frame_sums(far, sub, labels, first, p, layer, pairs_at_once))
+
+    def score(batch: pa.RecordBatch, q: Weights) -> Iterator[dict]:
+        for part, inside in enclosed(batch):
+            yield {"pair_id": part.column("pair_id"), "prob": pa.array(_Block.of_rows(part, inside, q).probs(q))}
+
+    p = _fitted(weights, sums)
+    out = map_batches(rows, score, p, "pair_id long, prob double")
+    return out if far is None else out.unionByName(subgraph_scores(far, sub, labels, features, p, pairs_at_once))
+
+
 def subgraph_scores(pairs: DataFrame, sub: DataFrame, labels: DataFrame, features: DataFrame, weights: Weights, pairs_at_once: int = 256) -> DataFrame:
     """pair_id, prob: twin encoders over each pair's enclosing subgraph, one
     with its edges alike, one with their time weights, role labels embedded
@@ -451,11 +510,8 @@ def subgraph_scores(pairs: DataFrame, sub: DataFrame, labels: DataFrame, feature
     def run(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         if not len(n):
             return pd.DataFrame({"pair_id": [], "prob": []})
-        p = shared.value
-        block = _Block(n, e, p)
-        h = relu(_batch_norm(block.head_input(p), p, "p_{}1"))
-        prob = sigmoid(relu(h @ p["p_w2"] + p["p_b2"]) @ p["p_w3"] + p["p_b3"])[:, 0]
-        return pd.DataFrame({"pair_id": block.pair_ids, "prob": prob})
+        block = _Block(n, e, shared.value)
+        return pd.DataFrame({"pair_id": block.pair_ids, "prob": block.probs(shared.value)})
 
     return _in_batches(pairs, sub, labels, _first_layer(features, weights), pairs_at_once).applyInPandas(run, "pair_id long, prob double")
 
